@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geomill.llm import simhash, substring
+from geomill.llm import langid, packing, sampling, simhash, substring, toxicity
 from geomill.session import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = sampling.crc_remainder("doc_id", 5) == 0
+    detector = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, detector)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "llr")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = sampling.crc_remainder("doc_id", 3) == 1
+    found = langid.identify(docs, langid.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", substring.kept_words_sha256().alias("kept_sha256"))
 
 
-QUERIES = {"op8_simhash": op8_simhash, "op10_substring": op10_substring}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op8_simhash, op9_language, op10_substring)}
 
+#: No operator here has a SQL counterpart that is fast enough on whole tables; tests compare with brute force.
 ORACLES: dict[str, str] = {}
