@@ -71,11 +71,11 @@ def _grams(words: list[str], counts: np.ndarray, orders: range) -> list[tuple]:
     return out
 
 
-def count_strings(rows: DataFrame, orders: range, once_per_text: bool = False) -> DataFrame:
+def count_strings(rows: DataFrame, orders: range) -> DataFrame:
     """(k, n, h, history, suffix, starts, c): counts of strings of the words of ``rows`` (k, text) for each class k.
 
     A partition adds up its words first and sends each of its distinct strings
-    once.  With ``once_per_text`` a word counts once in a text.
+    once.
     """
 
     def run(batches):
@@ -93,8 +93,7 @@ def count_strings(rows: DataFrame, orders: range, once_per_text: bool = False) -
 
         for batch in batches:
             for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
-                chunks = (text or "").split()
-                words.setdefault(k, Counter()).update(set(chunks) if once_per_text else chunks)
+                words.setdefault(k, Counter()).update((text or "").split())
             if sum(map(len, words.values())) > 2 * MEMO:
                 yield from flush()
                 words.clear()
@@ -120,21 +119,16 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
 class Model:
     """Sorted string hashes with alpha and gamma of each class; picklable, for a broadcast."""
 
-    def __init__(self, classes: list[str], order: int, rows: pa.Table, shared: pa.Table | None = None):
-        """``rows`` has (k, n, h, history, alpha); ``shared`` the same for strings whose shares all classes have alike."""
+    def __init__(self, classes: list[str], order: int, table: pa.Table):
+        """``table`` has (k, h, history, alpha), k the index in ``classes``."""
         self.classes, self.order = classes, order
-        many = len(classes)
-        parts = [tuple(t.column(c).to_numpy() for c in ("k", "h", "history", "alpha")) for t in (rows, *([shared] if shared else []))]
-        every = np.concatenate([np.concatenate((h, ctx)) for _, h, ctx, _ in parts]) if parts else np.empty(0, np.int64)
-        self.keys = np.unique(np.append(every, 0).view(np.uint64))
-        self.alpha = np.zeros((len(self.keys) + 1, many), np.float32)
-        spent = np.zeros((len(self.keys) + 1, many))
-        for i, (k, h, ctx, alpha) in enumerate(parts):
-            at, of = self._find(h.view(np.uint64)), self._find(ctx.view(np.uint64))
-            for j in range(many) if i else [None]:
-                np.add.at(self.alpha, (at, k if j is None else j), alpha)
-                np.add.at(spent, (of, k if j is None else j), alpha)
-        self.gamma = np.clip(1.0 - spent, 1e-6, 1.0).astype(np.float32)
+        k, h, history, alpha = (table.column(c).to_numpy() for c in ("k", "h", "history", "alpha"))
+        self.keys = np.unique(np.concatenate((h, history, [0])).view(np.uint64))
+        self.alpha = np.zeros((len(self.keys) + 1, len(classes)), np.float32)
+        spent = np.zeros_like(self.alpha)
+        np.add.at(self.alpha, (self._find(h.view(np.uint64)), k), alpha)
+        np.add.at(spent, (self._find(history.view(np.uint64)), k), alpha)
+        self.gamma = np.clip(1.0 - spent, 1e-6, 1.0)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -143,17 +137,18 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """One row a word: the log-likelihood under each class, then the number of characters predicted."""
         out = np.zeros((len(words), len(self.classes) + 1))
+        empty = self._find(np.zeros(1, np.uint64))[0]
         for lo in range(0, len(words), 20_000):
             some = words[lo : lo + 20_000]
             word, h, at, start = _hashes(some, self.order)
             p = np.full((len(word), len(self.classes)), FLOOR, np.float32)
-            before = np.full(len(word), self._find(np.zeros(1, np.uint64))[0])
+            before = np.full(len(word), empty)
             for n in range(1, self.order + 1):
                 ok = np.flatnonzero(at >= max(1, n - 1))
                 found = np.full(len(word), len(self.keys))
                 near = np.flatnonzero(at >= n - 1)
                 found[near] = self._find(h[n][near])
-                p[ok] = self.alpha[found[ok]] + self.gamma[before[ok - 1] if n > 1 else before[ok]] * p[ok]
+                p[ok] = self.alpha[found[ok]] + self.gamma[before[ok - 1]] * p[ok]
                 before = found
             logs = np.log(p)
             logs[start] = 0
@@ -206,19 +201,9 @@ class Scorer:
         return out
 
 
-def fit(rows: DataFrame, classes: list[str], order: int, shared: DataFrame | None = None, shared_order: int = 0) -> Model:
-    """A model of ``rows`` (k, text), k the index in ``classes``.
-
-    ``shared`` (k = 0, text) gives the counts of strings of up to
-    ``shared_order`` characters, the same for all classes.
-    """
-    own = cut(count_strings(rows, range(1, order + 1)))
-    table = kneser_ney(own, order).filter(F.col("n") > shared_order).toArrow()
-    below = None
-    if shared is not None:
-        c = cut(count_strings(shared, range(1, shared_order + 1), once_per_text=True))
-        below = kneser_ney(c, shared_order).toArrow()
-    return Model(classes, order, table, below)
+def fit(rows: DataFrame, classes: list[str], order: int) -> Model:
+    """Models of ``rows`` (k, text), k the index in ``classes``."""
+    return Model(classes, order, kneser_ney(cut(count_strings(rows, range(1, order + 1))), order).toArrow())
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
