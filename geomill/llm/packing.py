@@ -11,6 +11,7 @@ cut over the room that is left, so a window pads less than one sequence.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -23,43 +24,75 @@ from geomill.session import bound_batches
 
 #: Tokens that a task packs together.
 WINDOW = 1 << 22
-#: Distinct chunks whose ids a worker keeps, and the longest chunk that it keeps.
-MEMO, MEMO_CHARS = 300_000, 40
+#: Distinct chunks, and words, whose ids a worker keeps, and the longest chunk that it keeps.
+MEMO, MEMO_CHARS = 400_000, 40
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]*)")
 
 
 class ChunkEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    For tokenizers whose tokens never reach over a space or line feed: each
-    chunk between them is encoded once, and the ids of a text are those of its
-    chunks.
+    For tokenizers that lower-case, split letters from other characters and
+    end each word with a marked token, so that no token reaches over a space
+    or line feed.  Each chunk between those is encoded once; one that is a word
+    of Latin letters and then punctuation takes the ids of its two parts, and
+    new words are encoded side by side in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _side_by_side(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._one_by_one(words)
+        flat, at = ids.tobytes(), (4 * ends).tolist()
+        return [flat[i:j] for i, j in zip([0, *at], at)]
+
+    def _learn(self, new: list[str]) -> None:
+        split, other, words, marks = [], [], set(), set()
+        for c in new:
+            m = _WORD.fullmatch(c)
+            if m:
+                word, mark = m[1].lower(), m[2]
+                split.append((c, word, mark))
+                words.add(word)
+                marks.add(mark)
+            else:
+                other.append(c)
+        if len(self.parts) > MEMO:
+            self.parts = {"": b""}
+        words, marks = list(words.difference(self.parts)), list(marks.difference(self.parts))
+        for lo in range(0, len(words), 5000):
+            self.parts.update(zip(words[lo : lo + 5000], self._side_by_side(words[lo : lo + 5000])))
+        self.parts.update(zip(marks, self._one_by_one(marks)))
+        self.chunks.update((c, self.parts[w] + self.parts[m]) for c, w, m in split)
+        for lo in range(0, len(other), 5000):
+            self.chunks.update(zip(other[lo : lo + 5000], self._one_by_one(other[lo : lo + 5000])))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(texts), 100):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts[lo : lo + 100]]
-            new = set().union(*split).difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*split)
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                self.memo.update(zip(new[at : at + 20_000], self._encode(new[at : at + 20_000])))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
-            for c in new:
-                if len(c) > MEMO_CHARS:
-                    del self.memo[c]
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.chunks)
+        if len(self.chunks) + len(new) > MEMO:
+            self.chunks = {"": b""}
+            new = set().union(*split) - {""}
+        self._learn(list(new))
+        get = self.chunks.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        for c in new:
+            if len(c) > MEMO_CHARS:
+                del self.chunks[c]
         return out
 
 

@@ -25,15 +25,19 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geomill.session import bytes_of, cut
+from geomill.session import bytes_of
 
 ROUNDS = 3
+#: Interior symbols to either side of the least one that its window's anchor takes in.
+SIDES = 2
 #: Stored bytes of documents that a group gets on average.
 GROUP_BYTES = 1 << 20
+#: Stands for a null doc_id: it comes after all others.
+_LAST = 2**63 - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol index, names of all last-round symbols): the anchor of the window at each of ``starts``."""
+    """Names of the anchors of the windows at ``starts``, and for each the index of its symbol."""
     sym, lo, hi = codes, starts, starts + window
     for r in range(rounds):
         right = (_mix(sym ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)).astype(bool)
@@ -71,7 +75,11 @@ def anchors(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int,
         own = level == k
         a, b = best[k][lo[own]], best[k][hi[own] - (1 << k)]
         at[own] = np.where(names[a] <= names[b], a, b)
-    return at, names
+    name = names[at]
+    for d in range(1, SIDES + 1):
+        for side, inside in ((at - d, at - d >= lo), (at + d, at + d < hi)):
+            name = _mix(name * _A + np.where(inside, names[np.clip(side, 0, len(names) - 1)], _C))
+    return name, at
 
 
 class _Group:
@@ -95,7 +103,7 @@ class _Group:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.starts):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
         return anchors(self.codes, self.doc, self.starts, self.window)
 
     def keys(self, starts: np.ndarray) -> np.ndarray:
@@ -107,11 +115,11 @@ class _Group:
 
     def candidates(self, names: np.ndarray) -> np.ndarray:
         """Starts of the windows whose anchor is one of the sorted ``names``."""
-        at, all_names = self.anchors()
-        if not len(at) or not len(names):
+        own, _ = self.anchors()
+        if not len(own) or not len(names):
             return np.empty(0, np.int64)
-        i = np.minimum(np.searchsorted(names, all_names), len(names) - 1)
-        return self.starts[(names[i] == all_names)[at]]
+        i = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        return self.starts[names[i] == own]
 
     def first(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct keys, start of each key's first window, whether it has others) in this group.
@@ -130,7 +138,7 @@ class _Group:
     def place(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, start in that document); a null doc_id comes after all others."""
         d = self.doc[starts]
-        ids = np.array([2**63 - 1 if i is None else i for i in self.ids], np.int64) if self.ids else np.empty(0, np.int64)
+        ids = np.array([_LAST if i is None else i for i in self.ids], np.int64) if self.ids else np.empty(0, np.int64)
         return ids[d], starts - (self.ends - self.sizes)[d]
 
 
@@ -138,6 +146,10 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def _group_of(doc_id: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int")
+
+
 def _sorted_names(marks: pa.Table, column: str) -> np.ndarray:
     return np.sort(marks.column(column).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -160,13 +172,15 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError("window must be 15 or more")
     groups = max(1, math.ceil(bytes_of(docs) / GROUP_BYTES))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    own = own.withColumn("g", _group_of(F.col("doc_id"), groups))
 
     def name(key, t):
-        at, names = _Group(t, window).anchors()
-        used = np.zeros(len(names), bool)
-        used[at] = True
-        distinct, counts = np.unique(names[used], return_counts=True)
+        names, at = _Group(t, window).anchors()
+        order = np.lexsort((at, names))
+        names, at = names[order], at[order]
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (at[1:] != at[:-1])
+        distinct, counts = np.unique(names[new], return_counts=True)  # a name at two places repeats
         return pa.table({"g": pa.array(np.full(len(distinct), key[0].as_py(), np.int32)), "name": _long(distinct), "many": pa.array(counts > 1)})
 
     named = own.groupBy("g").applyInArrow(name, "g int, name long, many boolean")
@@ -177,12 +191,12 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         group = _Group(t, window)
         keys, at, many = group.first(group.candidates(_sorted_names(marks, "name")))
         ids, start = group.place(at)
-        g = (key[0] if len(key) else marks.column("g")[0]).as_py()
-        return pa.table({"g": pa.array(np.full(len(keys), g, np.int32)), "key": _long(keys), "doc": _long(ids), "start": pa.array(start.astype(np.int32)), "many": pa.array(many)})
+        return pa.table({"key": _long(keys), "doc": _long(ids), "place": _long(start * 2 + many)})
 
-    keyed = own.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(key_windows, "g int, key long, doc long, start int, many boolean")
+    keyed = own.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(key_windows, "key long, doc long, place long")
     by = W.partitionBy("key")
-    verdicts = cut(keyed.withColumn("n", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy("doc", "start"))).filter("n > 1 OR many").select("g", "key", (F.col("rank") == 1).alias("first")))
+    ranked = keyed.withColumn("n", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy("doc", "place")))
+    verdicts = ranked.filter("n > 1 OR place % 2 = 1").select(_group_of(F.nullif(F.col("doc"), F.lit(_LAST)), groups).alias("g"), "key", (F.col("rank") == 1).alias("first"))
 
     def drop(key, t, marks):
         group = _Group(t, window)
