@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import html, langid, packing, sampling, simhash, substring, toxicity
+from geomill.llm import flatgraph, html, langid, nearest, packing, sampling, simhash, substring, toxicity
 from geomill.session import table
 
 
@@ -31,6 +31,14 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", substring.kept_words_sha256().alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_html, op8_simhash, op9_language, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_html, op4_vectors, op7_nearest, op8_simhash, op9_language, op10_substring)}
 
 #: No operator here has a SQL counterpart that is fast enough on whole tables; tests compare with brute force.
 ORACLES: dict[str, str] = {}
