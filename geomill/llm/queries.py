@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.llm import flatgraph, html, langid, nearest, packing, sampling, simhash, substring, toxicity
+from geomill.llm import flatgraph, html, langid, mixing, nearest, packing, sampling, simhash, substring, tokenfiles, toxicity
 from geomill.session import table
 
 
@@ -35,6 +35,14 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.document_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), separator=49407).select("doc_id", "n_tokens")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_order(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,7 +63,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", substring.kept_words_sha256().alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_html, op4_vectors, op7_nearest, op8_simhash, op9_language, op10_substring)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_html, op4_vectors, op5_tokens, op6_mixing, op7_nearest, op8_simhash, op9_language, op10_substring)}
 
 #: No operator here has a SQL counterpart that is fast enough on whole tables; tests compare with brute force.
 ORACLES: dict[str, str] = {}
