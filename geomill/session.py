@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,8 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: file bytes for a scan, no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the rows: Catalyst's estimate (file bytes for a scan) where it has one, else a job that adds up their JSON."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 55:
+        return known
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
