@@ -331,7 +331,7 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, rows: int = AUDI
     return sums[1] / sums[0] if sums[0] else 1.0
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", overlap: int = 2, beam: int = 32, recall: float = 0.98, attempts: int = 3, rounds: int = 6) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", overlap: int = 2, beam: int = 32, recall: float = 0.999, attempts: int = 3, rounds: int = 6) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept.
 
     Rows link where the cosine of their vectors is ``threshold`` or more.

@@ -160,8 +160,26 @@ def _tree(x: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among equal keys of arrays sorted by key: all of short runs, a spanning forest of long ones."""
+def _dense_links(x: np.ndarray, distance: int, nearest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a long run: all of a member that has few, else those to its ``nearest`` nearest and to the first in range."""
+    out, many = [], max(1, (1 << 22) // len(x))
+    for lo in range(0, len(x), many):
+        bits = np.bitwise_count(x[lo : lo + many, None] ^ x[None, :])
+        bits[np.arange(len(bits)), np.arange(lo, lo + len(bits))] = 255
+        near = bits <= distance
+        count = near.sum(1)
+        few, dense = np.flatnonzero((count > 0) & (count <= 4 * nearest)), np.flatnonzero(count > 4 * nearest)
+        i, j = np.nonzero(near[few])
+        out.append((x[lo + few[i]], x[j]))
+        if len(dense):
+            closest = np.argpartition(bits[dense], nearest, axis=1)[:, :nearest]
+            out.append((np.repeat(x[lo + dense], nearest), x[closest.ravel()]))
+            out.append((x[lo + dense], x[near[dense].argmax(1)]))
+    return out
+
+
+def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links among equal keys of arrays sorted by key: all of short runs, of long ones a spanning forest or, with ``nearest``, ``_dense_links``."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     long_run = np.repeat(sizes > SHORT_RUN, sizes)
@@ -170,18 +188,20 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nda
         near = (keys[d:] == keys[:-d]) & ~long_run[d:] & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= distance)
         out.append((fps[d:][near], fps[:-d][near]))
     for at, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
-        out += _tree(np.unique(fps[at : at + size]), distance)
+        run = np.unique(fps[at : at + size])
+        out += _dense_links(run, distance, nearest) if nearest and len(run) > 1 else _tree(run, distance)
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list[int], int]] | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list[int], int]] | None = None, nearest: int = 0) -> DataFrame:
     """(a, b) links among the distinct fingerprints of ``fps``: enough to connect all within ``distance``.
 
     Each fingerprint goes to the cells that it reaches under every group's
     threshold; a cell's members are verified on all 64 bits.  Cells with many
-    members return a spanning forest instead of all pairs.
+    members return a spanning forest instead of all pairs or, with ``nearest``,
+    the links of each member to that many nearest ones.
     """
     probes = probes or plan_probes(fps, distance)
     cells = [(i, _masks(bits), _flips(bits, t)) for i, (bits, t) in enumerate(probes)]
@@ -207,7 +227,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
                 held = [keys[rest:], x[rest:]]
                 keys, x = keys[:rest], x[:rest]
             if len(keys):
-                a, b = _run_edges(keys, x, distance)
+                a, b = _run_edges(keys, x, distance, nearest)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     rows = fps.select("fp").mapInArrow(spread, "part int, cell long, fp long")
@@ -235,3 +255,66 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
     parts = connected_components(reps, "x", "y")
     of = groups.join(parts, groups.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of ``text``; the whole sequence where it has fewer words."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[i : i + words])) for i in range(max(1, len(parts) - words + 1))], np.uint64))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of ids in ``docs`` (id, text), one row an id, whose shingle sets have that Jaccard similarity or more."""
+
+    def run(batches):
+        for batch in batches:
+            kept, last, own = [], None, None
+            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                if a != last:
+                    last, own = a, shingle_set(x, words)
+                other = shingle_set(y, words)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                kept.append(both >= similarity * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    left = docs.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = docs.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, distance: int = 8, words: int = 3) -> DataFrame:
+    """One row per document: doc_id, component_id, kept; documents link at that Jaccard similarity of their word shingles.
+
+    Candidates are texts whose fingerprints differ in at most ``distance``
+    bits; each candidate link is verified on the whole texts.  Texts of equal
+    words, upper and lower case alike, are one before any search.  In a cell
+    where a text has very many candidates the nearest are verified.  Cases are
+    those of ``near_duplicates``; blank texts are copies of each other.
+    """
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            sums = [xxhash.xxh128_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in texts]
+            t1, t2 = (pa.array(np.array([(v >> at) & (2**64 - 1) for v in sums], np.uint64).view(np.int64)) for at in (0, 64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), t1, t2], ["doc_id", "fp", "t1", "t2"])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = cut(text.mapInArrow(run, "doc_id long, fp long, t1 long, t2 long"))
+    nodes = cut(own.groupBy("fp", "t1", "t2").agg(F.min("doc_id").alias("rep")))
+    named = nodes.filter("rep IS NOT NULL")
+    heads = cut(named.groupBy("fp").agg(F.min("rep").alias("head")))
+    edges = named.join(heads, "fp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    if not heads.isEmpty():
+        links = fingerprint_links(heads, distance, nearest=6)
+        between = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+        edges = edges.union(between.select(F.least("x", "y"), F.greatest("x", "y")))
+    edges = cut(edges.distinct())
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    texts = text.join(ends, text.doc_id == ends.id, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+    parts = connected_components(verify(edges, texts, similarity, shingle_words), "a", "b")
+    of = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", "t1", "t2", F.coalesce("component", "rep").alias("component_id"))
+    return own.join(of, ["fp", "t1", "t2"]).select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

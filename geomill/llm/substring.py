@@ -89,6 +89,7 @@ class _Group:
         ids = docs.column("doc_id").to_pylist()
         texts = docs.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
+        self.rows = docs.combine_chunks().take(pa.array(order, pa.int64()))
         self.ids = [ids[i] for i in order]
         self.words = [(texts[i] or "").encode("utf-8", "surrogatepass").split() for i in order]
         self.raw = [texts[i] for i in order]
@@ -154,8 +155,8 @@ def _sorted_names(marks: pa.Table, column: str) -> np.ndarray:
     return np.sort(marks.column(column).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text.
+def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_text, and the columns of ``keep``.
 
     A word goes if a window of ``window`` consecutive words covers it whose
     sequence also starts earlier: at a smaller doc_id, or earlier in the same
@@ -171,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 15:
         raise ValueError("window must be 15 or more")
     groups = max(1, math.ceil(bytes_of(docs) / GROUP_BYTES))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     own = own.withColumn("g", _group_of(F.col("doc_id"), groups))
 
     def name(key, t):
@@ -222,9 +223,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             out = gone[group.ends[d] - len(words) : group.ends[d]]
             n_removed.append(int(out.sum()))
             kept.append(group.raw[d] if not n_removed[-1] else b" ".join([w for w, o in zip(words, out.tolist()) if not o]).decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": pa.array(group.ids, pa.int64()), "n_words": _long(group.sizes), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": pa.array(group.ids, pa.int64()), "n_words": _long(group.sizes), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), **{c: group.rows.column(c) for c in keep}})
 
-    return own.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept_text string")
+    kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return own.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(drop, ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *kept]))
 
 
 def kept_words_sha256(column: str = "kept_text"):
