@@ -15,7 +15,8 @@ Spark rounds then do the global part: names of anchors are counted over all
 documents, windows under a repeated anchor are keyed and the first of each key
 is found.  Documents are dealt to groups of about ``GROUP_BYTES``; a group
 sends one row for each distinct name or key it holds, so that a passage in a
-third of all documents costs a row per group.
+third of all documents costs a row per group.  Documents whose whole text a
+smaller doc_id has, by a 128-bit hash, send nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ from geomill.session import bytes_of
 
 ROUNDS = 3
 #: Interior symbols to either side of the least one that its window's anchor takes in.
-SIDES = 2
+SIDES = 1
 #: Stored bytes of documents that a group gets on average.
 GROUP_BYTES = 1 << 20
 #: Stands for a null doc_id: it comes after all others.
@@ -82,25 +82,63 @@ def anchors(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int,
     return name, at
 
 
+#: Random odd factors of bytes and of words, their inverses modulo 2**64, and a random value for each byte.
+_BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64."""
+    p = np.full(max(1, n), base % 2**64, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)[:n]
+
+
+def _span_hashes(values: np.ndarray, base: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of the values of each span, by differences of one running sum; spans of equal values have equal hashes."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(base, len(values)), out=sums[1:])
+    return _mix((sums[stops] - sums[starts]) * _powers(pow(base, -1, 2**64), len(values) + 1)[starts] + (stops - starts).astype(np.uint64))
+
+
 class _Group:
-    """The documents of one group in the order of doc_id, their words coded and laid end to end."""
+    """The documents of one group in the order of doc_id, their words coded and laid end to end.
+
+    Documents known as copies have no windows: all that they could have start
+    earlier, in the first of the copies.
+    """
 
     def __init__(self, docs: pa.Table, window: int):
+        marks = docs.column("copy").to_numpy(zero_copy_only=False).astype(bool)
+        copies = set(docs.filter(pa.array(marks)).column("doc_id").to_pylist())
+        docs = docs.filter(pa.array(~marks)).combine_chunks()
         ids = docs.column("doc_id").to_pylist()
-        texts = docs.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
-        self.rows = docs.combine_chunks().take(pa.array(order, pa.int64()))
+        texts = docs.column("text").cast(pa.binary()).to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
+        self.rows = docs.take(pa.array(order, pa.int64()))
         self.ids = [ids[i] for i in order]
-        self.words = [(texts[i] or "").encode("utf-8", "surrogatepass").split() for i in order]
         self.raw = [texts[i] for i in order]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.copy = np.array([i in copies for i in self.ids], bool)
+        whole = b" ".join([x or b"" for x in self.raw]) + b" "
+        limits = np.cumsum([len(x or b"") + 1 for x in self.raw])
+        self.bytes = np.frombuffer(whole, np.uint8)
+        space = _SPACE[self.bytes]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
+        self.begin, self.stop = edge[::2], edge[1::2]
+        self.doc = np.searchsorted(limits, self.begin, side="right")
+        self.sizes = np.bincount(self.doc, minlength=len(order)).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
-        n, digest = int(self.sizes.sum()), xxhash.xxh64_intdigest
-        self.codes = np.fromiter((digest(w) for ws in self.words for w in ws), np.uint64, n)
-        self.doc = np.repeat(np.arange(len(order)), self.sizes)
+        self.codes = _span_hashes(_VALUES[self.bytes], _BYTE, self.begin, self.stop)
         self.window = window
-        end = self.ends[self.doc] if n else np.empty(0, np.int64)
-        self.starts = np.flatnonzero(np.arange(n) + window <= end)
+        n = len(self.codes)
+        self.starts = np.flatnonzero(np.arange(n) + window <= self.ends[self.doc]) if n else np.empty(0, np.int64)
+        self.starts = self.starts[~self.copy[self.doc[self.starts]]]
+
+    def kept(self, d: int, gone: np.ndarray) -> bytes:
+        """The words of document ``d`` that aren't ``gone``, joined by one space."""
+        at = np.flatnonzero(~gone) + self.ends[d] - self.sizes[d]
+        return b" ".join([self.bytes[i:j].tobytes() for i, j in zip(self.begin[at].tolist(), self.stop[at].tolist())])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.starts):
@@ -109,10 +147,7 @@ class _Group:
 
     def keys(self, starts: np.ndarray) -> np.ndarray:
         """64-bit keys of the windows at ``starts``."""
-        key = np.zeros(len(starts), np.uint64)
-        for k in range(self.window):
-            key = _mix(key * _A + self.codes[starts + k])
-        return key
+        return _span_hashes(self.codes, _WORD, starts, starts + self.window)
 
     def candidates(self, names: np.ndarray) -> np.ndarray:
         """Starts of the windows whose anchor is one of the sorted ``names``."""
@@ -155,6 +190,14 @@ def _sorted_names(marks: pa.Table, column: str) -> np.ndarray:
     return np.sort(marks.column(column).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _copies(own: DataFrame, groups: int) -> DataFrame:
+    """A mark (doc_id, null text, g, copy) for each document whose text a smaller doc_id has too."""
+    slim = own.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    first = slim.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
+    later = slim.join(first, ["a", "b"]).filter("doc_id > first")
+    return later.select("doc_id", F.lit(None).cast("string").alias("text"), _group_of(F.col("doc_id"), groups).alias("g"), F.lit(True).alias("copy"))
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text, and the columns of ``keep``.
 
@@ -173,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
         raise ValueError("window must be 15 or more")
     groups = max(1, math.ceil(bytes_of(docs) / GROUP_BYTES))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    own = own.withColumn("g", _group_of(F.col("doc_id"), groups))
+    own = own.withColumn("g", _group_of(F.col("doc_id"), groups)).withColumn("copy", F.lit(False)).unionByName(_copies(own, groups), allowMissingColumns=True)
 
     def name(key, t):
         names, at = _Group(t, window).anchors()
@@ -219,11 +262,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep: tuple[str, ...] = ()
             np.add.at(gone, starts[~stays] + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         n_removed, kept = [], []
-        for d, words in enumerate(group.words):
-            out = gone[group.ends[d] - len(words) : group.ends[d]]
+        for d in range(len(group.ids)):
+            out = gone[group.ends[d] - group.sizes[d] : group.ends[d]]
+            if group.copy[d] and len(out) >= window:
+                out = np.ones(len(out), bool)
             n_removed.append(int(out.sum()))
-            kept.append(group.raw[d] if not n_removed[-1] else b" ".join([w for w, o in zip(words, out.tolist()) if not o]).decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": pa.array(group.ids, pa.int64()), "n_words": _long(group.sizes), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), **{c: group.rows.column(c) for c in keep}})
+            kept.append(group.raw[d] if not n_removed[-1] else group.kept(d, out))
+        return pa.table({"doc_id": pa.array(group.ids, pa.int64()), "n_words": _long(group.sizes), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), **{c: group.rows.column(c) for c in keep}})
 
     kept = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return own.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(drop, ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *kept]))
