@@ -6,7 +6,7 @@ from importlib import import_module
 
 from geomill.plans.registry import ORACLES, QUERIES
 
-MODULES = ("assets",)
+MODULES = ("assets", "series", "spatial")
 
 
 def all_queries() -> tuple[dict, dict]:
