@@ -6,7 +6,7 @@ from importlib import import_module
 
 from geomill.plans.registry import ORACLES, QUERIES
 
-MODULES = ("assets", "series", "spatial")
+MODULES = ("assets", "series", "spatial", "network", "raster")
 
 
 def all_queries() -> tuple[dict, dict]:
