@@ -6,7 +6,7 @@ from importlib import import_module
 
 from geomill.plans.registry import ORACLES, QUERIES
 
-MODULES = ("assets", "series", "spatial", "network", "raster")
+MODULES = ("assets", "copying", "series", "spatial", "network", "raster", "messages")
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -19,7 +19,7 @@ def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(F.broadcast(last), F.col("l_shipdate") < F.col("d")).select("l_partkey", "l_suppkey").distinct()  # last: one row
 
 
-@query(f"{_RECENT} SELECT p_brand, count(*) AS n_orphans, sum(p_size) AS size_sum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM used) GROUP BY p_brand")
+@query(f"{_RECENT} SELECT p_brand, count(*) AS n_orphans, CAST(sum(p_size) AS BIGINT) AS size_sum FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM used) GROUP BY p_brand")
 def orphans_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = _recent(spark, sf_dir).select(F.col("l_partkey").cast("string").alias("key"))
     left = assets.orphans(table(spark, sf_dir, "part").withColumn("key", F.col("p_partkey").cast("string")), "key", used)
@@ -178,7 +178,7 @@ def post_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = assets.post_order(assets.ancestry(children.union(region.select("r_name", F.lit(None).cast("string"))), "key", "parent"))
     from pyspark.sql import Window as W
 
-    return tree.select("key", F.row_number().over(W.orderBy("place")).alias("place"))  # regions and nations: 30 rows at any size
+    return tree.select("key", F.row_number().over(W.orderBy("place")).cast("long").alias("place"))  # regions and nations: 30 rows at any size
 
 
 @query("SELECT DISTINCT p_brand AS name, map_type, path FROM (SELECT p_brand, 'Brand' || chr(35) FROM part) s(p_brand, b), (SELECT 'colorMap' AS map_type, 'd' AS suf UNION ALL SELECT 'normalMap', 'n') k, (SELECT DISTINCT 'art/' || lower(p_brand) || CASE p_size % 3 WHEN 0 THEN '_d' WHEN 1 THEN 'n' ELSE '_x' END || '.png' AS path FROM part) f WHERE path = 'art/' || lower(p_brand) || suf || '.png' OR path = 'art/' || lower(p_brand) || '_' || suf || '.png'")
