@@ -111,7 +111,8 @@ def resolve_path(base: str | Column, path: str | Column, distinct_segments: bool
 
 def sanitise(path: str | Column) -> Column:
     """Doubled ``levels`` folders of a path become one."""
-    return F.replace(F.col(path) if isinstance(path, str) else path, F.lit("levels\\levels"), F.lit("levels"))
+    path = F.col(path) if isinstance(path, str) else path
+    return F.replace(F.replace(path, F.lit("levels\\levels"), F.lit("levels")), F.lit("levels\\game:levels"), F.lit("levels"))
 
 
 def offset_vector(vector: str | Column, offsets: list[float], first: int = 0) -> Column:
@@ -164,13 +165,13 @@ IMAGE_ENDINGS = (".dds", ".png", ".jpg", ".jpeg", ".tga")
 
 
 def textures_by_name(materials: DataFrame, name: str, files: DataFrame, path: str, suffixes: dict[str, str]) -> DataFrame:
-    """(name, map_type, path): files whose stem is a material's name and one of ``suffixes`` (suffix -> map type), joined by nothing or ``_``; case aside."""
+    """(name, map_type, path): files whose stem, with or without ``t_`` before it, is a material's name and one of ``suffixes`` (suffix -> map type); case and a second ending .color, .data or .normal aside."""
     kinds = F.explode(F.map_from_arrays(F.array(*map(F.lit, suffixes)), F.array(*map(F.lit, suffixes.values())))).alias("suffix", "map_type")
     wanted = materials.select(F.col(name).alias("name")).distinct().select("name", kinds)
-    wanted = wanted.select("name", "map_type", F.explode(F.array(F.concat("name", "suffix"), F.concat("name", F.lit("_"), "suffix"))).alias("stem"))
+    wanted = wanted.select("name", "map_type", F.explode(F.array(F.concat("name", "suffix"), F.concat(F.lit("t_"), "name", "suffix"))).alias("stem"))
     base = F.lower(F.element_at(F.split(F.col(path), r"[/\\]"), -1))
     ending = F.regexp_extract(base, r"(\.[a-z]+)$", 1)
-    stems = files.filter(ending.isin(*IMAGE_ENDINGS)).select(F.col(path).alias("path"), F.regexp_replace(base, r"(\.[a-z]+)+$", "").alias("_stem"))
+    stems = files.filter(ending.isin(*IMAGE_ENDINGS)).select(F.col(path).alias("path"), F.regexp_replace(base, r"(\.(color|data|normal))?\.[a-z]+$", "").alias("_stem"))
     return wanted.join(stems, F.lower("stem") == F.col("_stem")).select("name", "map_type", "path").distinct()
 
 

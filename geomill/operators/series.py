@@ -151,15 +151,47 @@ def resample(rows: DataFrame, x: str, y: str, key: list[str], order: list[str],
     return s.select(*key, F.coalesce("step", F.ceil(F.col("from_start") / interval)).alias("step"), "distance", (F.col(x) + t * (F.coalesce("_nx", x) - F.col(x))).alias(x), (F.col(y) + t * (F.coalesce("_ny", y) - F.col(y))).alias(y))
 
 
-#: Priority of road classes; any other has 35.
-ROAD_PRIORITY = {"motorway": 100, "trunk": 95, "primary": 90, "secondary": 80, "tertiary": 70, "unclassified": 60, "residential": 50, "living_street": 45, "service": 40, "track": 30, "path": 20, "footway": 15}
-
-
-def effective_priority(road_class: str, place: str, width: str, table: dict[str, int] | None = None) -> Column:
-    """100 times the class's priority less the place in the material order; where there is no class, the width in metres times 10."""
-    table = table or ROAD_PRIORITY
-    known = F.element_at(F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values()))), F.col(road_class))
-    return F.when(F.col(road_class).isNull(), F.round(F.col(width) * 10).cast("int")).otherwise(F.coalesce(known, F.lit(35)) * 100 + F.col(place))
+#: Priority of road classes, and of any other class.
+ROAD_PRIORITY = {
+    "motorway": 100,
+    "motorway_link": 95,
+    "trunk": 90,
+    "trunk_link": 85,
+    "primary": 80,
+    "primary_link": 78,
+    "secondary": 75,
+    "secondary_link": 73,
+    "tertiary": 60,
+    "tertiary_link": 58,
+    "residential": 55,
+    "unclassified": 50,
+    "service": 45,
+    "living_street": 40,
+    "track": 30,
+    "path": 25,
+    "footway": 20,
+    "cycleway": 20,
+    "bridleway": 15,
+    "pedestrian": 15,
+    "steps": 10,
+    "busway": 5,
+    "raceway": 5,
+    "proposed": 1,
+}
+OTHER_PRIORITY = 35
+
+
+def lookup(table: dict, key: Column, default) -> Column:
+    """``key``'s value in a small table, ``default`` where it has none."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+
+def effective_priority(road_class: str, place: str, width: str) -> Column:
+    """100 times the priority, plus the place in the material order: that of the class, or without one 5 for each metre of width, 10 to 100."""
+    known = lookup(ROAD_PRIORITY, F.lower(road_class), OTHER_PRIORITY)
+    by_width = F.greatest(F.lit(10.0), F.least(F.lit(100.0), F.col(width) * 5)).cast("int")
+    return F.when(F.coalesce(F.col(road_class), F.lit("")) == "", by_width).otherwise(known) * 100 + F.col(place)
 
 
 def blend(t: Column, kind: str) -> Column:
@@ -176,7 +208,7 @@ def blend(t: Column, kind: str) -> Column:
 
 def banked_edges(elevation: str, half_width: str, bank: str) -> tuple[Column, Column]:
     """Left and right edge elevations of a cross-section banked by an angle in radians."""
-    rise = F.col(half_width) * F.tan(F.col(bank))
+    rise = F.col(half_width) * F.sin(F.col(bank))
     return F.col(elevation) - rise, F.col(elevation) + rise
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geomill.operators.graph import connected_components
+from geomill.operators.series import lookup
 
 #: Metres in a degree of latitude.
 DEGREE_METRES = 111_320.0
@@ -130,7 +131,24 @@ def first_of(columns: list[str]) -> Column:
 
 
 #: Tag keys in the order in which they name a feature.
-PRIMARY_KEYS = ("highway", "railway", "waterway", "building", "landuse", "natural", "leisure", "amenity", "barrier", "man_made")
+PRIMARY_KEYS = ("highway", "landuse", "natural", "building", "waterway", "railway", "amenity", "leisure", "boundary", "place")
+
+#: Default widths in metres of lines, by category and then value, and of other values and categories.
+LINE_WIDTHS = {
+    "highway": {"motorway": 20.0, "motorway_link": 12.0, "trunk": 18.0, "trunk_link": 10.0, "primary": 16.0, "primary_link": 8.0, "secondary": 14.0, "secondary_link": 7.0, "tertiary": 12.0, "tertiary_link": 6.0, "unclassified": 10.0, "residential": 10.0, "living_street": 8.0, "service": 6.0, "track": 4.0, "path": 2.0, "footway": 2.0, "pedestrian": 4.0, "cycleway": 3.0, "bridleway": 3.0, "steps": 2.0},
+    "railway": {"rail": 6.0, "light_rail": 5.0, "subway": 5.0, "tram": 4.0, "narrow_gauge": 3.0, "miniature": 2.0},
+    "waterway": {"river": 20.0, "canal": 15.0, "stream": 6.0, "drain": 4.0, "ditch": 2.0},
+}
+OTHER_WIDTHS = {"highway": 8.0, "railway": 4.0, "waterway": 6.0}
+OTHER_WIDTH = 6.0
+
+
+def default_width(category: str, value: str) -> Column:
+    """Width in metres of a line feature that has none of its own."""
+    out = F.lit(OTHER_WIDTH)
+    for name, table in LINE_WIDTHS.items():
+        out = F.when(F.col(category) == name, lookup(table, F.col(value), OTHER_WIDTHS[name])).otherwise(out)
+    return out
 
 
 def primary_tag(tags: str) -> tuple[Column, Column]:
@@ -140,13 +158,12 @@ def primary_tag(tags: str) -> tuple[Column, Column]:
 
 
 def structure_type(tags: str) -> Column:
-    """bridge, tunnel, culvert or none from a tag map."""
-    def has(key):
-        v = F.try_element_at(F.col(tags), F.lit(key))
-        return v.isNotNull() & (v != "no")
-
-    culvert = F.try_element_at(F.col(tags), F.lit("tunnel")) == "culvert"
-    return F.when(F.coalesce(culvert, F.lit(False)), "culvert").when(has("tunnel"), "tunnel").when(has("bridge"), "bridge").otherwise("none")
+    """bridge, tunnel, culvert, building_passage or none from a tag map; a bridge is one before all else."""
+    tag = lambda k: F.lower(F.try_element_at(F.col(tags), F.lit(k)))
+    is_set = lambda k: F.coalesce(tag(k) != "no", F.lit(False))
+    covered = F.coalesce(tag("covered") == "yes", F.lit(False))
+    kind = F.when(tag("tunnel").isin("building_passage", "culvert"), tag("tunnel")).when(tag("tunnel").isNotNull(), "tunnel").otherwise("building_passage")
+    return F.when(is_set("bridge"), "bridge").when(is_set("tunnel") | covered, kind).otherwise("none")
 
 
 def merge_chunks(chunks: DataFrame, key: list[str], order: list[str]) -> DataFrame:

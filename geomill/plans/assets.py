@@ -181,12 +181,12 @@ def post_order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("key", F.row_number().over(W.orderBy("place")).cast("long").alias("place"))  # regions and nations: 30 rows at any size
 
 
-@query("SELECT DISTINCT p_brand AS name, map_type, path FROM (SELECT p_brand, 'Brand' || chr(35) FROM part) s(p_brand, b), (SELECT 'colorMap' AS map_type, 'd' AS suf UNION ALL SELECT 'normalMap', 'n') k, (SELECT DISTINCT 'art/' || lower(p_brand) || CASE p_size % 3 WHEN 0 THEN '_d' WHEN 1 THEN 'n' ELSE '_x' END || '.png' AS path FROM part) f WHERE path = 'art/' || lower(p_brand) || suf || '.png' OR path = 'art/' || lower(p_brand) || '_' || suf || '.png'")
+@query("SELECT DISTINCT p_brand AS name, map_type, path FROM (SELECT p_brand, 'Brand' || chr(35) FROM part) s(p_brand, b), (SELECT 'colorMap' AS map_type, '_d' AS suf UNION ALL SELECT 'normalMap', '_n') k, (SELECT DISTINCT 'art/' || lower(p_brand) || CASE p_size % 3 WHEN 0 THEN '_d.color' WHEN 1 THEN '_n' ELSE '_x' END || '.png' AS path FROM part) f WHERE path IN ('art/' || lower(p_brand) || suf || '.png', 'art/' || lower(p_brand) || suf || '.color.png')")
 def textures_by_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    ending = F.when(F.col("p_size") % 3 == 0, "_d").when(F.col("p_size") % 3 == 1, "n").otherwise("_x")
+    ending = F.when(F.col("p_size") % 3 == 0, "_d.color").when(F.col("p_size") % 3 == 1, "_n").otherwise("_x")
     files = part.select(F.concat(F.lit("art/"), F.lower("p_brand"), ending, F.lit(".png")).alias("path")).distinct()
-    return assets.textures_by_name(part, "p_brand", files, "path", {"d": "colorMap", "n": "normalMap"})
+    return assets.textures_by_name(part, "p_brand", files, "path", {"_d": "colorMap", "_n": "normalMap"})
 
 
 @query("SELECT DISTINCT f AS file FROM (SELECT p_name || '.dae' AS f FROM part UNION ALL SELECT p_name || '.terrain.json' FROM part WHERE p_size > 25)")

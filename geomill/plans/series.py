@@ -128,12 +128,14 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN CAST(round((o_orderkey % 7) * 10) AS INT) ELSE
-    (CASE o_orderpriority WHEN '1-URGENT' THEN 90 WHEN '2-HIGH' THEN 80 WHEN '3-MEDIUM' THEN 50 ELSE 35 END) * 100 + o_orderkey % 5 END AS priority FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN CAST(greatest(10, least(100, (o_orderkey % 25) * 5)) AS INT)
+    ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 100 WHEN '2-HIGH' THEN 75 WHEN '3-MEDIUM' THEN 20 ELSE 35 END END * 100 + o_orderkey % 5 AS priority FROM orders"""
 )
 def road_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).withColumn("c", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority"))).withColumn("p", F.col("o_orderkey") % 5).withColumn("w", (F.col("o_orderkey") % 7).cast("double"))
-    return rows.select("o_orderkey", series.effective_priority("c", "p", "w", {"1-URGENT": 90, "2-HIGH": 80, "3-MEDIUM": 50}).cast("long").alias("priority"))
+    kind = F.col("o_orderpriority")
+    named = F.when(kind == "1-URGENT", "motorway").when(kind == "2-HIGH", "Secondary").when(kind == "3-MEDIUM", "cycleway").otherwise("lane")
+    rows = _orders(spark, sf_dir).withColumn("c", F.when(F.col("o_orderkey") % 11 != 0, named)).withColumn("p", F.col("o_orderkey") % 5).withColumn("w", (F.col("o_orderkey") % 25).cast("double"))
+    return rows.select("o_orderkey", series.effective_priority("c", "p", "w").cast("long").alias("priority"))
 
 
 @query(
@@ -145,7 +147,7 @@ def blend_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(*[F.round(F.sum(series.blend(t, k)), 2).alias(k) for k in ("linear", "cosine", "cubic", "quintic")])
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - l_quantity * tan(l_discount), 4) AS left_edge, round(l_extendedprice + l_quantity * tan(l_discount), 4) AS right_edge FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice - l_quantity * sin(l_discount), 4) AS left_edge, round(l_extendedprice + l_quantity * sin(l_discount), 4) AS right_edge FROM lineitem")
 def banked_edge_elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = series.banked_edges("l_extendedprice", "l_quantity", "l_discount")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(left, 4).alias("left_edge"), F.round(right, 4).alias("right_edge"))

@@ -142,6 +142,15 @@ def tag_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("tags", tags).select("o_orderkey", category.alias("category"), value.alias("value"), spatial.structure_type("tags").alias("structure"))
 
 
+@query("SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN CASE c_mktsegment WHEN 'BUILDING' THEN 20.0 WHEN 'MACHINERY' THEN 2.0 ELSE 8.0 END WHEN 1 THEN CASE c_mktsegment WHEN 'MACHINERY' THEN 15.0 ELSE 6.0 END ELSE 6.0 END AS width FROM customer")
+def default_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, m = F.col("c_nationkey") % 3, F.col("c_mktsegment")
+    category = F.when(n == 0, "highway").when(n == 1, "waterway").otherwise("barrier")
+    value = F.when((n == 0) & (m == "BUILDING"), "motorway").when((n == 0) & (m == "MACHINERY"), "steps").when((n == 1) & (m == "MACHINERY"), "canal").otherwise("x")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", category.alias("category"), value.alias("value"))
+    return rows.select("c_custkey", spatial.default_width("category", "value").alias("width"))
+
+
 @query("SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2")
 def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.merge_chunks(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey")

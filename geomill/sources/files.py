@@ -100,16 +100,24 @@ def osm_elements(texts: DataFrame, text: str) -> DataFrame:
 
 
 def geometry_type(tags: str, geometry: str, kind: str) -> Column:
-    """point, line or polygon of an element: by its type, the ``area`` tag, a closed outline and the tags of things that are areas."""
+    """point, line or polygon of an element: by relation type, the ``area`` tag, tags of areas and of lines, and closed outlines."""
     first, last = F.get(geometry, F.lit(0)), F.try_element_at(F.col(geometry), F.lit(-1))
-    closed = (F.size(geometry) > 3) & (F.abs(first.lat - last.lat) < 1e-7) & (F.abs(first.lon - last.lon) < 1e-7)
+    closed = F.coalesce((F.size(geometry) > 2) & (F.abs(first.lat - last.lat) < 1e-7) & (F.abs(first.lon - last.lon) < 1e-7), F.lit(False))
     tag = lambda k: F.try_element_at(F.col(tags), F.lit(k))
-    area_like = F.coalesce(tag("building"), tag("landuse"), tag("natural"), tag("leisure"), tag("amenity")).isNotNull() & F.coalesce(tag("natural") != "coastline", F.lit(True))
-    line_like = F.coalesce(tag("highway"), tag("waterway"), tag("railway"), tag("barrier")).isNotNull()
+    relation = F.col(kind) == "relation"
+    outline = F.when(relation | closed, "polygon").otherwise("line")
     return (
-        F.when(F.col(kind) == "node", "point").when((F.col(kind) == "relation") & (tag("type") == "multipolygon"), "polygon").when(F.col(kind) == "relation", "line")
-        .when(~F.coalesce(closed, F.lit(False)), "line").when(tag("area") == "yes", "polygon").when(tag("area") == "no", "line").when(area_like, "polygon").when(line_like, "line").otherwise("polygon")
-    )
+        F.when(F.col(kind) == "node", "point")
+        .when(relation & tag("type").isin("multipolygon", "boundary"), "polygon")
+        .when(F.lower(tag("area")) == "yes", "polygon")
+        .when(F.lower(tag("area")) == "no", "line")
+        .when(F.coalesce(*map(tag, ("building", "landuse", "leisure", "amenity", "boundary"))).isNotNull(), outline)
+        .when(tag("natural") == "coastline", "line")
+        .when(tag("natural").isNotNull(), outline)
+        .when(tag("waterway").isNotNull(), F.when(tag("waterway") == "riverbank", "polygon").otherwise("line"))
+        .when(F.coalesce(tag("highway"), tag("railway")).isNotNull(), "line")
+        .otherwise(F.when(closed, "polygon").otherwise("line"))
+    )
 
 
 def xyz_points(spark: SparkSession, path: str) -> DataFrame:

@@ -66,7 +66,7 @@ def test_map_elements(spark):
     {"type":"way","id":3,"geometry":[{"lat":0,"lon":0}]},{"type":"relation","id":4,"tags":{"type":"multipolygon"}},{"type":"node","id":5,"lat":1,"lon":1},
     {"type":"way","id":6,"tags":{"natural":"coastline"},"geometry":[{"lat":0,"lon":0},{"lat":0,"lon":1},{"lat":1,"lon":1},{"lat":0,"lon":0}]}]}"""
     got = files.osm_elements(spark.createDataFrame([(answer,)], "text string"), "text").withColumn("kind", files.geometry_type("tags", "geometry", "type")).collect()
-    assert {r.id: r.kind for r in got} == {1: "line", 2: "polygon", 4: "polygon", 5: "point", 6: "polygon"}
+    assert {r.id: r.kind for r in got} == {1: "line", 2: "polygon", 4: "polygon", 5: "point", 6: "line"}
     assert {r.id: r.nodes for r in got if r.type == "way"} == {1: [1, 2], 2: None, 6: None}
 
 
