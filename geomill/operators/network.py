@@ -65,6 +65,21 @@ def junction_kinds(members: DataFrame, junction: str, road: str, through: str) -
     return kinds.select(junction, "roads", F.when(n == 1, "Endpoint").when(F.col("_t"), "T").when(n == 2, "Y").when(n <= 4, "X").otherwise("Complex").alias("kind"))
 
 
+def influences_along(rows: DataFrame, key: list[str], along: str, crossings: DataFrame, at: str, level: str) -> DataFrame:
+    """(key, along, level, distance): each row of a road with each crossing of that road, both ways along it; ``crossings`` has key, ``at`` and ``level``."""
+    both = rows.select(*key, along).join(crossings.select(*key, at, level), key)
+    return both.select(*key, along, level, F.abs(F.col(along) - F.col(at)).alias("distance"))
+
+
+def plateaus(rows: DataFrame, junction: str, value: str, priority: str, distance: str, radius: str, reach: float) -> DataFrame:
+    """``rows`` with ``flat``: within the radius the junction's level, the mean by priority of the rows nearest to ``reach``, one a road (``road``)."""
+    w = W.partitionBy(junction, "road").orderBy(F.abs(F.col(distance) - reach), F.col(distance))
+    sampled = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    levels = sampled.groupBy(junction).agg(weighted_mean(value, priority).alias("_level"))
+    t = blend(F.col(distance) / F.col(radius), "cosine")
+    return rows.join(levels, junction).withColumn("flat", F.when(F.col(distance) < F.col(radius), F.col("_level") * (1 - t) + F.col(value) * t).otherwise(F.col(value))).drop("_level")
+
+
 def spread(rows: DataFrame, key: list[str], value: str, influences: DataFrame, level: str, distance: str, reach: float, kind: str = "cosine") -> DataFrame:
     """``rows`` with ``spread``: blended towards the levels of ``influences`` (key, level, distance) nearer than ``reach``.
 

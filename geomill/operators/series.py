@@ -47,6 +47,13 @@ def level(rows: DataFrame, value: str, strength: float) -> DataFrame:
     return rows.join(F.broadcast(mean)).withColumn("levelled", F.col(value) * (1 - strength) + F.col("_mean") * strength).drop("_mean")  # mean: one row
 
 
+def target_elevations(rows: DataFrame, value: str, key: list[str], order: list[str], size: int, strength: float, rise: float) -> DataFrame:
+    """``rows`` with ``target``: box filtered, levelled towards the mean of all, and limited in slope."""
+    smooth = rows.withColumn("_smooth", box_filter(value, along(key, order), size))
+    flat = level(smooth, "_smooth", strength)
+    return limit_slope(flat, "levelled", key, order, rise).withColumnRenamed("limited", "target").drop("_smooth", "levelled")
+
+
 def fill_forward(value: str, w: WindowSpec, default: float = 100.0) -> Column:
     """The last value before or at a row that is neither null nor NaN, else ``default``."""
     return F.coalesce(F.last(F.nanvl(value, F.lit(None)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(default))

@@ -102,3 +102,31 @@ def roundabout_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def network_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = network.network_statistics(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
     return got.select("dimension", "name", "n", F.round("length", 3).alias("length"))
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderkey % 500 AS at, o_totalprice AS level FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+    i AS (SELECT o.o_custkey, o.o_orderkey, c.level, abs(o.o_orderkey % 500 - c.at) AS d, o.o_totalprice AS v FROM orders o JOIN c ON o.o_custkey = c.o_custkey)
+    SELECT o_orderkey, round(CASE WHEN d < 100 THEN v * (1 - (1 - (1 - cos(d / 100 * pi())) / 2)) + level * (1 - (1 - cos(d / 100 * pi())) / 2) ELSE v END, 3) AS height FROM i"""
+)
+def influenced_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 500).alias("at0"), F.col("o_totalprice").alias("v"))
+    first = rows.withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("n = 1")
+    near = network.influences_along(rows, ["o_custkey", "o_orderkey"], "at0", rows.select("o_custkey", "o_orderkey").join(first.select("o_custkey", F.col("at0").alias("at"), F.col("v").alias("level")), "o_custkey"), "at", "level")
+    return network.spread(rows, ["o_custkey", "o_orderkey"], "v", near, "level", "distance", 100.0).select("o_orderkey", F.round("spread", 3).alias("height"))
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS v, l_quantity AS p, l_partkey % 4 AS road, CAST(l_suppkey % 90 AS DOUBLE) AS d, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 4 ORDER BY abs(l_suppkey % 90 - 60), l_suppkey % 90, l_extendedprice) AS n FROM lineitem),
+    a AS (SELECT l_orderkey, v, p, road, d FROM r WHERE n = 1), g AS (SELECT l_orderkey, sum(v * p) / sum(p) AS level FROM a GROUP BY 1)
+    SELECT a.l_orderkey, a.road, round(CASE WHEN d < 40 THEN level * (1 - (1 - cos(d / 40 * pi())) / 2) + v * (1 - cos(d / 40 * pi())) / 2 ELSE v END + {_OFF}, 3) AS flat FROM a JOIN g ON a.l_orderkey = g.l_orderkey"""
+)
+def flattened_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    d = F.col("l_suppkey") % 90
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("p"), (F.col("l_partkey") % 4).alias("road"), d.cast("double").alias("d"), F.lit(40.0).alias("r"))
+    one = rows.withColumn("n", F.row_number().over(W.partitionBy("l_orderkey", "road").orderBy(F.abs(F.col("d") - 60), "d", "v"))).filter("n = 1").drop("n")
+    return network.plateaus(one, "l_orderkey", "v", "p", "d", "r", 60.0).select("l_orderkey", "road", F.round(F.col("flat") + _OFF, 3).alias("flat"))

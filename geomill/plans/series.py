@@ -177,3 +177,13 @@ def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def thinned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.keep_points(_points(spark, sf_dir), "x", "y", KEY, ORDER, "thin", 400.0).select("o_custkey", "o_orderkey")
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey, o_custkey, avg(o_totalprice) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s, row_number() OVER ({_W}) AS i FROM orders),
+    l AS (SELECT *, s * 0.75 + avg(s) OVER () * 0.25 AS v FROM s)
+    SELECT a.o_orderkey, round(min(b.v + 4000.0 * abs(a.i - b.i)), 2) AS target FROM l a JOIN l b ON a.o_custkey = b.o_custkey GROUP BY ALL"""
+)
+def target_elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = series.target_elevations(_orders(spark, sf_dir), "o_totalprice", KEY, ORDER, 5, 0.25, 4000.0)
+    return got.select("o_orderkey", F.round("target", 2).alias("target"))
