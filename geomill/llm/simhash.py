@@ -172,7 +172,8 @@ def _dense_links(x: np.ndarray, distance: int, nearest: int) -> list[tuple[np.nd
         i, j = np.nonzero(near[few])
         out.append((x[lo + few[i]], x[j]))
         if len(dense):
-            closest = np.argpartition(bits[dense], nearest, axis=1)[:, :nearest]
+            rank = bits[dense].astype(np.int64) * len(x) + np.arange(len(x))  # ties to the smallest, in every cell alike
+            closest = np.argpartition(rank, nearest, axis=1)[:, :nearest]
             out.append((np.repeat(x[lo + dense], nearest), x[closest.ravel()]))
             out.append((x[lo + dense], x[near[dense].argmax(1)]))
     return out
@@ -231,7 +232,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     rows = fps.select("fp").mapInArrow(spread, "part int, cell long, fp long")
-    return rows.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+    return rows.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(compare, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
