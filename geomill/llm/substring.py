@@ -36,6 +36,8 @@ ROUNDS = 3
 SIDES = 1
 #: Stored bytes of documents that a group gets on average.
 GROUP_BYTES = 1 << 20
+#: Parts that the copies of one text are split into when they are told from the first.
+COPY_SALTS = 16
 #: Stands for a null doc_id: it comes after all others.
 _LAST = 2**63 - 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -192,9 +194,9 @@ def _sorted_names(marks: pa.Table, column: str) -> np.ndarray:
 
 def _copies(own: DataFrame, groups: int) -> DataFrame:
     """A mark (doc_id, null text, g, copy) for each document whose text a smaller doc_id has too."""
-    slim = own.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    first = slim.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    later = slim.join(first, ["a", "b"]).filter("doc_id > first")
+    slim = own.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).alias("salt"))
+    first = slim.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPY_SALTS - 1).cast("long"))).alias("salt"))
+    later = slim.join(first, ["a", "b", "salt"]).filter("doc_id > first")
     return later.select("doc_id", F.lit(None).cast("string").alias("text"), _group_of(F.col("doc_id"), groups).alias("g"), F.lit(True).alias("copy"))
 
 
