@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +162,7 @@ def _tree(x: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _dense_links(x: np.ndarray, distance: int, nearest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a long run: all of a member that has few, else those to its ``nearest`` nearest and to the first in range."""
+    """Links of a long run: all of a member that has few, else a link to itself and those to its ``nearest`` nearest and to the first in range."""
     out, many = [], max(1, (1 << 22) // len(x))
     for lo in range(0, len(x), many):
         bits = np.bitwise_count(x[lo : lo + many, None] ^ x[None, :])
@@ -176,6 +177,7 @@ def _dense_links(x: np.ndarray, distance: int, nearest: int) -> list[tuple[np.nd
             closest = np.argpartition(rank, nearest, axis=1)[:, :nearest]
             out.append((np.repeat(x[lo + dense], nearest), x[closest.ravel()]))
             out.append((x[lo + dense], x[near[dense].argmax(1)]))
+            out.append((x[lo + dense], x[lo + dense]))
     return out
 
 
@@ -202,7 +204,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
     Each fingerprint goes to the cells that it reaches under every group's
     threshold; a cell's members are verified on all 64 bits.  Cells with many
     members return a spanning forest instead of all pairs or, with ``nearest``,
-    the links of each member to that many nearest ones.
+    the links of each member to that many nearest ones; a member that has more
+    has a link (a, a), and ``rest_pairs`` finds the others.
     """
     probes = probes or plan_probes(fps, distance)
     cells = [(i, _masks(bits), _flips(bits, t)) for i, (bits, t) in enumerate(probes)]
@@ -232,7 +235,132 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     rows = fps.select("fp").mapInArrow(spread, "part int, cell long, fp long")
-    return rows.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(compare, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(compare, "a long, b long").filter("a <> b" if not nearest else "true").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Rows of one cell that are compared in one task, and texts whose shingle sets one task holds, about.
+CELL_ROWS, BLOCK_TEXTS = 4096, 512
+
+
+def _runs(batches, keys: int):
+    """The columns of ``batches``, sorted by their first ``keys`` columns, as arrays over whole runs of equal keys."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if held is None or not len(held[0]):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in held[:keys]], axis=0))))
+        done = starts if batch is None else starts[:-1]
+        for lo, hi in zip(done, np.append(starts[1:], len(held[0]))):
+            yield [c[lo:hi] for c in held]
+        if batch is not None:
+            held = [c[starts[-1] :] for c in held]
+
+
+def rest_pairs(rest: DataFrame, distance: int, probes: list[tuple[list[int], int]]) -> DataFrame:
+    """(a, b, ca, cb), each once: ids of ``rest`` (fp, id, component) of different components whose fingerprints differ in at most ``distance`` bits.
+
+    A pair is met in the cell of its smaller fingerprint under the first group
+    that the other reaches.  The rows of a large cell are dealt into blocks,
+    and every two blocks are compared in a task of their own.
+    """
+    masks = [(_masks(bits), t, _flips(bits, t)) for bits, t in probes]
+
+    def cells(batches):
+        for batch in batches:
+            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, (mask, _, flips) in enumerate(masks):
+                for flip in flips:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(((x & mask) ^ flip).view(np.int64)), pa.array(np.full(len(x), not flip)), *batch.columns], ["part", "cell", "own", "fp", "id", "component"])
+
+    rows = rest.select("fp", "id", "component").mapInArrow(cells, "part int, cell long, own boolean, fp long, id long, component long")
+    large = {(r.part, r.cell): -(-r.n // (CELL_ROWS // 2)) for r in rows.groupBy("part", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()}  # at most a row for CELL_ROWS
+    found = [tuple(np.array(c, np.int64) for c in zip(*sorted((cell, n) for (part, cell), n in large.items() if part == i))) or (np.empty(0, np.int64),) * 2 for i in range(len(masks))]
+
+    def deal(batches):
+        for batch in batches:
+            part, cell, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "cell", "fp"))
+            blocks = np.ones(len(part), np.int64)
+            for i, (known, n) in enumerate(found):
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+                    hit = (part == i) & (known[at] == cell)
+                    blocks[hit] = n[at[hit]]
+            with np.errstate(over="ignore"):
+                own = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            for other in range(int(blocks.max(initial=0))):
+                row = np.flatnonzero(other < blocks)
+                block = np.minimum(own[row], other) * (1 << 32) + np.maximum(own[row], other)
+                yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(row)), batch.column("cell").take(pa.array(row)), pa.array(block), pa.array(own[row]), *[batch.column(c).take(pa.array(row)) for c in ("own", "fp", "id", "component")]], ["part", "cell", "block", "of", "own", "fp", "id", "component"])
+
+    def compare(batches):
+        for part, _, block, of, own, fp, ids, component in _runs(batches, 3):
+            if (component == component[0]).all():
+                continue
+            x, i, mine = fp.view(np.uint64), int(part[0]), np.flatnonzero(own)
+            split = block[0] >> 32 != block[0] & (1 << 32) - 1
+            many = max(1, (1 << 20) // len(x))
+            for at in range(0, len(mine), many):
+                some = mine[at : at + many]
+                bits = x[some, None] ^ x[None, :]
+                near = (np.bitwise_count(bits) <= distance) & (component[some, None] != component[None, :]) & (x[some, None] < x[None, :])
+                if split:
+                    near &= of[some, None] != of[None, :]
+                for mask, t, _ in masks[:i]:
+                    near &= np.bitwise_count(bits & mask) > t
+                a, b = np.nonzero(near)
+                a = some[a]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], ids[b], component[a], component[b])], ["a", "b", "ca", "cb"])
+
+    dealt = rows.mapInArrow(deal, "part int, cell long, block long, of long, own boolean, fp long, id long, component long")
+    return dealt.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block").mapInArrow(compare, "a long, b long, ca long, cb long")
+
+
+def verify_rest(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Of ``pairs`` (a, b, ca, cb), those with the Jaccard similarity of ``verify`` that join components not yet joined by others of their task.
+
+    Ids are dealt into blocks, and the pairs of every two blocks go to one
+    task with the texts that they name, once each.
+    """
+    n = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, 2 * n // BLOCK_TEXTS)))
+    dealt = pairs.withColumn("p", block("a")).withColumn("q", block("b"))
+    need = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct().join(docs, "id")
+    none = F.lit(None).cast("long")
+    rows = need.select("p", "q", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "text")
+    rows = rows.union(dealt.select("p", "q", F.lit(1), "a", "b", "ca", "cb", F.lit(None).cast("string")))
+
+    def run(batches):
+        key, sets, root = None, {}, {}
+
+        def find(i):
+            while root.setdefault(i, i) != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for batch in batches:
+            kept = []
+            for r in batch.to_pylist():
+                if (r["p"], r["q"]) != key:
+                    key, sets, root = (r["p"], r["q"]), {}, {}
+                if not r["kind"]:
+                    sets[r["a"]] = shingle_set(r["text"], words)
+                    continue
+                ca, cb = find(r["ca"]), find(r["cb"])
+                if ca == cb:
+                    continue
+                x, y = sets[r["a"]], sets[r["b"]]
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    root[ca] = cb
+                    kept.append((r["a"], r["b"]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
@@ -290,8 +418,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Candidates are texts whose fingerprints differ in at most ``distance``
     bits; each candidate link is verified on the whole texts.  Texts of equal
     words, upper and lower case alike, are one before any search.  In a cell
-    where a text has very many candidates the nearest are verified.  Cases are
-    those of ``near_duplicates``; blank texts are copies of each other.
+    where a text has very many candidates the nearest are verified first, and
+    then all that those links have not joined.  Cases are those of
+    ``near_duplicates``; blank texts are copies of each other.
     """
     bound_batches(docs.sparkSession)
 
@@ -309,13 +438,24 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     named = nodes.filter("rep IS NOT NULL")
     heads = cut(named.groupBy("fp").agg(F.min("rep").alias("head")))
     edges = named.join(heads, "fp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    capped = None
     if not heads.isEmpty():
-        links = fingerprint_links(heads, distance, nearest=6)
-        between = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+        probes = plan_probes(heads, distance)
+        links = cut(fingerprint_links(heads, distance, probes, nearest=6))
+        capped = links.filter("a = b").select(F.col("a").alias("fp"))
+        between = links.filter("a <> b").join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
         edges = edges.union(between.select(F.least("x", "y"), F.greatest("x", "y")))
     edges = cut(edges.distinct())
-    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    texts = text.join(ends, text.doc_id == ends.id, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
-    parts = connected_components(verify(edges, texts, similarity, shingle_words), "a", "b")
+
+    def texts_of(pairs):
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return text.join(ends, text.doc_id == ends.id, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+
+    verified = cut(verify(edges, texts_of(edges), similarity, shingle_words))
+    parts = connected_components(verified, "a", "b")
+    if capped is not None and not capped.isEmpty():
+        rest = capped.join(heads, "fp").join(parts, F.col("head") == F.col("node"), "left").select("fp", F.col("head").alias("id"), F.coalesce("component", "head").alias("component"))
+        pairs = cut(rest_pairs(cut(rest), distance, probes))
+        parts = connected_components(verified.union(verify_rest(pairs, texts_of(pairs), similarity, shingle_words)), "a", "b")
     of = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", "t1", "t2", F.coalesce("component", "rep").alias("component_id"))
     return own.join(of, ["fp", "t1", "t2"]).select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

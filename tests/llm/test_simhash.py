@@ -98,6 +98,39 @@ def test_similar_documents_have_verified_links(docs_of):
     assert got == {10: 10, 11: 10, 12: 12, 13: 10, 14: 14}
 
 
+def edited_copies(copies, words, edits, seed):
+    draw = random.Random(seed)
+    base = [f"t{draw.randrange(3000)}" for _ in range(words)]
+    texts = []
+    for _ in range(copies):
+        own = list(base)
+        for at in draw.sample(range(words), edits):
+            own[at] = f"n{draw.randrange(10**9)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_all_candidates_of_a_dense_group_are_verified(docs_of, monkeypatch):
+    texts = edited_copies(200, 120, 2, 7) + edited_copies(200, 300, 5, 8)
+    fps, sets = [simhash.fingerprint(t) for t in texts], [set(simhash.shingle_set(t).tolist()) for t in texts]
+    alike = lambda a, b: (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+    want = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 8 and alike(a, b)])
+    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 64)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(list(enumerate(texts)))).collect()} == want
+
+
+def test_rest_pairs_come_once_each(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    fps = np.unique(np.array([int(sum(1 << int(b) for b in draw.choice(64, 3, replace=False))) for _ in range(120)], np.uint64))
+    probes = [(list(range(0, 16)), 1), (list(range(16, 32)), 1), (list(range(32, 48)), 1), (list(range(48, 64)), 0)]
+    rest = spark.createDataFrame([(int(f), i, i % 5) for i, f in enumerate(fps.view(np.int64))], "fp long, id long, component long")
+    want = sorted((i, j) for j in range(len(fps)) for i in range(j) if i % 5 != j % 5 and (int(fps[i]) ^ int(fps[j])).bit_count() <= 6)
+    for rows in (4096, 16):
+        monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+        assert sorted((r.a, r.b) for r in simhash.rest_pairs(rest, 6, probes).collect()) == want
+
+
 def test_odd_rows(odd, none):
     for f in (simhash.near_duplicates, simhash.similar_documents):
         got = f(odd).collect()
