@@ -36,11 +36,11 @@ def orphans(files: DataFrame, key: str, used: DataFrame, used_key: str = "key")
     return files.join(used.select(F.col(used_key).alias("_used")), folded(key) == F.col("_used"), "left_anti")
 
 
-def unused_fixpoint(uses: DataFrame, roots: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Keys that no root reaches: ``uses`` (user, used) rows, ``roots`` (key); one join and one checkpoint a round."""
+def unused_fixpoint(uses: DataFrame, roots: DataFrame) -> DataFrame:
+    """Keys that no root reaches: ``uses`` (user, used) rows, ``roots`` (key); one join and one checkpoint a round, until a round reaches nothing new."""
     reached = cut(roots.select("key").distinct())
     front = reached
-    for _ in range(max_rounds):
+    while True:
         front = cut(uses.join(front, uses.user == front.key, "left_semi").select(F.col("used").alias("key")).distinct().join(reached, "key", "left_anti"))
         if front.isEmpty():
             break
@@ -131,22 +131,27 @@ def replace_text(column: str, search: str, new: str) -> Column:
     return F.regexp_replace(F.col(column), f"(?i){quoted}", new.replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def ancestry(nodes: DataFrame, key: str, parent: str, max_depth: int = 32) -> DataFrame:
+#: Results of single rounds that one plan unites; more are cut first.
+UNITED = 32
+
+
+def ancestry(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, depth, path): the chain of keys from each node's root to the node; a node whose parent is missing is a root.
 
     One join a level over the nodes that found their parent in the level
-    before; nodes in a cycle get no row.
+    before, down to the deepest; nodes in a cycle get no row, and a chain
+    ends where it would come back to one of its own keys.
     """
     links = cut(nodes.select(F.col(key).alias("key"), F.col(parent).alias("parent")))
     there = links.select(F.col("key").alias("parent"))
     level = links.join(there, "parent", "left_anti").select("key", F.array("key").alias("path"))
-    found = []
-    for depth in range(max_depth):
-        level = cut(level)
-        if level.isEmpty():
-            break
+    found, depth = [], 0
+    while not (level := cut(level)).isEmpty():
+        if len(found) == UNITED:
+            found = [cut(reduce(DataFrame.union, found))]
         found.append(level.select("key", F.lit(depth).alias("depth"), "path"))
-        level = links.join(level.select(F.col("key").alias("parent"), "path"), "parent").select("key", F.concat("path", F.array("key")).alias("path"))
+        level = links.join(level.select(F.col("key").alias("parent"), "path"), "parent").filter(~F.array_contains("path", F.col("key"))).select("key", F.concat("path", F.array("key")).alias("path"))
+        depth += 1
     return reduce(DataFrame.union, found) if found else links.select("key", F.lit(0).alias("depth"), F.array("key").alias("path")).limit(0)
 
 
