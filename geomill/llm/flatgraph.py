@@ -13,7 +13,9 @@ verified in double precision.
 
 A bounded sample of queries is compared with all vectors by brute force; while
 recall is below ``recall``, the graph is rebuilt with more overlap and a wider
-beam.
+beam.  Where the last graph misses it too, cells of the nearest centre are
+compared in full: a vector meets every cell whose members' angles to their
+centre leave room for a link, so no link is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from geomill.operators.graph import connected_components
 from geomill.session import cut
 
 #: Distinct vectors that the centres are fitted on, and centres at most.
-FIT_ROWS, MAX_CENTRES = 16_384, 1024
+FIT_ROWS, MAX_CENTRES = 16_384, 2048
 #: Rows of a shard aimed at, and of the blocks that larger shards are split into.
 SHARD_ROWS, BLOCK_ROWS = 2048, 8192
 #: Neighbours of a vector, and how much nearer a kept neighbour must be to rule another out (of squared distances).
@@ -202,9 +204,10 @@ def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-_GRAPH = "shard int, block int, at int, node long, id long, many long, shards array<int>, vec array<double>, next array<int>, start boolean"
+_GRAPH = "shard int, block int, at int, node long, many long, shards array<int>, vec array<double>, next array<int>, start boolean"
 _ROUTES = pa.list_(pa.struct({"shard": pa.int32(), "entry": pa.int64()}))
-_FOUND = "node long, id long, hits long, link long, onward array<struct<shard:int,entry:long>>"
+_FOUND = "node long, hits long, link long, onward array<struct<shard:int,entry:long>>"
+_NOTHING = pa.table({"node": pa.array([], pa.int64()), "hits": pa.array([], pa.int64()), "link": pa.array([], pa.int64())})
 
 
 def _search(cell_rows: pa.Table, guests: pa.Table, shard: int, threshold: float, beam: int) -> pa.Table:
@@ -221,7 +224,7 @@ def _search(cell_rows: pa.Table, guests: pa.Table, shard: int, threshold: float,
     g_node, new, past = guests.column("node").to_numpy(), _lists(guests.column("new")), _lists(guests.column("past"))
     y = vectors.matrix(guests.column("vec"))
     hits = np.zeros(len(y), np.int64)
-    rank = np.concatenate([_ids(t), _ids(guests)])
+    rank = np.concatenate([node, g_node])
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -249,17 +252,17 @@ def _search(cell_rows: pa.Table, guests: pa.Table, shard: int, threshold: float,
                     onward[p >> 32].setdefault(p & 0xFFFFFFFF, e)
     ids = rank[order]
     link = ids[root[place[len(x) :]]]
-    return pa.table({"node": g_node, "id": guests.column("id"), "hits": hits, "link": link, "onward": pa.array([[{"shard": s, "entry": e} for s, e in o.items()] for o in onward], _ROUTES)})
+    return pa.table({"node": g_node, "hits": hits, "link": link, "onward": pa.array([[{"shard": s, "entry": e} for s, e in o.items()] for o in onward], _ROUTES)})
 
 
-def _ids(t: pa.Table) -> np.ndarray:
-    return t.column("id").to_numpy()
+def fit_sample(nodes: DataFrame) -> np.ndarray:
+    """Vectors of a hashed sample of at most ``FIT_ROWS`` nodes."""
+    return vectors.matrix(nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(FIT_ROWS).select("vec").toArrow().column("vec"))
 
 
 def _all_links(nodes: DataFrame, total: int, overlap: int, beam: int, threshold: float, rounds: int) -> DataFrame:
-    """(node, id, hits, link) rows of every round's searches over ``nodes`` (node, id, many, vec)."""
-    spark = nodes.sparkSession
-    sample = vectors.matrix(nodes.orderBy(F.xxhash64("node", F.lit(3)), "id").limit(FIT_ROWS).select("vec").toArrow().column("vec"))
+    """(node, hits, link) rows of every round's searches over ``nodes`` (node, many, vec)."""
+    sample = fit_sample(nodes)
     many = max(1, min(MAX_CENTRES, len(sample) // 8, math.ceil(total * overlap / SHARD_ROWS)))
     centres = fit_centres(sample, many)
     take = min(overlap, many)
@@ -269,11 +272,10 @@ def _all_links(nodes: DataFrame, total: int, overlap: int, beam: int, threshold:
             x = vectors.matrix(batch.column("vec"))
             near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :take].astype(np.int32)
             shards = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, take, dtype=np.int32)), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "id", "many", "vec")), shards], ["node", "id", "many", "vec", "shards"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "many", "vec")), shards], ["node", "many", "vec", "shards"])
 
-    dealt = cut(nodes.mapInArrow(assign, "node long, id long, many long, vec array<double>, shards array<int>"))
-    sizes = {r[0]: r[1] for r in dealt.select(F.explode("shards").alias("shard")).groupBy("shard").count().collect()}  # MAX_CENTRES rows at most
-    blocks = F.element_at(F.array(*[F.lit(max(1, math.ceil(sizes.get(s, 0) / BLOCK_ROWS))) for s in range(many)]), F.col("shard") + 1)
+    dealt = cut(nodes.select("node", "many", "vec").mapInArrow(assign, "node long, many long, vec array<double>, shards array<int>"))
+    blocks = _blocks(dealt.select(F.explode("shards").alias("shard")), many)
     placed = dealt.withColumn("shard", F.explode("shards")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks.cast("long")).cast("int"))
 
     def build(key, t):
@@ -282,26 +284,26 @@ def _all_links(nodes: DataFrame, total: int, overlap: int, beam: int, threshold:
         begins = np.zeros(len(x), bool)
         begins[starts] = True
         fixed = {"shard": pa.array(np.full(len(x), key[0].as_py(), np.int32)), "block": pa.array(np.full(len(x), key[1].as_py(), np.int32)), "at": pa.array(np.arange(len(x), dtype=np.int32))}
-        return pa.table({**fixed, **{c: t.column(c) for c in ("node", "id", "many", "shards", "vec")}, "next": pa.array(graph.astype(np.int32).tolist(), pa.list_(pa.int32())), "start": begins})
+        return pa.table({**fixed, **{c: t.column(c) for c in ("node", "many", "shards", "vec")}, "next": pa.array(graph.astype(np.int32).tolist(), pa.list_(pa.int32())), "start": begins})
 
     graph = cut(placed.groupBy("shard", "block").applyInArrow(build, _GRAPH))
 
     def search(key, rows, guests):
         if not rows.num_rows or not guests.num_rows:
-            return pa.table({f.split()[0]: pa.array([], k) for f, k in zip(_FOUND.split(", "), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), _ROUTES))})
+            return _NOTHING.append_column("onward", pa.array([], _ROUTES))
         return _search(rows, guests, key[0].as_py(), threshold, beam)
 
     past = F.array().cast("array<int>")
-    guests = dealt.select("node", "id", "vec", F.col("shards").alias("new"), past.alias("past"), F.explode("shards").alias("shard"), F.col("node").alias("entry"))
+    guests = dealt.select("node", "vec", F.col("shards").alias("new"), past.alias("past"), F.explode("shards").alias("shard"), F.col("node").alias("entry"))
     out = []
     for _ in range(rounds):
         asks = guests.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
         found = cut(graph.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(search, _FOUND))
-        out.append(found.select("node", "id", "hits", "link"))
+        out.append(found.select("node", "hits", "link"))
         routes = found.select("node", F.explode("onward").alias("o")).groupBy("node", "o.shard").agg(F.min("o.entry").alias("entry"))
-        known = guests.select("node", "id", "vec", F.array_union("past", "new").alias("past")).dropDuplicates(["node"])
+        known = guests.select("node", "vec", F.array_union("past", "new").alias("past")).dropDuplicates(["node"])
         ahead = routes.groupBy("node").agg(F.collect_list("shard").alias("new"))
-        guests = cut(known.join(ahead, "node").join(routes, "node").select("node", "id", "vec", "new", "past", "shard", "entry"))
+        guests = cut(known.join(ahead, "node").join(routes, "node").select("node", "vec", "new", "past", "shard", "entry"))
         if guests.isEmpty():
             break
     links = out[0]
@@ -310,9 +312,72 @@ def _all_links(nodes: DataFrame, total: int, overlap: int, beam: int, threshold:
     return links
 
 
+def _blocks(shards: DataFrame, many: int):
+    """Column: blocks of ``BLOCK_ROWS`` that ``shard``, one of ``many``, is split into."""
+    sizes = {r[0]: r[1] for r in shards.groupBy("shard").count().collect()}  # MAX_CENTRES rows at most
+    return F.element_at(F.array(*[F.lit(max(1, math.ceil(sizes.get(s, 0) / BLOCK_ROWS))) for s in range(many)]), F.col("shard") + 1)
+
+
+def exact_links(nodes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(node, hits, link) rows that hold every link of ``nodes`` (node, many, vec).
+
+    A vector lies in the cell of its nearest centre.  The angle of two linked
+    vectors is at most that of the threshold, so a vector asks just the cells
+    whose range of angles to the centre comes that near to its own angle.
+    """
+    sample = fit_sample(nodes)
+    many = max(1, min(MAX_CENTRES, len(sample) // 8, math.ceil(total / SHARD_ROWS)))
+    centres = fit_centres(sample, many)
+
+    def angles(x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ centres.T, -1, 1))
+
+    def assign(batches):
+        for batch in batches:
+            far = angles(vectors.matrix(batch.column("vec")))
+            own = far.argmin(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "many", "vec")), pa.array(own.astype(np.int32)), pa.array(far[np.arange(len(own)), own])], ["node", "many", "vec", "shard", "angle"])
+
+    dealt = cut(nodes.select("node", "many", "vec").mapInArrow(assign, "node long, many long, vec array<double>, shard int, angle double"))
+    ranges = {r[0]: (r[1], r[2]) for r in dealt.groupBy("shard").agg(F.min("angle"), F.max("angle")).collect()}  # MAX_CENTRES rows at most
+    low, high = (np.array([ranges.get(s, (9.0, -9.0))[i] for s in range(many)]) for i in (0, 1))
+    reach = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+    blocks = _blocks(dealt, many)
+
+    def ask(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                far = angles(vectors.matrix(some.column("vec")))
+                i, shard = np.nonzero((far - reach <= high) & (far + reach >= low))
+                yield pa.RecordBatch.from_arrays([some.column("node").take(pa.array(i)), some.column("vec").take(pa.array(i)), pa.array(shard.astype(np.int32))], ["node", "vec", "shard"])
+
+    placed = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks.cast("long")).cast("int"))
+    asks = nodes.select("node", "vec").mapInArrow(ask, "node long, vec array<double>, shard int").withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+
+    def compare(key, rows, guests):
+        if not rows.num_rows or not guests.num_rows:
+            return _NOTHING
+        x, node, times = vectors.matrix(rows.column("vec")), rows.column("node").to_numpy(), rows.column("many").to_numpy()
+        y, asking = vectors.matrix(guests.column("vec")), guests.column("node").to_numpy()
+        order = np.argsort(np.concatenate([node, asking]), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        root, hits = np.arange(len(order)), np.zeros(len(y), np.int64)
+        for lo in range(0, len(y), QUERIES):
+            q, row = np.nonzero(y[lo : lo + QUERIES] @ x.T >= threshold - 1e-9)
+            q = q + lo
+            near = (node[row] != asking[q]) & (vectors.cosines(y[q], x[row]) >= threshold)
+            np.add.at(hits, q[near], times[row[near]])
+            _join_up(root, place[len(x) + q[near]], place[row[near]])
+        return pa.table({"node": asking, "hits": hits, "link": np.concatenate([node, asking])[order][root[place[len(x) :]]]})
+
+    return cut(placed.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(compare, "node long, hits long, link long"))
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
     """The share of the links of ``rows`` hashed sample nodes that ``links`` has, against brute force over all nodes."""
-    some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "id").limit(rows).select("node", "vec").toArrow()
+    some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(rows).select("node", "vec").toArrow()
     if not some.num_rows:
         return 1.0
     names, y = some.column("node").to_numpy(), vectors.matrix(some.column("vec"))
@@ -338,13 +403,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
     Vectors equal in every component are one node of the graph, counted as
     often as they occur; a repeated row counts as another vector.  Vectors that
     ``usable`` leaves out have no link.  Rows of a null id keep a row each, are
-    counted as partners and name no component; an empty table gives no rows;
-    other columns are ignored.
+    counted as partners and join the vectors that they link, but name no
+    component: a component without any id has none.  An empty table gives no
+    rows; other columns are ignored.  The graph's links are audited in every
+    attempt; below ``recall`` in the last one ``exact_links`` replaces them.
     """
     own = vectors.usable(rows, vec_id, embedding)
     kind = rows.schema[embedding].dataType.simpleString()
     node = F.xxhash64("vec")
-    groups = own.groupBy("vec").agg(F.coalesce(F.min("id"), F.lit(2**63 - 1)).alias("id"), F.count("*").alias("many")).withColumn("node", node)
+    groups = own.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("many")).withColumn("node", node)
 
     def scale(batches):
         for batch in batches:
@@ -359,12 +426,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, vec_id: str = "vec_
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     for attempt in range(attempts):
         links = _all_links(nodes, total, overlap + attempt, beam << attempt, threshold, rounds)
-        if attempt == attempts - 1 or audit(nodes, links, threshold) >= recall:
+        if audit(nodes, links, threshold) >= recall:
             break
-    edges = links.filter("id <> link").select("id", "link")
-    parts = connected_components(edges, "id", "link")
+    else:
+        links = exact_links(nodes, total, threshold)
+    parts = connected_components(links.filter("node <> link").select(F.col("node").alias("x"), F.col("link").alias("y")), "x", "y").withColumnRenamed("node", "_node")
     counts = links.groupBy("node").agg(F.sum("hits").alias("hits"))
-    known = nodes.select("node", "id", "many").join(counts, "node", "left").join(parts, F.col("id") == parts.node, "left").select(nodes.node, (F.coalesce("hits", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    known = nodes.select("node", "id", "many").join(counts, "node", "left").join(parts, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node"))
+    names = known.groupBy("part").agg(F.min("id").alias("c"))
+    known = known.join(names, "part").select("node", (F.coalesce("hits", F.lit(0)) + F.col("many") - 1).alias("n"), "c", F.lit(True).alias("linked"))
     there = everyone.join(own.select("vec").distinct().select(node.alias("node")).join(known, "node"), "node", "left")
-    component = F.coalesce(F.nullif("c", F.lit(2**63 - 1)), F.col("vec_id").cast("long"))
+    component = F.when(F.col("linked"), F.col("c")).otherwise(F.col("vec_id").cast("long"))
     return there.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
