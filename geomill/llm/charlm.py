@@ -7,9 +7,11 @@ sorted array of 64-bit string hashes with, for each class, the discounted
 share of the string's last character after the rest (``alpha``) and the weight
 that the string, as a history, leaves to the shorter one (``gamma``).
 
-Counts come from Spark aggregations; only strings seen twice or more in one
-class are kept, the others being discounted in full, so what reaches the
-driver is bounded by the documented sample of labelled rows.
+Counts come from Spark aggregations over all rows given.  Of strings of three
+characters or more those seen once in a class are discounted in full, and
+those with less than ``LEAST_SHARE`` of their class's strings are left to the
+shorter ones, so what reaches the driver is bounded by 1 / ``LEAST_SHARE``
+strings for each length and class.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from geomill.session import cut
 
 DISCOUNT = 0.75
+#: Share of its class's strings of one length below which a string is left out.
+LEAST_SHARE = 3e-7
 #: Distinct words whose scores a worker keeps.
 MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,7 +38,11 @@ FLOOR = 1.0 / 512
 
 
 def letter_runs(chunk: str) -> list[str]:
-    return _LETTERS.findall(chunk.lower())
+    """The maximal runs of letters of ``chunk``, lower-cased; numerals such as fractions and superscripts are no letters."""
+    runs = _LETTERS.findall(chunk.lower())
+    if chunk.isascii() or all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split()]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,12 +115,14 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     """(k, n, h, history, alpha): discounted shares, shorter strings by the number of their distinct left neighbours.
 
     Strings that begin a word have no left neighbour and keep their counts.
-    Counts of 1 at the full order are discounted in full and left out.
+    Counts of 1 of strings of three characters or more are discounted in full
+    and left out, as are strings below ``LEAST_SHARE``.
     """
     kinds = counts.groupBy("k", (F.col("n") - 1).alias("n"), F.col("suffix").alias("h")).agg(F.count("*").alias("left"))
     c = counts.join(kinds, ["k", "n", "h"], "left").select("k", "n", "h", "history", F.when((F.col("n") == order) | F.col("starts"), F.col("c")).otherwise(F.coalesce("left", "c")).cast("double").alias("c"))
     total = c.groupBy("k", "n", "history").agg(F.sum("c").alias("t"))
-    kept = c.filter((F.col("c") > 1) | (F.col("n") < 3))
+    whole = c.groupBy("k", "n").agg(F.sum("c").alias("all"))  # one row a class and length
+    kept = c.join(F.broadcast(whole), ["k", "n"]).filter(((F.col("c") > 1) & (F.col("c") >= F.col("all") * LEAST_SHARE)) | (F.col("n") < 3)).drop("all")
     return kept.join(total, ["k", "n", "history"]).select("k", "n", "h", "history", ((F.col("c") - DISCOUNT) / F.col("t")).alias("alpha"))
 
 

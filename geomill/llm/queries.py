@@ -17,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = sampling.crc_remainder("doc_id", 5) == 0
+    held_out = F.coalesce(sampling.crc_remainder("doc_id", 5) == 0, F.lit(False))
     detector = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
     scored = toxicity.score(docs, detector)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "llr")
@@ -53,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = sampling.crc_remainder("doc_id", 3) == 1
+    held_out = F.coalesce(sampling.crc_remainder("doc_id", 3) == 1, F.lit(False))
     found = langid.identify(docs, langid.train(docs.filter(~held_out)))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
