@@ -19,23 +19,32 @@ BITS = 64
 SHORT_RUN = 16
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of ``text``; 0 where it has no word."""
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, many: int = 1) -> tuple[int, ...]:
+    """``many`` unsigned 64-bit SimHashes of the word shingles of ``text``; 0 where it has no word.
+
+    The first is of the shingles' XXH64, each other one of a mix of those.
+    """
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), seed)
+        return (0,) * many
     flat = b" ".join(parts)
+    words = min(words, len(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
     stops = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(flat[i:j], seed) for i, j in zip(starts, stops)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 8192):
-        ones += np.unpackbits(h[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(many):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(h), 8192):
+            some = h[at : at + 8192]
+            if k:
+                some = (some ^ (some >> np.uint64(29))) * np.uint64((0xBF58476D1CE4E5B9 * (2 * k + 1)) % 2**64)
+                some ^= some >> np.uint64(32)
+            ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]))
+    return tuple(out)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -44,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, words, seed)[0] for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -125,7 +134,7 @@ def allocate(sample: np.ndarray, rows: int, groups: list[list[int]], distance: i
 
 
 def plan_probes(fps: DataFrame, distance: int = 3, sample_rows: int = 2048) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the cheapest partition found for ``fps``, from 1 to distance + 1 groups."""
+    """(bits, threshold) of the cheapest partition found for ``fps``, from 2 to distance + 1 groups."""
     stats = _bit_statistics(fps)
     rows = int(stats[0, -1])
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64(F.col("fp"), F.lit(7)), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
@@ -198,9 +207,57 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, nearest: int =
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+#: Rows of one cell that are compared in one task, and texts whose shingle sets one task holds, about.
+CELL_ROWS, BLOCK_TEXTS = 4096, 512
+
+
+def _cells(rows: DataFrame, probes: list[tuple[list[int], int]]) -> DataFrame:
+    """(part, cell, block, of, own, and the columns of ``rows``): each row of ``rows`` (kind, fp and other longs) in the cells that it reaches.
+
+    A kind of fingerprint has cells of its own: part is kind times the number
+    of groups, plus the group.
+    ``own`` marks a row's own cell under a group, which it reaches by no flip.
+    The rows of a cell of more than ``CELL_ROWS`` are dealt into blocks
+    (``of``) by a hash of their id, or else fp, and ``block`` is a pair of them, so that every two rows
+    meet in one block and no task holds a whole large cell.
+    """
+    masks = [(_masks(bits), _flips(bits, t)) for bits, t in probes]
+    names = rows.columns
+    longs = ", ".join(f"{c} long" for c in names)
+
+    def reach(batches):
+        for batch in batches:
+            x, kind = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("kind").to_numpy(zero_copy_only=False)
+            for i, (mask, flips) in enumerate(masks):
+                for flip in flips:
+                    yield pa.RecordBatch.from_arrays([pa.array((kind * len(masks) + i).astype(np.int32)), pa.array(((x & mask) ^ flip).view(np.int64)), pa.array(np.full(len(x), not flip)), *batch.columns], ["part", "cell", "own", *names])
+
+    reached = rows.mapInArrow(reach, f"part int, cell long, own boolean, {longs}")
+    large = {(r.part, r.cell): -(-r.n // (CELL_ROWS // 2)) for r in reached.groupBy("part", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()}  # at most a row for CELL_ROWS
+    found = [(i, *(np.array(c, np.int64) for c in zip(*sorted((cell, n) for (part, cell), n in large.items() if part == i)))) for i in sorted({part for part, _ in large})]
+
+    def deal(batches):
+        for batch in batches:
+            part, cell, named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "cell", "id" if "id" in names else "fp"))
+            blocks = np.ones(len(part), np.int64)
+            for i, known, n in found:
+                at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+                hit = (part == i) & (known[at] == cell)
+                blocks[hit] = n[at[hit]]
+            with np.errstate(over="ignore"):
+                own = ((named.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+            for other in range(int(blocks.max(initial=0))):
+                row = np.flatnonzero(other < blocks)
+                block = np.minimum(own[row], other) * (1 << 32) + np.maximum(own[row], other)
+                yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(row)), batch.column("cell").take(pa.array(row)), pa.array(block), pa.array(own[row]), *[batch.column(c).take(pa.array(row)) for c in ("own", *names)]], ["part", "cell", "block", "of", "own", *names])
+
+    return reached.mapInArrow(deal, f"part int, cell long, block long, of long, own boolean, {longs}")
+
+
 def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list[int], int]] | None = None, nearest: int = 0) -> DataFrame:
-    """(a, b) links among the distinct fingerprints of ``fps``: enough to connect all within ``distance``.
+    """(kind, a, b) links among the distinct (kind, fp) of ``fps``: enough to connect all of one kind within ``distance``.
 
+    Without a column of that name all are of kind 0.
     Each fingerprint goes to the cells that it reaches under every group's
     threshold; a cell's members are verified on all 64 bits.  Cells with many
     members return a spanning forest instead of all pairs or, with ``nearest``,
@@ -208,38 +265,28 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
     has a link (a, a), and ``rest_pairs`` finds the others.
     """
     probes = probes or plan_probes(fps, distance)
-    cells = [(i, _masks(bits), _flips(bits, t)) for i, (bits, t) in enumerate(probes)]
-
-    def spread(batches):
-        for batch in batches:
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, mask, flips in cells:
-                for flip in flips:
-                    cell = ((x & mask) ^ flip) * np.uint64(2 * i + 1) + np.uint64(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(cell.view(np.int64)), pa.array(x.view(np.int64))], ["part", "cell", "fp"])
+    groups = len(probes)
 
     def compare(batches):
-        held: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-        for batch in [*batches, None]:
-            if batch is None:
-                keys, x, rest = held[0], held[1], 0
-            else:
-                part = batch.column("part").to_numpy(zero_copy_only=False).astype(np.uint64)
-                keys = np.concatenate([held[0], batch.column("cell").to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(8) + part])
-                x = np.concatenate([held[1], batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-                rest = int((np.flatnonzero(keys != keys[-1])[-1] + 1) if len(keys) and (keys != keys[-1]).any() else 0)
-                held = [keys[rest:], x[rest:]]
-                keys, x = keys[:rest], x[:rest]
-            if len(keys):
-                a, b = _run_edges(keys, x, distance, nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    rows = fps.select("fp").mapInArrow(spread, "part int, cell long, fp long")
-    return rows.repartition("part", "cell").sortWithinPartitions("part", "cell", "fp").mapInArrow(compare, "a long, b long").filter("a <> b" if not nearest else "true").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-#: Rows of one cell that are compared in one task, and texts whose shingle sets one task holds, about.
-CELL_ROWS, BLOCK_TEXTS = 4096, 512
+        rest = [np.empty(0, np.int64)] * 4
+        for batch in chain(batches, [None]):
+            now = rest if batch is None else [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns)]
+            if not len(now[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in now[:3]], axis=0))))
+            end = len(now[0]) if batch is None else starts[-1]  # the last run may go on
+            rest = [c[end:] for c in now]
+            part, fp = now[0][:end], now[3][:end].view(np.uint64)
+            run = np.searchsorted(starts, np.arange(end), side="right")
+            for kind in np.unique(part // groups):
+                own = part // groups == kind
+                a, b = _run_edges(run[own], fp[own], distance, nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+
+    kind = F.col("kind").cast("long") if "kind" in fps.columns else F.lit(0).cast("long")
+    rows = _cells(fps.select(kind.alias("kind"), "fp"), probes).select("part", "cell", "block", "fp")
+    found = rows.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block", "fp").mapInArrow(compare, "kind long, a long, b long")
+    return found.filter("a <> b" if not nearest else "true").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _runs(batches, keys: int):
@@ -260,62 +307,36 @@ def _runs(batches, keys: int):
 
 
 def rest_pairs(rest: DataFrame, distance: int, probes: list[tuple[list[int], int]]) -> DataFrame:
-    """(a, b, ca, cb), each once: ids of ``rest`` (fp, id, component) of different components whose fingerprints differ in at most ``distance`` bits.
+    """(a, b, ca, cb), each once: ids of ``rest`` (kind, fp, id, component) of different components, of fingerprints of one kind that differ in at most ``distance`` bits.
 
-    A pair is met in the cell of its smaller fingerprint under the first group
-    that the other reaches.  The rows of a large cell are dealt into blocks,
-    and every two blocks are compared in a task of their own.
+    A pair is met in the cell of its smaller fingerprint (of equal ones, of
+    its smaller id) under the first group that the other reaches.
     """
-    masks = [(_masks(bits), t, _flips(bits, t)) for bits, t in probes]
-
-    def cells(batches):
-        for batch in batches:
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, (mask, _, flips) in enumerate(masks):
-                for flip in flips:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(((x & mask) ^ flip).view(np.int64)), pa.array(np.full(len(x), not flip)), *batch.columns], ["part", "cell", "own", "fp", "id", "component"])
-
-    rows = rest.select("fp", "id", "component").mapInArrow(cells, "part int, cell long, own boolean, fp long, id long, component long")
-    large = {(r.part, r.cell): -(-r.n // (CELL_ROWS // 2)) for r in rows.groupBy("part", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()}  # at most a row for CELL_ROWS
-    found = [tuple(np.array(c, np.int64) for c in zip(*sorted((cell, n) for (part, cell), n in large.items() if part == i))) or (np.empty(0, np.int64),) * 2 for i in range(len(masks))]
-
-    def deal(batches):
-        for batch in batches:
-            part, cell, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "cell", "fp"))
-            blocks = np.ones(len(part), np.int64)
-            for i, (known, n) in enumerate(found):
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
-                    hit = (part == i) & (known[at] == cell)
-                    blocks[hit] = n[at[hit]]
-            with np.errstate(over="ignore"):
-                own = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-            for other in range(int(blocks.max(initial=0))):
-                row = np.flatnonzero(other < blocks)
-                block = np.minimum(own[row], other) * (1 << 32) + np.maximum(own[row], other)
-                yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(row)), batch.column("cell").take(pa.array(row)), pa.array(block), pa.array(own[row]), *[batch.column(c).take(pa.array(row)) for c in ("own", "fp", "id", "component")]], ["part", "cell", "block", "of", "own", "fp", "id", "component"])
+    masks = [(_masks(bits), t) for bits, t in probes]
 
     def compare(batches):
         for part, _, block, of, own, fp, ids, component in _runs(batches, 3):
             if (component == component[0]).all():
                 continue
-            x, i, mine = fp.view(np.uint64), int(part[0]), np.flatnonzero(own)
+            x, i, mine = fp.view(np.uint64), int(part[0]) % len(masks), np.flatnonzero(own)
             split = block[0] >> 32 != block[0] & (1 << 32) - 1
             many = max(1, (1 << 20) // len(x))
             for at in range(0, len(mine), many):
                 some = mine[at : at + many]
                 bits = x[some, None] ^ x[None, :]
-                near = (np.bitwise_count(bits) <= distance) & (component[some, None] != component[None, :]) & (x[some, None] < x[None, :])
+                before = (x[some, None] < x[None, :]) | ((bits == 0) & own[None, :] & (ids[some, None] < ids[None, :]))
+                near = (np.bitwise_count(bits) <= distance) & (component[some, None] != component[None, :]) & before
                 if split:
                     near &= of[some, None] != of[None, :]
-                for mask, t, _ in masks[:i]:
+                for mask, t in masks[:i]:
                     near &= np.bitwise_count(bits & mask) > t
                 a, b = np.nonzero(near)
                 a = some[a]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], ids[b], component[a], component[b])], ["a", "b", "ca", "cb"])
 
-    dealt = rows.mapInArrow(deal, "part int, cell long, block long, of long, own boolean, fp long, id long, component long")
-    return dealt.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block").mapInArrow(compare, "a long, b long, ca long, cb long")
+    dealt = _cells(rest.select("kind", "fp", "id", "component"), probes).select("part", "cell", "block", "of", "own", "fp", "id", "component")
+    found = dealt.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block").mapInArrow(compare, "a long, b long, ca long, cb long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb")).distinct()
 
 
 def verify_rest(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -412,50 +433,73 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, distance: int = 8, words: int = 3) -> DataFrame:
-    """One row per document: doc_id, component_id, kept; documents link at that Jaccard similarity of their word shingles.
+def text_hash(text: str = "text"):
+    """Column: a hash of a text, null and empty alike; with the doc_id it tells rows that share one."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
 
-    Candidates are texts whose fingerprints differ in at most ``distance``
-    bits; each candidate link is verified on the whole texts.  Texts of equal
-    words, upper and lower case alike, are one before any search.  In a cell
-    where a text has very many candidates the nearest are verified first, and
-    then all that those links have not joined.  Cases are those of
-    ``near_duplicates``; blank texts are copies of each other.
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, distance: int = 8, words: int = 3, prints: int = 3) -> DataFrame:
+    """One row per document: doc_id, text_hash, component_id, kept; documents link at that Jaccard similarity of their word shingles.
+
+    Candidates are texts of which one of ``prints`` independent fingerprints
+    differs in at most ``distance`` bits; all candidates are verified on the
+    whole texts.  Texts of equal words, upper and lower case alike, are one
+    before any search.  In a cell where a text has very many candidates the
+    nearest are verified first, and then all that those links have not joined;
+    so are texts that share a fingerprint but aren't similar to the first of
+    its texts.  component_id is the smallest doc_id reachable, null where all
+    are null.  kept marks the rows of one text and one doc_id of a component,
+    that of component_id; rows repeated in full are marked alike, rows of one
+    doc_id with other texts each by their own.  Null, empty and blank texts
+    are copies of each other; an empty table gives no rows; other columns are
+    ignored.
     """
     bound_batches(docs.sparkSession)
+    fps = [f"fp{k}" for k in range(prints)]
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t, words, many=prints) for t in texts], np.uint64).reshape(len(texts), prints).view(np.int64)
             sums = [xxhash.xxh128_intdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in texts]
             t1, t2 = (pa.array(np.array([(v >> at) & (2**64 - 1) for v in sums], np.uint64).view(np.int64)) for at in (0, 64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), t1, t2], ["doc_id", "fp", "t1", "t2"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = cut(text.mapInArrow(run, "doc_id long, fp long, t1 long, t2 long"))
-    nodes = cut(own.groupBy("fp", "t1", "t2").agg(F.min("doc_id").alias("rep")))
-    named = nodes.filter("rep IS NOT NULL")
-    heads = cut(named.groupBy("fp").agg(F.min("rep").alias("head")))
-    edges = named.join(heads, "fp").filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    capped = None
-    if not heads.isEmpty():
-        probes = plan_probes(heads, distance)
-        links = cut(fingerprint_links(heads, distance, probes, nearest=6))
-        capped = links.filter("a = b").select(F.col("a").alias("fp"))
-        between = links.filter("a <> b").join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-        edges = edges.union(between.select(F.least("x", "y"), F.greatest("x", "y")))
-    edges = cut(edges.distinct())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), t1, t2, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(prints))], ["doc_id", "text_hash", "t1", "t2", *fps])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    own = cut(text.mapInArrow(run, ", ".join(["doc_id long, text_hash long, t1 long, t2 long", *(f"{c} long" for c in fps)])))
+    # a node is the words of a text, named by their hash; the row of its least doc_id stands for it
+    first_row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    nodes = cut(own.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", first_row).alias("text_hash"), *(F.first(c).alias(c) for c in fps)).withColumn("id", F.xxhash64("t1", "t2")))
+    if nodes.isEmpty():
+        return own.select("doc_id", "text_hash", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
 
     def texts_of(pairs):
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return text.join(ends, text.doc_id == ends.id, "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
-
+        wanted = ends.join(nodes.select("id", "rep", F.col("text_hash").alias("hash")), "id")
+        return text.join(wanted, text.doc_id.eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["id"]).select("id", "text")
+
+    view = nodes.select("id", F.posexplode(F.array(*fps)).alias("kind", "fp")).withColumn("kind", F.col("kind").cast("long"))
+    heads = cut(view.groupBy("kind", "fp").agg(F.min("id").alias("head")))
+    probes = plan_probes(heads.filter("kind = 0"), distance)
+    links = cut(fingerprint_links(heads, distance, probes, nearest=6))
+    same = view.join(heads, ["kind", "fp"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    end = lambda p, q: heads.select("kind", F.col("fp").alias(p), F.col("head").alias(q))
+    between = links.filter("a <> b").join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
+    edges = cut(same.union(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     verified = cut(verify(edges, texts_of(edges), similarity, shingle_words))
     parts = connected_components(verified, "a", "b")
-    if capped is not None and not capped.isEmpty():
-        rest = capped.join(heads, "fp").join(parts, F.col("head") == F.col("node"), "left").select("fp", F.col("head").alias("id"), F.coalesce("component", "head").alias("component"))
-        pairs = cut(rest_pairs(cut(rest), distance, probes))
-        parts = connected_components(verified.union(verify_rest(pairs, texts_of(pairs), similarity, shingle_words)), "a", "b")
-    of = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", "t1", "t2", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(of, ["fp", "t1", "t2"]).select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # fingerprints of texts that aren't all joined, those near to them, and those with more candidates than were verified
+    of = view.join(parts, F.col("id") == F.col("node"), "left").select("kind", "fp", "id", F.coalesce("component", "id").alias("component"))
+    mixed = of.groupBy("kind", "fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("kind", F.col("fp").alias("f"))
+    beside = lambda p, q: links.join(mixed.withColumnRenamed("f", p), ["kind", p]).select("kind", F.col(q).alias("f"))
+    wanted = mixed.union(beside("a", "b")).union(beside("b", "a")).union(links.filter("a = b").select("kind", "a")).distinct()
+    rest = cut(of.join(wanted.withColumnRenamed("f", "fp"), ["kind", "fp"]))
+    if not rest.isEmpty():
+        pairs = cut(rest_pairs(rest, distance, probes))
+        more = verify_rest(pairs, texts_of(pairs), similarity, shingle_words)
+        parts = connected_components(verified.union(more), "a", "b")
+    ranked = nodes.join(parts, F.col("id") == F.col("node"), "left").select("t1", "t2", "rep", F.coalesce("component", "id").alias("part"))
+    first_node = F.struct(F.col("rep").isNull(), "rep", "t1", "t2")
+    leaders = ranked.groupBy("part").agg(F.min("rep").alias("component_id"), F.min_by(F.struct("t1", "t2"), first_node).alias("lead"))
+    of = ranked.join(leaders, "part").select("t1", "t2", "component_id", ((F.col("lead.t1") == F.col("t1")) & (F.col("lead.t2") == F.col("t2"))).alias("leads"))
+    return own.join(of, ["t1", "t2"]).select("doc_id", "text_hash", "component_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))

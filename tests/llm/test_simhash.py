@@ -48,7 +48,8 @@ def sample_texts():
 
 def test_fingerprint_is_the_majority_of_shingle_hashes():
     for text in sample_texts():
-        assert simhash.fingerprint(text) == brute_fingerprint(text)
+        assert simhash.fingerprint(text)[0] == brute_fingerprint(text)
+        assert len(set(simhash.fingerprint(text, many=3))) == (3 if (text or '').split() else 1)
 
 
 def test_components_equal_brute_force(docs_of):
@@ -112,9 +113,9 @@ def edited_copies(copies, words, edits, seed):
 
 def test_all_candidates_of_a_dense_group_are_verified(docs_of, monkeypatch):
     texts = edited_copies(200, 120, 2, 7) + edited_copies(200, 300, 5, 8)
-    fps, sets = [simhash.fingerprint(t) for t in texts], [set(simhash.shingle_set(t).tolist()) for t in texts]
+    fps, sets = [simhash.fingerprint(t, many=3) for t in texts], [set(simhash.shingle_set(t).tolist()) for t in texts]
     alike = lambda a, b: (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
-    want = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 8 and alike(a, b)])
+    want = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if any((x ^ y).bit_count() <= 8 for x, y in zip(fps[a], fps[b])) and alike(a, b)])
     monkeypatch.setattr(simhash, "CELL_ROWS", 16)
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 64)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(list(enumerate(texts)))).collect()} == want
@@ -124,11 +125,42 @@ def test_rest_pairs_come_once_each(spark, monkeypatch):
     draw = np.random.default_rng(4)
     fps = np.unique(np.array([int(sum(1 << int(b) for b in draw.choice(64, 3, replace=False))) for _ in range(120)], np.uint64))
     probes = [(list(range(0, 16)), 1), (list(range(16, 32)), 1), (list(range(32, 48)), 1), (list(range(48, 64)), 0)]
-    rest = spark.createDataFrame([(int(f), i, i % 5) for i, f in enumerate(fps.view(np.int64))], "fp long, id long, component long")
+    rest = spark.createDataFrame([(0, int(f), i, i % 5) for i, f in enumerate(fps.view(np.int64))], "kind long, fp long, id long, component long")
     want = sorted((i, j) for j in range(len(fps)) for i in range(j) if i % 5 != j % 5 and (int(fps[i]) ^ int(fps[j])).bit_count() <= 6)
+    twice = rest.union(rest.selectExpr("kind", "fp", "id + 1000", "component + 7"))  # other texts of the same fingerprints
+    ids = [i + at for at in (0, 1000) for i in range(len(fps))]
+    both = sorted((min(i, j), max(i, j)) if fps[i % 1000] == fps[j % 1000] or fps[i % 1000] < fps[j % 1000] else (j, i) for n, j in enumerate(ids) for i in ids[:n] if (i % 1000 % 5 + i // 1000 * 7) != (j % 1000 % 5 + j // 1000 * 7) and (int(fps[i % 1000]) ^ int(fps[j % 1000])).bit_count() <= 6)
     for rows in (4096, 16):
         monkeypatch.setattr(simhash, "CELL_ROWS", rows)
         assert sorted((r.a, r.b) for r in simhash.rest_pairs(rest, 6, probes).collect()) == want
+        got = [(r.a, r.b) for r in simhash.rest_pairs(twice, 6, probes).collect()]
+        assert sorted(map(sorted, got)) == sorted(map(sorted, both)) and len(set(got)) == len(got)
+
+
+def test_links_of_dense_cells_in_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    fps = np.unique(np.array([int(sum(1 << int(b) for b in draw.choice(16, 2, replace=False))) for _ in range(100)], np.uint64))
+    rows = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    want = components(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 3])
+    monkeypatch.setattr(simhash, "CELL_ROWS", 8)
+    got = [(int(np.searchsorted(fps, r.a)), int(np.searchsorted(fps, r.b))) for r in simhash.fingerprint_links(rows, 3).collect()]
+    assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 3 for a, b in got) and components(range(len(fps)), got) == want
+
+
+def test_texts_of_one_fingerprint_that_are_not_alike_stay_apart(docs_of):
+    line = "again "
+    tails = [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(3)]
+    rows = [(k, line * 300 + tails[k // 2] + (" end" if k % 2 else "")) for k in range(6)]
+    fps = {simhash.fingerprint(t)[0] for _, t in rows}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows)).collect()}
+    assert len(fps) <= 2 and got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_repeated_ids_and_null_ids_are_judged_by_their_texts(docs_of):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    got = simhash.similar_documents(docs_of([(7, a), (7, a), (7, b), (8, b), (9, a), (None, b), (None, c), (None, c)])).collect()
+    seen = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got)
+    assert seen == [(0, 0, True), (0, 0, True), (0, 7, False), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
 
 
 def test_odd_rows(odd, none):
