@@ -19,16 +19,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on all labels, scores below 0.5."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    toxic = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(toxic, docs.doc_id.eqNullSafe(toxic.doc_id), "left_anti").select(*COLUMNS)
+    """Rows whose text the toxicity model, trained on all labels, scores below 0.5; rows of one doc_id, or of none, are each judged by their own text."""
+    own = docs.select(*COLUMNS, F.col("text").alias("_read"))
+    scored = toxicity.score_rows(own, toxicity.train(docs, table(spark, sf_dir, "labels")), "_read")
+    return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; and one row of an id."""
-    gone = simhash.similar_documents(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest doc_id; of rows repeated in doc_id and text one stays."""
+    own = docs.select(*COLUMNS, simhash.text_hash().alias("_hash"))
+    kept = simhash.similar_documents(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    there = own.join(kept, own.doc_id.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    return there.dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
