@@ -129,7 +129,8 @@ def _small(rows: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    return docs.select("*", _key(source).alias("_key"), F.xxhash64(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("_row"), word_count(text).alias("_n"))
+    """(_doc: the columns of ``docs``, whatever their names, as a struct, _key, _row, _n)."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), _key(source).alias("_key"), F.xxhash64(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("_row"), word_count(text).alias("_n"))
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 2.0, budget: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 41) -> DataFrame:
@@ -139,14 +140,14 @@ def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float
     source of its own; documents without words count no tokens and are in every
     whole pass of their source, once if the source has no words at all; rows
     repeated in full are in or out together; an empty table gives no rows;
-    columns of any other name are kept.
+    columns of any other name are kept, and a column ``turn`` is replaced.
     """
     own = _slim(docs, doc_id, text, source)
     planned = plan(cut(own.select(F.col("_key").alias("key"), F.col("_row").alias("row_key"), F.col("_n").alias("n_tokens"))), target_entropy, max_repeats, budget, seed)
     few = _small(planned.select(F.col("key").alias("_key"), F.col("turns").alias("_turns"), F.col("cutoff").alias("_cutoff")), planned)
     more = F.coalesce((_draw(F.col("_row"), F.col("_turns"), seed) <= F.col("_cutoff")).cast("int"), F.lit(0))
     last = F.col("_turns") + more - 1
-    return own.join(few, "_key").filter(last >= 0).select(*docs.columns, F.explode(F.sequence(F.lit(0), last)).alias("turn"))
+    return own.join(few, "_key").filter(last >= 0).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns if c != "turn"), F.explode(F.sequence(F.lit(0), last)).alias("turn"))
 
 
 def mix_order(docs: DataFrame, block_tokens: int = 1 << 20, target_entropy: float | None = 0.95, max_repeats: float | None = 2.0, budget: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 41) -> DataFrame:
@@ -156,7 +157,7 @@ def mix_order(docs: DataFrame, block_tokens: int = 1 << 20, target_entropy: floa
     ``place`` is a hash that orders a block's rows.  A reader takes rows by
     (block, place).  Cases are those of ``mix``.
     """
-    own = cut(_slim(docs, doc_id, text, source).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "_key", "_row", "_n"))
+    own = cut(_slim(docs, doc_id, text, source).select(F.col("_doc").getField(doc_id).alias("doc_id"), F.col("_doc").getField(source).alias("source"), "_key", "_row", "_n"))
     planned = plan(own.select(F.col("_key").alias("key"), F.col("_row").alias("row_key"), F.col("_n").alias("n_tokens")), target_entropy, max_repeats, budget, seed)
     few = _small(planned.select(F.col("key").alias("_key"), "turns", "cutoff", "weight", "exponent", F.col("n").alias("total")), planned)
     more = F.coalesce((_draw(F.col("_row"), F.col("turns"), seed) <= F.col("cutoff")).cast("int"), F.lit(0))

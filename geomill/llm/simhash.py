@@ -122,10 +122,12 @@ def allocate(sample: np.ndarray, rows: int, groups: list[list[int]], distance: i
     for bits in groups:
         mask = _masks(bits)
         d = np.bitwise_count((half[0][:, None] ^ half[1][None, :]) & mask) if len(sample) > 1 else np.zeros((0, 0), np.uint8)
+        within = np.cumsum(np.bincount(d.ravel(), minlength=BITS + 1)) / max(1, d.size)
+        shares = [max(float(within[t]), _ball(len(bits), t) / 2.0 ** len(bits)) for t in range(distance + 1)]
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for t in range(-1, distance + 1):
-                share = max(float((d <= t).mean()) if d.size else 0.0, _ball(len(bits), t) / 2.0 ** len(bits)) if t >= 0 else 0.0
+                share = shares[t] if t >= 0 else 0.0
                 now = cost + share * rows * rows / 2 + 8.0 * rows * _ball(len(bits), t)
                 if used + t not in step or now < step[used + t][0]:
                     step[used + t] = (now, [*chosen, t])

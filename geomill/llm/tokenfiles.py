@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,17 +29,43 @@ BLOCK_BYTES = 1 << 20
 CHUNK = 256
 
 
+def _opened(name: str):
+    """(file system, path in it) of a file that Spark names so; local names come as file:/path."""
+    return FileSystem.from_uri("/" + name[5:].lstrip("/") if name.startswith("file:") else name)
+
+
 def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data) of the flat files under ``path``, each below 2 GB."""
+    """(file, block, data) of the flat files under ``path``, of any size: tasks read byte ranges.
 
-    def run(batches):
+    Where the workers can't open the path themselves Spark reads the files,
+    each as one row, which holds below 2 GB.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    one = files.select("path").first()
+    try:
+        _opened(one[0] if one else "/")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+
+        def split(batches):
+            for batch in batches:
+                for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    whole = data.as_py() or b""
+                    for lo in range(0, len(whole), block_bytes):
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lo // block_bytes]), pa.array([whole[lo : lo + block_bytes]], pa.binary())], ["file", "block", "data"])
+
+        return files.select("path", "content").mapInArrow(split, "file string, block long, data binary")
+
+    def read(batches):
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                whole = data.as_py() or b""
-                for lo in range(0, len(whole), block_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lo // block_bytes]), pa.array([whole[lo : lo + block_bytes]], pa.binary())], ["file", "block", "data"])
+            for name, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist()):
+                system, where = _opened(name)
+                with system.open_input_file(where) as f:
+                    data = f.read_at(block_bytes, block * block_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([data], pa.binary())], ["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    last = F.floor((F.col("length") - 1) / block_bytes)
+    ranges = files.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return ranges.repartition("path", "block").mapInArrow(read, "file string, block long, data binary")
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -111,14 +138,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(blocks, names): the tokens of ``docs`` as flat files of 2-byte ids, a file for each task, and (file, ordinal, doc_id).
+def write_tokens(docs: DataFrame, tokenizer: str, separator: int, block_bytes: int = BLOCK_BYTES, width: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(blocks, names): the tokens of ``docs`` as flat files of ids of ``width`` bytes (2 or 4), a file for each task, and (file, ordinal, doc_id).
 
-    Both are columns of one written table; ``separator`` follows each document
-    and is no id of any text.  Null texts have no tokens.
+    Both are columns of one written table; ``separator`` follows each document.
+    An id that doesn't fit ``width``, or is the separator, fails the job.  Null
+    texts have no tokens.
     """
     bound_batches(docs.sparkSession)
-    mark = np.array([separator], "<u2").tobytes()
+    kind, most = f"<u{width}", (1 << 8 * width) - 1
+    if not 0 <= separator <= most:
+        raise ValueError(f"separator {separator} doesn't fit {width} bytes")
+    mark = np.array([separator], kind).tobytes()
 
     def run(batches):
         encode, file = ChunkEncoder(tokenizer, special_as_text=True), TaskContext.get().partitionId()
@@ -131,7 +162,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo in range(0, len(ids), 100):
                 for data in encode(texts[lo : lo + 100]):
-                    held += np.frombuffer(data, "<u4").astype("<u2").tobytes() + mark
+                    own = np.frombuffer(data, "<u4")
+                    if len(own) and (own.max() > most or (own == separator).any()):
+                        raise ValueError(f"a token id doesn't fit {width} bytes or is the separator {separator}")
+                    held += own.astype(kind).tobytes() + mark
             yield row(None, ordinal, ids)
             ordinal += len(ids)
             while len(held) >= block_bytes:
@@ -146,11 +180,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
     return table.filter("data IS NOT NULL").select("file", "block", "data"), names
 
 
-def document_tokens(docs: DataFrame, tokenizer: str, separator: int) -> DataFrame:
+def document_tokens(docs: DataFrame, tokenizer: str, separator: int, width: int = 2) -> DataFrame:
     """doc_id, file, ordinal, start, n_tokens of each document, counted in the flat files that it is written to.
 
     Null, empty and blank texts have 0 tokens; repeated rows and null ids keep
     a row each; an empty table gives no rows; other columns are ignored.
     """
-    blocks, names = write_tokens(docs, tokenizer, separator)
-    return names.join(scan(blocks, separator), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    blocks, names = write_tokens(docs, tokenizer, separator, width=width)
+    return names.join(scan(blocks, separator, width), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

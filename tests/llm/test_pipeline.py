@@ -30,3 +30,43 @@ def test_stages_take_odd_documents(spark, sf_dir, odd, none):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf_dir)
             assert (out.count() > 0) == (docs is odd), name
+
+
+def test_stages_judge_rows_of_one_id_or_of_none_by_their_text(spark, sf_dir, docs_of, monkeypatch):
+    from geomill.llm import simhash, toxicity
+
+    a, b, bad = (" ".join(f"{c}{i}" for i in range(30)) for c in ("a", "b", "bad"))
+    rows = [(1, bad), (1, a), (None, bad), (None, b), (2, a), (2, a), (3, b), (3, b)]
+    only = lambda docs, detector, text: docs.withColumn("predicted", docs[text].startswith("bad").cast("int")).drop(text)
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score_rows", only)
+    clean = corpus_pipeline.drop_toxic(spark, docs_of(rows), sf_dir)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows if t != bad)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), sf_dir).collect()
+    # one row of each group of texts: the one of the smallest id
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(1, a), (1, bad), (3, b)]
+    assert simhash.text_hash
+
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir):
+    from geomill.llm import simhash
+
+    docs = table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                root[y] = x
+    want = {rows[find(i)][0] for i in range(len(rows))}
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert want <= got and len(got - want) <= 0.02 * len(want)

@@ -165,3 +165,31 @@ def test_mix_agrees_with_its_order_and_takes_odd_rows(spark, odd, none):
     assert got.columns == [*odd.columns, "turn"] and got.filter("turn = 0").count() == 9
     assert mixing.mix_order(odd).filter("turn = 0").count() == 9
     assert mixing.mix(none).count() == 0 and mixing.mix_order(none).count() == 0
+
+
+def test_columns_with_the_names_used_inside_are_kept(spark):
+    rows = [(i, f"w{i} " * (i + 1), f"s{i % 2}", "k", i, 3, 9, "g") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _row int, _n int, turn int, _doc string")
+    got = mixing.mix(docs, max_repeats=1.0)
+    assert got.columns == ["doc_id", "text", "source", "_key", "_row", "_n", "_doc", "turn"]
+    assert sorted({(r.doc_id, r._key, r._row, r._n, r._doc) for r in got.collect()}) == [(i, "k", i, 3, "g") for i in range(20)]
+
+
+def test_ids_that_do_not_fit_fail(spark, docs_of):
+    with pytest.raises(Exception, match="doesn't fit|separator"):
+        tokenfiles.write_tokens(docs_of([(1, "a b c d e f g")]), PATH, separator=ids_of("c")[0])
+    with pytest.raises(ValueError):
+        tokenfiles.write_tokens(docs_of([(1, "a")]), PATH, separator=1 << 16)
+    wide = tokenfiles.document_tokens(docs_of([(1, "a b"), (2, None)]), PATH, separator=1 << 20, width=4).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in wide) == [(1, len(ids_of("a b"))), (2, 0)]
+
+
+def test_files_that_workers_cannot_open_are_read_by_spark(spark, tmp_path, monkeypatch):
+    np.array([5, 6, 1, 7, 1], "<u2").tofile(tmp_path / "a.bin")
+    want = [(r.block, bytes(r.data)) for r in tokenfiles.read_blocks(spark, str(tmp_path), 4).orderBy("block").collect()]
+
+    def refuse(name):
+        raise OSError(name)
+
+    monkeypatch.setattr(tokenfiles, "_opened", refuse)
+    assert [(r.block, bytes(r.data)) for r in tokenfiles.read_blocks(spark, str(tmp_path), 4).orderBy("block").collect()] == want and len(want) == 3
