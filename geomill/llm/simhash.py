@@ -172,28 +172,21 @@ def _tree(x: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _dense_links(x: np.ndarray, distance: int, nearest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a long run: all of a member that has few, else a link to itself and those to its ``nearest`` nearest and to the first in range."""
-    out, many = [], max(1, (1 << 22) // len(x))
+def _dense_links(x: np.ndarray, distance: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a long run: all of a member that has at most ``most``, else one to itself."""
+    out, many = [], max(1, (1 << 20) // len(x))
     for lo in range(0, len(x), many):
-        bits = np.bitwise_count(x[lo : lo + many, None] ^ x[None, :])
-        bits[np.arange(len(bits)), np.arange(lo, lo + len(bits))] = 255
-        near = bits <= distance
-        count = near.sum(1)
-        few, dense = np.flatnonzero((count > 0) & (count <= 4 * nearest)), np.flatnonzero(count > 4 * nearest)
+        near = np.bitwise_count(x[lo : lo + many, None] ^ x[None, :]) <= distance
+        count = near.sum(1) - 1
+        few, dense = np.flatnonzero((count > 0) & (count <= most)), np.flatnonzero(count > most)
         i, j = np.nonzero(near[few])
-        out.append((x[lo + few[i]], x[j]))
-        if len(dense):
-            rank = bits[dense].astype(np.int64) * len(x) + np.arange(len(x))  # ties to the smallest, in every cell alike
-            closest = np.argpartition(rank, nearest, axis=1)[:, :nearest]
-            out.append((np.repeat(x[lo + dense], nearest), x[closest.ravel()]))
-            out.append((x[lo + dense], x[near[dense].argmax(1)]))
-            out.append((x[lo + dense], x[lo + dense]))
+        other = lo + few[i] != j
+        out += [(x[lo + few[i[other]]], x[j[other]]), (x[lo + dense], x[lo + dense])]
     return out
 
 
-def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, nearest: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links among equal keys of arrays sorted by key: all of short runs, of long ones a spanning forest or, with ``nearest``, ``_dense_links``."""
+def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links among equal keys of arrays sorted by key: all of short runs, of long ones a spanning forest or, with ``most``, ``_dense_links``."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     long_run = np.repeat(sizes > SHORT_RUN, sizes)
@@ -203,68 +196,69 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, nearest: int =
         out.append((fps[d:][near], fps[:-d][near]))
     for at, size in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
         run = np.unique(fps[at : at + size])
-        out += _dense_links(run, distance, nearest) if nearest and len(run) > 1 else _tree(run, distance)
+        out += _dense_links(run, distance, most) if most and len(run) > 1 else _tree(run, distance)
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-#: Rows of one cell that are compared in one task, and texts whose shingle sets one task holds, about.
-CELL_ROWS, BLOCK_TEXTS = 4096, 512
+#: Rows of one cell that are compared in one task, and texts of a block of a region.
+CELL_ROWS, BLOCK_TEXTS = 4096, 256
 
 
 def _cells(rows: DataFrame, probes: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, cell, block, of, own, and the columns of ``rows``): each row of ``rows`` (kind, fp and other longs) in the cells that it reaches.
+    """(part, cell, block, fp): each row of ``rows`` (kind, fp) in the cells that it reaches.
 
     A kind of fingerprint has cells of its own: part is kind times the number
-    of groups, plus the group.
-    ``own`` marks a row's own cell under a group, which it reaches by no flip.
-    The rows of a cell of more than ``CELL_ROWS`` are dealt into blocks
-    (``of``) by a hash of their id, or else fp, and ``block`` is a pair of them, so that every two rows
-    meet in one block and no task holds a whole large cell.
+    of groups, plus the group.  The rows of a cell of more than ``CELL_ROWS``
+    are dealt into blocks by a hash, and ``block`` is a pair of them, so that
+    every two rows meet in one block and no task holds a whole large cell.
     """
     masks = [(_masks(bits), _flips(bits, t)) for bits, t in probes]
-    names = rows.columns
-    longs = ", ".join(f"{c} long" for c in names)
 
-    def reach(batches):
+    def reached(batches):
         for batch in batches:
             x, kind = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("kind").to_numpy(zero_copy_only=False)
             for i, (mask, flips) in enumerate(masks):
                 for flip in flips:
-                    yield pa.RecordBatch.from_arrays([pa.array((kind * len(masks) + i).astype(np.int32)), pa.array(((x & mask) ^ flip).view(np.int64)), pa.array(np.full(len(x), not flip)), *batch.columns], ["part", "cell", "own", *names])
+                    yield kind * len(masks) + i, ((x & mask) ^ flip).view(np.int64), x
 
-    reached = rows.mapInArrow(reach, f"part int, cell long, own boolean, {longs}")
-    large = {(r.part, r.cell): -(-r.n // (CELL_ROWS // 2)) for r in reached.groupBy("part", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()}  # at most a row for CELL_ROWS
-    found = [(i, *(np.array(c, np.int64) for c in zip(*sorted((cell, n) for (part, cell), n in large.items() if part == i)))) for i in sorted({part for part, _ in large})]
+    def count(batches):
+        for part, cell, _ in reached(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cell)], ["part", "cell"])
+
+    large = rows.mapInArrow(count, "part int, cell long").groupBy("part", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).collect()  # at most a row for CELL_ROWS
+    by_part: dict[int, list] = {}
+    for r in large:
+        by_part.setdefault(r.part, []).append((r.cell, -(-r.n // (CELL_ROWS // 2))))
+    found = [(i, *(np.array(c, np.int64) for c in zip(*sorted(cells)))) for i, cells in sorted(by_part.items())]
 
     def deal(batches):
-        for batch in batches:
-            part, cell, named = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "cell", "id" if "id" in names else "fp"))
+        for part, cell, x in reached(batches):
             blocks = np.ones(len(part), np.int64)
             for i, known, n in found:
                 at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                 hit = (part == i) & (known[at] == cell)
                 blocks[hit] = n[at[hit]]
             with np.errstate(over="ignore"):
-                own = ((named.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
+                own = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
             for other in range(int(blocks.max(initial=0))):
                 row = np.flatnonzero(other < blocks)
                 block = np.minimum(own[row], other) * (1 << 32) + np.maximum(own[row], other)
-                yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(row)), batch.column("cell").take(pa.array(row)), pa.array(block), pa.array(own[row]), *[batch.column(c).take(pa.array(row)) for c in ("own", *names)]], ["part", "cell", "block", "of", "own", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(part[row].astype(np.int32)), pa.array(cell[row]), pa.array(block), pa.array(x[row].view(np.int64))], ["part", "cell", "block", "fp"])
 
-    return reached.mapInArrow(deal, f"part int, cell long, block long, of long, own boolean, {longs}")
+    return rows.mapInArrow(deal, "part int, cell long, block long, fp long")
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list[int], int]] | None = None, nearest: int = 0) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list[int], int]] | None = None, most: int = 0) -> DataFrame:
     """(kind, a, b) links among the distinct (kind, fp) of ``fps``: enough to connect all of one kind within ``distance``.
 
     Without a column of that name all are of kind 0.
     Each fingerprint goes to the cells that it reaches under every group's
     threshold; a cell's members are verified on all 64 bits.  Cells with many
-    members return a spanning forest instead of all pairs or, with ``nearest``,
-    the links of each member to that many nearest ones; a member that has more
-    has a link (a, a), and ``rest_pairs`` finds the others.
+    members return a spanning forest instead of all pairs or, with ``most``, all
+    links of members that have no more than that; a member that has more gets a
+    link (a, a), and ``region_links`` finds what links it.
     """
     probes = probes or plan_probes(fps, distance)
     groups = len(probes)
@@ -282,13 +276,13 @@ def fingerprint_links(fps: DataFrame, distance: int = 3, probes: list[tuple[list
             run = np.searchsorted(starts, np.arange(end), side="right")
             for kind in np.unique(part // groups):
                 own = part // groups == kind
-                a, b = _run_edges(run[own], fp[own], distance, nearest)
+                a, b = _run_edges(run[own], fp[own], distance, most)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
 
     kind = F.col("kind").cast("long") if "kind" in fps.columns else F.lit(0).cast("long")
-    rows = _cells(fps.select(kind.alias("kind"), "fp"), probes).select("part", "cell", "block", "fp")
+    rows = _cells(fps.select(kind.alias("kind"), "fp"), probes)
     found = rows.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block", "fp").mapInArrow(compare, "kind long, a long, b long")
-    return found.filter("a <> b" if not nearest else "true").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.filter("a <> b" if not most else "true").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _runs(batches, keys: int):
@@ -308,82 +302,59 @@ def _runs(batches, keys: int):
             held = [c[starts[-1] :] for c in held]
 
 
-def rest_pairs(rest: DataFrame, distance: int, probes: list[tuple[list[int], int]]) -> DataFrame:
-    """(a, b, ca, cb), each once: ids of ``rest`` (kind, fp, id, component) of different components, of fingerprints of one kind that differ in at most ``distance`` bits.
-
-    A pair is met in the cell of its smaller fingerprint (of equal ones, of
-    its smaller id) under the first group that the other reaches.
+def _common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of ``sets`` have in common, by matrix products over blocks of the shingles that occur more than once."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, name, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times > 1
+    name, of = (np.cumsum(many) - 1)[name[many[name]]], of[many[name]]
+    by = np.argsort(name, kind="stable")
+    name, of = name[by], of[by]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(many.sum()), 4096):
+        own = slice(*np.searchsorted(name, [lo, lo + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[of[own], name[own] - lo] = 1
+        both += has @ has.T
+    return both
+
+
+def region_links(regions: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b) links of that Jaccard similarity that join the components of each region of ``regions`` (region, id, component).
+
+    The texts of a region, from ``docs`` (id, text), are dealt into blocks, and
+    every two blocks are compared in one task, which returns the edges of a
+    forest, never the pairs.
     """
-    masks = [(_masks(bits), t) for bits, t in probes]
+    sizes = regions.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = regions.join(sizes, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt.join(docs, "id").select("region", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "component", "text")
 
     def compare(batches):
-        for part, _, block, of, own, fp, ids, component in _runs(batches, 3):
+        for _, _, _, ids, component, texts in _runs(batches, 3):
             if (component == component[0]).all():
                 continue
-            x, i, mine = fp.view(np.uint64), int(part[0]) % len(masks), np.flatnonzero(own)
-            split = block[0] >> 32 != block[0] & (1 << 32) - 1
-            many = max(1, (1 << 20) // len(x))
-            for at in range(0, len(mine), many):
-                some = mine[at : at + many]
-                bits = x[some, None] ^ x[None, :]
-                before = (x[some, None] < x[None, :]) | ((bits == 0) & own[None, :] & (ids[some, None] < ids[None, :]))
-                near = (np.bitwise_count(bits) <= distance) & (component[some, None] != component[None, :]) & before
-                if split:
-                    near &= of[some, None] != of[None, :]
-                for mask, t in masks[:i]:
-                    near &= np.bitwise_count(bits & mask) > t
-                a, b = np.nonzero(near)
-                a = some[a]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[a], ids[b], component[a], component[b])], ["a", "b", "ca", "cb"])
-
-    dealt = _cells(rest.select("kind", "fp", "id", "component"), probes).select("part", "cell", "block", "of", "own", "fp", "id", "component")
-    found = dealt.repartition("part", "cell", "block").sortWithinPartitions("part", "cell", "block").mapInArrow(compare, "a long, b long, ca long, cb long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb")).distinct()
-
-
-def verify_rest(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Of ``pairs`` (a, b, ca, cb), those with the Jaccard similarity of ``verify`` that join components not yet joined by others of their task.
-
-    Ids are dealt into blocks, and the pairs of every two blocks go to one
-    task with the texts that they name, once each.
-    """
-    n = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, 2 * n // BLOCK_TEXTS)))
-    dealt = pairs.withColumn("p", block("a")).withColumn("q", block("b"))
-    need = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("id")).distinct().join(docs, "id")
-    none = F.lit(None).cast("long")
-    rows = need.select("p", "q", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("ca"), none.alias("cb"), "text")
-    rows = rows.union(dealt.select("p", "q", F.lit(1), "a", "b", "ca", "cb", F.lit(None).cast("string")))
-
-    def run(batches):
-        key, sets, root = None, {}, {}
+            sets = [shingle_set(t, words) for t in texts]
+            sizes, both = np.array([len(x) for x in sets]), _common_shingles(sets)
+            alike = (both >= similarity * (sizes[:, None] + sizes[None, :] - both)) & (component[:, None] != component[None, :])
+            root: dict[int, int] = {}
+            kept = []
 
-        def find(i):
-            while root.setdefault(i, i) != i:
-                root[i] = i = root[root[i]]
-            return i
+            def find(i):
+                while root.setdefault(i, i) != i:
+                    root[i] = i = root[root[i]]
+                return i
 
-        for batch in batches:
-            kept = []
-            for r in batch.to_pylist():
-                if (r["p"], r["q"]) != key:
-                    key, sets, root = (r["p"], r["q"]), {}, {}
-                if not r["kind"]:
-                    sets[r["a"]] = shingle_set(r["text"], words)
-                    continue
-                ca, cb = find(r["ca"]), find(r["cb"])
-                if ca == cb:
-                    continue
-                x, y = sets[r["a"]], sets[r["b"]]
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    root[ca] = cb
-                    kept.append((r["a"], r["b"]))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike)))):
+                x, y = find(int(component[i])), find(int(component[j]))
+                if x != y:
+                    root[x] = y
+                    kept.append((int(ids[i]), int(ids[j])))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition("p", "q").sortWithinPartitions("p", "q", "kind").mapInArrow(run, "a long, b long")
+    return rows.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataFrame:
@@ -446,10 +417,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     Candidates are texts of which one of ``prints`` independent fingerprints
     differs in at most ``distance`` bits; all candidates are verified on the
     whole texts.  Texts of equal words, upper and lower case alike, are one
-    before any search.  In a cell where a text has very many candidates the
-    nearest are verified first, and then all that those links have not joined;
-    so are texts that share a fingerprint but aren't similar to the first of
-    its texts.  component_id is the smallest doc_id reachable, null where all
+    before any search.  Texts that have very many candidates in a cell, and those that share a fingerprint
+    but aren't similar to the first of its texts, are compared with all such
+    texts that hang together with them within the distance, in blocks.  component_id is the smallest doc_id reachable, null where all
     are null.  kept marks the rows of one text and one doc_id of a component,
     that of component_id; rows repeated in full are marked alike, rows of one
     doc_id with other texts each by their own.  Null, empty and blank texts
@@ -483,7 +453,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     view = nodes.select("id", F.posexplode(F.array(*fps)).alias("kind", "fp")).withColumn("kind", F.col("kind").cast("long"))
     heads = cut(view.groupBy("kind", "fp").agg(F.min("id").alias("head")))
     probes = plan_probes(heads.filter("kind = 0"), distance)
-    links = cut(fingerprint_links(heads, distance, probes, nearest=6))
+    links = cut(fingerprint_links(heads, distance, probes, most=24))
     same = view.join(heads, ["kind", "fp"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     end = lambda p, q: heads.select("kind", F.col("fp").alias(p), F.col("head").alias(q))
     between = links.filter("a <> b").join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
@@ -497,8 +467,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     wanted = mixed.union(beside("a", "b")).union(beside("b", "a")).union(links.filter("a = b").select("kind", "a")).distinct()
     rest = cut(of.join(wanted.withColumnRenamed("f", "fp"), ["kind", "fp"]))
     if not rest.isEmpty():
-        pairs = cut(rest_pairs(rest, distance, probes))
-        more = verify_rest(pairs, texts_of(pairs), similarity, shingle_words)
+        # regions: texts that hang together within the distance; all of their links are looked for
+        first = cut(rest.groupBy("kind", "fp").agg(F.min("id").alias("first")))
+        end = lambda p, q: first.select("kind", F.col("fp").alias(p), F.col("first").alias(q))
+        near = fingerprint_links(first, distance, probes).join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
+        near = near.union(rest.join(first, ["kind", "fp"]).filter("id <> first").select("first", "id"))
+        region = connected_components(near, "x", "y").withColumnsRenamed({"node": "id", "component": "region"})
+        regions = cut(region.join(rest.select("id", "component").distinct(), "id"))
+        wanted = regions.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        more = cut(region_links(regions, texts_of(wanted), similarity, shingle_words))
         parts = connected_components(verified.union(more), "a", "b")
     ranked = nodes.join(parts, F.col("id") == F.col("node"), "left").select("t1", "t2", "rep", F.coalesce("component", "id").alias("part"))
     first_node = F.struct(F.col("rep").isNull(), "rep", "t1", "t2")

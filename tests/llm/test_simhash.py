@@ -83,8 +83,8 @@ def test_long_runs_stay_connected():
     x = np.unique(np.array([0] + [1 << b for b in range(64)], np.uint64))
     a, b = simhash._run_edges(np.zeros(len(x), np.uint64), x, 3)
     assert len(a) == len(x) - 1 and set(components(range(len(x)), zip(np.searchsorted(x, a).tolist(), np.searchsorted(x, b).tolist())).values()) == {0}
-    a, b = simhash._run_edges(np.zeros(len(x), np.uint64), x, 3, nearest=6)
-    assert (np.bitwise_count(a ^ b) <= 3).all() and set(components(range(len(x)), zip(np.searchsorted(x, a).tolist(), np.searchsorted(x, b).tolist())).values()) == {0}
+    a, b = simhash._run_edges(np.zeros(len(x), np.uint64), x, 3, most=6)
+    assert (a == b).all() and set(a.tolist()) == set(x.tolist())  # all have more than that
 
 
 def test_similar_documents_have_verified_links(docs_of):
@@ -116,25 +116,25 @@ def test_all_candidates_of_a_dense_group_are_verified(docs_of, monkeypatch):
     fps, sets = [simhash.fingerprint(t, many=3) for t in texts], [set(simhash.shingle_set(t).tolist()) for t in texts]
     alike = lambda a, b: (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
     want = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if any((x ^ y).bit_count() <= 8 for x, y in zip(fps[a], fps[b])) and alike(a, b)])
+    every = components(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)])
     monkeypatch.setattr(simhash, "CELL_ROWS", 16)
     monkeypatch.setattr(simhash, "BLOCK_TEXTS", 64)
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(list(enumerate(texts)))).collect()} == want
-
-
-def test_rest_pairs_come_once_each(spark, monkeypatch):
-    draw = np.random.default_rng(4)
-    fps = np.unique(np.array([int(sum(1 << int(b) for b in draw.choice(64, 3, replace=False))) for _ in range(120)], np.uint64))
-    probes = [(list(range(0, 16)), 1), (list(range(16, 32)), 1), (list(range(32, 48)), 1), (list(range(48, 64)), 0)]
-    rest = spark.createDataFrame([(0, int(f), i, i % 5) for i, f in enumerate(fps.view(np.int64))], "kind long, fp long, id long, component long")
-    want = sorted((i, j) for j in range(len(fps)) for i in range(j) if i % 5 != j % 5 and (int(fps[i]) ^ int(fps[j])).bit_count() <= 6)
-    twice = rest.union(rest.selectExpr("kind", "fp", "id + 1000", "component + 7"))  # other texts of the same fingerprints
-    ids = [i + at for at in (0, 1000) for i in range(len(fps))]
-    both = sorted((min(i, j), max(i, j)) if fps[i % 1000] == fps[j % 1000] or fps[i % 1000] < fps[j % 1000] else (j, i) for n, j in enumerate(ids) for i in ids[:n] if (i % 1000 % 5 + i // 1000 * 7) != (j % 1000 % 5 + j // 1000 * 7) and (int(fps[i % 1000]) ^ int(fps[j % 1000])).bit_count() <= 6)
-    for rows in (4096, 16):
-        monkeypatch.setattr(simhash, "CELL_ROWS", rows)
-        assert sorted((r.a, r.b) for r in simhash.rest_pairs(rest, 6, probes).collect()) == want
-        got = [(r.a, r.b) for r in simhash.rest_pairs(twice, 6, probes).collect()]
-        assert sorted(map(sorted, got)) == sorted(map(sorted, both)) and len(set(got)) == len(got)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(list(enumerate(texts)))).collect()}
+    assert all(got[a] == got[want[a]] and every[a] == every[got[a]] for a in got)  # no link within 8 bits is lost, none is made up
+
+
+def test_common_shingles_and_region_links_equal_brute_force(spark, monkeypatch):
+    texts = edited_copies(40, 60, 1, 3) + edited_copies(30, 90, 3, 4)
+    sets = [simhash.shingle_set(x) for x in texts]
+    both = simhash._common_shingles(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(70) for j in range(i))
+    alike = [(i, j) for i in range(70) for j in range(i) if both[i, j] >= 0.8 * (len(sets[i]) + len(sets[j]) - both[i, j])]
+    want = components(range(70), alike)
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 8)
+    regions = spark.createDataFrame([(0 if i < 40 else 1, i, i) for i in range(70)], "region long, id long, component long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [(r.a, r.b) for r in simhash.region_links(regions, docs, 0.8, 5).collect()]
+    assert set(map(tuple, map(sorted, got))) <= set(map(tuple, map(sorted, alike))) and components(range(70), got) == want
 
 
 def test_links_of_dense_cells_in_blocks(spark, monkeypatch):
