@@ -39,26 +39,25 @@ def join_candidates(ends: DataFrame, tolerance: float, blocked: DataFrame | None
         pairs = pairs.join(blocked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     straight = -(F.col("a_dx") * F.col("b_dx") + F.col("a_dy") * F.col("b_dy"))
     score = straight - F.when(F.col("a_tip") == F.col("b_tip"), 0.001).otherwise(0.0)
-    if relations is not None:
+    if relations is not None:  # only near lines are looked up, so a relation of many lines makes no pairs
         r = relations.select("path", "relation").distinct()
-        common = r.withColumnRenamed("path", "a").join(r.withColumnRenamed("path", "b"), "relation").filter("a < b").select("a", "b").distinct().withColumn("_r", F.lit(0.5))
+        near = pairs.select("a", "b").distinct()
+        common = near.join(r.withColumnRenamed("path", "a"), "a").join(r.withColumnRenamed("path", "b"), ["b", "relation"]).select("a", "b").distinct().withColumn("_r", F.lit(0.5))
         pairs = pairs.join(common, ["a", "b"], "left")
         score = score + F.coalesce("_r", F.lit(0.0))
     return pairs.withColumn("score", score).filter(~F.col("junction") | (straight > 0)).select("a", "a_tip", "b", "b_tip", "score")
 
 
-def greedy_matching(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def greedy_matching(pairs: DataFrame) -> DataFrame:
     """The pairs of ends that taking the best score first would join, an end joining once.
 
     Each round takes every pair that is the best of both its ends, which a
     scan from the best score down would take as well, and drops the pairs of
-    ends so joined.
+    ends so joined, until none is left: the best pair of all goes in every round.
     """
     left, taken = cut(pairs), []
     tip = lambda p: F.struct(F.col(p).alias("path"), F.col(f"{p}_tip").alias("tip"))
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         rank = F.struct(F.col("score"), -F.col("a"), -F.col("b"), F.col("a_tip"), F.col("b_tip"))
         ranked = left.withColumn("_rank", rank)
         best = ranked.select(tip("a").alias("end"), "_rank").union(ranked.select(tip("b"), "_rank")).groupBy("end").agg(F.max("_rank").alias("_best"))

@@ -103,24 +103,28 @@ def distance_field(rows: DataFrame, mask: str, metres: float = 1.0) -> DataFrame
     """(x, y, distance) of each pixel to the nearest where ``mask`` holds; null if there is none.
 
     One pass over each column, one over each row; a group is one line of the
-    raster.
+    raster.  The first pass also fills the holes of a column that has a masked
+    pixel, so that the second sees it from every row; the lines of the raster,
+    a number each, are known to all tasks.
     """
+    own = rows.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(mask).alias("on"))
+    lines = np.sort(own.select("y").distinct().toPandas()["y"].to_numpy(float))  # one number a line
 
     def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y")
-        y, on = pdf["y"].to_numpy(float), pdf["on"].to_numpy(bool)
-        d = np.full(len(y), np.nan) if not on.any() else np.abs(_nearest(y[on], y) - y) ** 2
-        return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "d": d})
+        y, on = pdf["y"].to_numpy(float), pdf["on"].fillna(False).to_numpy(bool)
+        if not on.any():
+            return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "d": np.nan, "there": True})
+        d = np.abs(_nearest(np.sort(y[on]), lines) - lines) ** 2
+        return pd.DataFrame({"x": pdf["x"].iloc[0], "y": lines.astype(np.int64), "d": d, "there": np.isin(lines, y)})
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
-        x, d = pdf["x"].to_numpy(float), pdf["d"].to_numpy(float)
+        x, d, there = pdf["x"].to_numpy(float), pdf["d"].to_numpy(float), pdf["there"].to_numpy(bool)
         ok = ~np.isnan(d)
         out = np.full(len(x), np.nan) if not ok.any() else np.sqrt(_envelope(x[ok], d[ok], x)) * metres
-        return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "distance": out})
+        return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "distance": out})[there]
 
-    own = rows.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(mask).alias("on"))
-    columns = own.groupBy("x").applyInPandas(down, "x long, y long, d double")
+    columns = own.groupBy("x").applyInPandas(down, "x long, y long, d double, there boolean")
     return columns.groupBy("y").applyInPandas(across, "x long, y long, distance double").withColumn("distance", F.nanvl("distance", F.lit(None)))
 
 

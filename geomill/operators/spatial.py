@@ -95,11 +95,22 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str
 
 
 def cluster(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """(key, cluster): points joined through chains of steps of at most ``radius``; the cluster is its smallest key."""
-    a = points.select(F.col(key).alias("_a"), F.col(x).alias("_ax"), F.col(y).alias("_ay"))
-    b = points.select(F.col(key).alias("_b"), F.col(x).alias("_bx"), F.col(y).alias("_by"))
-    pairs = within(a, b, radius, ("_ax", "_ay"), ("_bx", "_by")).filter("_a < _b").select("_a", "_b")
-    parts = connected_components(pairs, "_a", "_b")
+    """(key, cluster): points joined through chains of steps of at most ``radius``; the cluster is its smallest key.
+
+    Points of one cell of a grid of radius / sqrt(2) are always in reach of
+    each other, so each links to its cell's smallest alone.  Points of different
+    cells are compared by place, places that repeat once, and give one link for
+    each pair of cells.
+    """
+    size = radius / 2**0.5
+    own = points.select(F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_cx", cell("_x", size)).withColumn("_cy", cell("_y", size))
+    heads = own.groupBy("_cx", "_cy").agg(F.min("_k").alias("_head"), F.count("*").alias("_n"))
+    inner = own.join(heads, ["_cx", "_cy"])
+    same = inner.filter("_k <> _head").select(F.col("_k").alias("_a"), F.col("_head").alias("_b"))
+    a = inner.select(F.col("_head").alias("_a"), F.col("_x").alias("_ax"), F.col("_y").alias("_ay")).distinct()
+    b = inner.select(F.col("_head").alias("_b"), F.col("_x").alias("_bx"), F.col("_y").alias("_by")).distinct()
+    across = within(a, b, radius, ("_ax", "_ay"), ("_bx", "_by")).filter("_a < _b").select("_a", "_b").distinct()
+    parts = connected_components(same.union(across), "_a", "_b")
     return points.select(key).join(parts, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 

@@ -38,14 +38,13 @@ def used_file_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE uses AS (SELECT DISTINCT l_orderkey % 997 AS u, l_partkey % 1499 AS v FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 30),
-    reached(key) AS (SELECT DISTINCT u FROM uses WHERE u < 10 UNION SELECT v FROM uses JOIN reached ON u = key)
+    """WITH RECURSIVE uses AS (SELECT DISTINCT o_orderkey AS u, o_custkey * 11 % 15013 AS v FROM orders),
+    reached(key) AS (SELECT DISTINCT u FROM uses WHERE u < 400 UNION SELECT v FROM uses JOIN reached ON u = key)
     SELECT key FROM (SELECT u AS key FROM uses UNION SELECT v FROM uses) WHERE key NOT IN (SELECT key FROM reached)"""
 )
 def unused_after_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_quantity > 30")
-    uses = lines.select((F.col("l_orderkey") % 997).alias("user"), (F.col("l_partkey") % 1499).alias("used")).distinct()
-    return assets.unused_fixpoint(uses, uses.filter("user < 10").select(F.col("user").alias("key")))
+    uses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("user"), (F.col("o_custkey") * 11 % 15013).alias("used")).distinct()
+    return assets.unused_fixpoint(uses, uses.filter("user < 400").select(F.col("user").alias("key")))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 50 = p_size AND n_nationkey = p_partkey % 25)")

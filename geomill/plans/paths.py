@@ -14,33 +14,33 @@ _P = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOU
 
 
 @query(
-    """WITH RECURSIVE w AS (SELECT o_orderkey AS w, o_custkey AS s, o_custkey * 31 % 4001 + 100000 AS e FROM orders WHERE o_orderkey % 7 = 0),
+    """WITH RECURSIVE w AS (SELECT o_orderkey AS w, o_custkey AS s, o_custkey * 31 % 4001 + 100000 AS e FROM orders),
     t AS (SELECT w, s AS n FROM w UNION SELECT w, e FROM w), l AS (SELECT DISTINCT a.w AS a, b.w AS b FROM t a JOIN t b ON a.n = b.n),
     r(k, c) AS (SELECT a, b FROM l UNION SELECT r.k, l.b FROM r JOIN l ON r.c = l.a) SELECT k AS o_orderkey, min(c) AS "group" FROM r GROUP BY 1"""
 )
 def roundabout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("s"), (F.col("o_custkey") * 31 % 4001 + 100000).alias("e"))
+    ways = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("s"), (F.col("o_custkey") * 31 % 4001 + 100000).alias("e"))
     return paths.shared_end_groups(ways, "o_orderkey", "s", "e")
 
 
 @query(
-    f"""WITH p AS ({_P}), n AS (SELECT a.vec_id AS e, a.label AS road, b.label AS other, b.vec_id AS r, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS d FROM p a, p b WHERE a.vec_id % 5 = 0 AND a.label <> b.label AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2) <= 0.05)
+    f"""WITH p AS ({_P}), n AS (SELECT a.vec_id AS e, a.label AS road, b.label AS other, b.vec_id AS r, sqrt((a.x-b.x)**2 + (a.y-b.y)**2) AS d FROM p a, p b WHERE a.label <> b.label AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2) <= 0.05)
     SELECT e, other, arg_min(r, (d, r)) AS "row", round(min(d), 9) AS distance FROM n GROUP BY 1, 2"""
 )
 def t_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
-    ends = p.filter("vec_id % 5 = 0").select(F.col("label").alias("road"), "x", "y", F.col("vec_id").alias("e"))
+    ends = p.select(F.col("label").alias("road"), "x", "y", F.col("vec_id").alias("e"))
     rows = p.select(F.col("label").alias("other"), F.col("vec_id").alias("row"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     return paths.t_junctions(ends, rows, 0.05).join(ends.select("road", "x", "y", "e"), ["road", "x", "y"]).select("e", "other", "row", F.round("distance", 9).alias("distance"))
 
 
 @query(
-    f"""WITH p AS (SELECT label, x * 100 + 50 AS px, y * 100 + 50 AS py FROM ({_P}) WHERE vec_id % 10 = 0),
+    f"""WITH p AS (SELECT label, x * 100 + 50 AS px, y * 100 + 50 AS py FROM ({_P})),
     c AS (SELECT label, unnest(range(CAST(floor(px - 2) AS BIGINT), CAST(ceil(px + 2) AS BIGINT) + 1)) AS x, px, py FROM p), d AS (SELECT label, x, unnest(range(CAST(floor(py - 2) AS BIGINT), CAST(ceil(py + 2) AS BIGINT) + 1)) AS y, px, py FROM c)
     SELECT DISTINCT label, x, y FROM d WHERE sqrt((x + 0.5 - px)**2 + (y + 0.5 - py)**2) <= 2"""
 )
 def painted_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).filter("vec_id % 10 = 0").select("label", (F.col("x") * 100 + 50).alias("px"), (F.col("y") * 100 + 50).alias("py"))
+    p = _points(spark, sf_dir).select("label", (F.col("x") * 100 + 50).alias("px"), (F.col("y") * 100 + 50).alias("py"))
     return paths.painted(p, "label", "px", "py", 2.0).select("label", "x", "y")
 
 

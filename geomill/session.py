@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that every executor shares.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a local session in tests) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session, as
+    in tests, may leave it unset and gets a temporary folder.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="geomill-checkpoints-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
