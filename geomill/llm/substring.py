@@ -1,8 +1,8 @@
 """Exact removal of repeated word windows, found by recompression.
 
-Every text is rewritten in rounds, and in every round a Spark task names the
-runs and then the pairs of its texts.  A run of equal symbols becomes one
-symbol, named by a hash of its base and length.  Symbols are then split into a
+Every text is rewritten in rounds, in the first of which a Spark task names
+the runs of its texts and in each the pairs.  A run of equal words becomes one
+symbol, named by a hash of its base and length.  Symbols are split into a
 left and a right class by a hash of their names, and each left symbol followed
 by a right one becomes a new symbol, named by a hash of the pair.  Names follow
 from content alone, so equal word sequences get equal names in any document of
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from geomill.session import bytes_of
 
-ROUNDS = 3
+#: Rounds, and those of them that name runs before pairs.
+ROUNDS, RUN_ROUNDS = 3, 1
 #: Interior symbols to either side of the least one that its window's anchor takes in.
 SIDES = 1
 #: Stored bytes of documents that a group gets on average.
@@ -81,17 +82,17 @@ def anchors(codes: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int,
         names[left[done]], places[left[done]] = _least(sym, lo[done], hi[done], stage)
 
     for r in range(rounds):
-        # runs
-        begins = np.ones(len(sym), bool)
-        begins[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(begins)
-        many = np.diff(np.append(first, len(sym))).astype(np.uint64)
-        run = np.cumsum(begins) - 1
-        inner = run[lo] + 1, run[hi - 1]
-        fits = inner[0] < inner[1]
-        settle(~fits, 2 * r)
-        left, lo, hi = left[fits], inner[0][fits], inner[1][fits]
-        sym, doc = np.where(many > 1, _mix(sym[first] * _B + _mix(many + _A)), sym[first]), doc[first]
+        if r < RUN_ROUNDS:
+            begins = np.ones(len(sym), bool)
+            begins[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(begins)
+            many = np.diff(np.append(first, len(sym))).astype(np.uint64)
+            run = np.cumsum(begins) - 1
+            inner = run[lo] + 1, run[hi - 1]
+            fits = inner[0] < inner[1]
+            settle(~fits, 2 * r)
+            left, lo, hi = left[fits], inner[0][fits], inner[1][fits]
+            sym, doc = np.where(many > 1, _mix(sym[first] * _B + _mix(many + _A)), sym[first]), doc[first]
         # pairs
         right = (_mix(sym ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)).astype(bool)
         joins = np.zeros(len(sym), bool)
