@@ -338,7 +338,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(bare, "^([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1), "(/|\\.html?)$", "")
     keys = own.select("id", "url", "html").mapInArrow(hash_lines, "id long, url string, hashes array<long>, chars array<int>, kinds array<tinyint>")
-    keys = keys.filter(F.size("hashes") > 0).select(host.alias("host"), path.alias("path"), "id", "hashes", "chars", "kinds").dropDuplicates(["id"])
+    keys = keys.filter(F.size("hashes") > 0).select(host.alias("host"), path.alias("path"), "id", "hashes", "chars", "kinds")
 
     def compare(batches):
         block: list[dict] = []
@@ -362,12 +362,15 @@ def extract(pages: DataFrame) -> DataFrame:
                     if block:
                         yield decide()
                     block, number = [], r["block"]
+                if block and block[-1]["id"] == r["id"]:  # a repeated row
+                    block[-1]["own"] |= r["own"]
+                    continue
                 block.append(r | {c: np.array(r[c], np.int64) for c in ("hashes", "chars", "kinds")})
         if block:
             yield decide()
 
     near = _neighbourhoods(keys).repartition("block").sortWithinPartitions("block", "rank")
-    decided = near.mapInArrow(compare, "id long, gone array<int>")
+    decided = near.mapInArrow(compare, "id long, gone array<int>").groupBy("id").agg(F.min("gone").alias("gone"))
 
     def write(batches):
         for batch in batches:
