@@ -235,3 +235,98 @@ def bilinear(points: DataFrame, px: str, py: str, raster: DataFrame, value: str)
     four = own.select("_id", F.explode(cells).alias("c")).select("_id", "c.x", "c.y", "c.w")
     got = four.join(raster.select("x", "y", value), ["x", "y"], "left").groupBy("_id").agg(F.when(F.count(value) >= 4, F.sum(F.col(value) * F.col("w")) / F.count("*") * 4).alias("sampled"))
     return got.select("_id.*", "sampled")
+
+
+def cropped(rows: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+    """``rows`` of the window whose first pixel is (x, y)."""
+    return rows.filter(F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1))
+
+
+def spikes(rows: DataFrame, raw: str, most: float, share: float, radius: int = 3) -> DataFrame:
+    """(x, y, raw, height, around, reason) of the pixels of a 16-bit raster that stand out from their neighbours.
+
+    Only pixels at the top of the range or above ``share`` of ``most`` are
+    compared with the pixels about them.  Reasons: ``top`` (raw 65534 or more,
+    neighbours below 60000 on average), ``over nothing`` (raw 65535, neighbours
+    within a twentieth of ``most``), ``jump`` (0.8 of ``most`` above the mean,
+    every neighbour below a fifth).  Pixels without neighbours are no spikes.
+    """
+    own = rows.select("x", "y", F.col(raw).alias("raw"))
+    metres = to_metres("raw", most)
+    high = own.filter((F.col("raw") >= 65534) | (metres >= most * share))
+    steps = [F.lit(d) for d in range(-radius, radius + 1)]
+    about = high.withColumn("_x", F.explode(F.transform(F.array(*steps), lambda d: F.col("x") + d))).withColumn("_y", F.explode(F.transform(F.array(*steps), lambda d: F.col("y") + d)))
+    about = about.filter("_x <> x OR _y <> y")
+    near = about.join(own.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("raw").alias("_raw")), ["_x", "_y"])
+    seen = near.groupBy("x", "y", "raw").agg(F.avg("_raw").alias("_mean"), F.max("_raw").alias("_max"))
+    height, mean, top = metres, to_metres("_mean", most), to_metres("_max", most)
+    reason = (
+        F.when((F.col("raw") >= 65534) & (F.col("_mean") < 60000), "top")
+        .when((F.col("raw") == 65535) & (mean < most * 0.05), "over nothing")
+        .when((height - mean > most * 0.8) & (top < height * 0.2), "jump")
+    )
+    return seen.select("x", "y", "raw", height.alias("height"), mean.alias("around"), reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def section_mask(sections: DataFrame, x: str, y: str, nx: str, ny: str, width: str, target: str, metres: float, size: int) -> DataFrame:
+    """(x, y) of the pixels under one line from edge to edge of each cross-section that has a finite target; what lies off the raster goes."""
+    cell = lambda at, normal, side: ((F.col(at) + side * F.col(normal) * F.col(width) / 2) / metres).cast("int")
+    ends = sections.filter(F.col(target).isNotNull() & ~F.isnan(target) & (F.abs(target) < float("inf")))
+    ends = ends.select(cell(x, nx, -1).alias("x0"), cell(y, ny, -1).alias("y0"), cell(x, nx, 1).alias("x1"), cell(y, ny, 1).alias("y1"))
+    pixels = ends.select(F.explode(line_pixels("x0", "y0", "x1", "y1")).alias("p")).select("p.*")
+    return pixels.filter(F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1)).distinct()
+
+
+def subtract(pixels: DataFrame, holes: DataFrame, key: str) -> DataFrame:
+    """``pixels`` (key, x, y) without those of ``holes`` of the same key."""
+    return pixels.join(holes.select(key, "x", "y").distinct(), [key, "x", "y"], "left_anti")
+
+
+def wide_line(segments: DataFrame, key: str, half_width: float, size: int) -> DataFrame:
+    """(key, x, y): pixels met by half-unit steps along and across each segment (x0, y0, x1, y1); a segment of no length has none."""
+    length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+    own = segments.withColumn("_l", length).filter("_l > 0").withColumn("_n", F.greatest(F.lit(1), (F.col("_l") * 2).cast("int")))
+    own = own.withColumn("_px", -(F.col("y1") - F.col("y0")) / F.col("_l")).withColumn("_py", (F.col("x1") - F.col("x0")) / F.col("_l"))
+    along = F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: i / F.col("_n"))
+    across = F.transform(F.sequence(F.lit(0), F.lit(int(half_width * 4))), lambda i: i * 0.5 - half_width)
+    on = own.withColumn("_t", F.explode(along)).withColumn("_w", F.explode(across))
+    at = lambda a, b, across: (F.col(a) + (F.col(b) - F.col(a)) * F.col("_t") + F.col(across) * F.col("_w")).cast("long")
+    pixels = on.select(key, at("x0", "x1", "_px").alias("x"), at("y0", "y1", "_py").alias("y"))
+    return pixels.filter(F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1)).distinct()
+
+
+def convex_pixels(shapes: DataFrame, key: str, ring: str, size: int) -> DataFrame:
+    """(key, x, y): pixels of convex rings, arrays of (x, y), one span a scan line from its leftmost to its rightmost edge."""
+    n = F.size(ring)
+    low, high = F.array_min(F.transform(ring, lambda p: p.y)), F.array_max(F.transform(ring, lambda p: p.y))
+    lines = F.sequence(F.greatest(F.lit(0), F.floor(low)).cast("int"), F.least(F.lit(size - 1), F.ceil(high)).cast("int"))
+    rows = shapes.filter((n >= 3) & (high >= 0) & (low < size)).withColumn("_y", F.explode(lines))
+    centre = F.col("_y") + 0.5
+    edges = F.zip_with(F.col(ring), F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1)), lambda a, b: F.when((a.y <= centre) != (b.y <= centre), a.x + (centre - a.y) / (b.y - a.y) * (b.x - a.x)))
+    met = rows.withColumn("_e", F.filter(edges, lambda v: v.isNotNull())).filter(F.size("_e") > 0)
+    first, last = F.greatest(F.lit(0), F.ceil(F.array_min("_e") - 0.5)).cast("long"), F.least(F.lit(size - 1), F.ceil(F.array_max("_e") - 0.5) - 1).cast("long")
+    return met.withColumn("_a", first).withColumn("_b", last).filter("_a <= _b").select(key, F.explode(F.sequence("_a", "_b")).alias("x"), F.col("_y").cast("long").alias("y"))
+
+
+def one_hot(rows: DataFrame, layer: str, names: dict[str, object]) -> DataFrame:
+    """(x, y, one boolean a name): which layers a pixel has; ``names`` gives each column its value of ``layer``."""
+    return rows.groupBy("x", "y").agg(*[F.coalesce(F.bool_or(F.col(layer) == value), F.lit(False)).alias(name) for name, value in names.items()])
+
+
+def marked(rows: DataFrame, x: str, y: str, zones: DataFrame, metres: float) -> DataFrame:
+    """``rows`` with ``excluded``: whether their pixel is one of ``zones`` (x, y)."""
+    pixels = zones.select(F.col("x").alias("_zx"), F.col("y").alias("_zy")).distinct().withColumn("_z", F.lit(True))
+    own = rows.withColumn("_zx", (F.col(x) / metres).cast("long")).withColumn("_zy", (F.col(y) / metres).cast("long"))
+    return own.join(pixels, ["_zx", "_zy"], "left").withColumn("excluded", F.coalesce("_z", F.lit(False))).drop("_zx", "_zy", "_z")
+
+
+def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, n): how many rows break each rule; a rule that is null counts as broken.  One pass for all rules."""
+    counts = rows.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("n")) for name in rules])).alias("r")).select("r.*")
+
+
+def to_world(x: str, y: str, size: int, metres: float) -> tuple[Column, Column]:
+    """Terrain metres from a corner as metres from the middle."""
+    half = size / 2 * metres
+    return F.col(x) - half, F.col(y) - half

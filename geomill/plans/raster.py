@@ -157,3 +157,95 @@ def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = lambda f, r: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: 32 + (k % 25 + r) * f(i * 1.0472 + k))
     shapes = table(spark, sf_dir, "customer").select("c_custkey", turn(F.cos, 3).alias("xs"), turn(F.sin, 3).alias("ys"))
     return raster.fill_polygons(shapes, "c_custkey", "xs", "ys", 64).groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_H} SELECT min(v) AS low, max(v) AS high FROM h WHERE x BETWEEN 10 AND 39 AND y BETWEEN 5 AND 49")
+def cropped_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.value_range(raster.cropped(_heights(spark, sf_dir), 10, 5, 30, 45), "v")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey % 256 AS x, l_partkey % 256 AS y, CASE WHEN max(l_quantity) = 50 THEN 65535 WHEN max(l_quantity) = 49 THEN 63000 ELSE min(l_partkey * 37 % 9000) END AS raw FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT a.x, a.y, a.raw, a.raw / 65535.0 * 512 AS h, avg(b.raw) AS mean, max(b.raw) AS most FROM r a JOIN r b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND (b.x <> a.x OR b.y <> a.y) WHERE a.raw >= 63000 GROUP BY 1, 2, 3),
+    k AS (SELECT x, y, raw, h, mean / 65535.0 * 512 AS around, CASE WHEN raw >= 65534 AND mean < 60000 THEN 'top' WHEN raw = 65535 AND mean / 65535.0 * 512 < 25.6 THEN 'over nothing' WHEN h - mean / 65535.0 * 512 > 409.6 AND most / 65535.0 * 512 < h * 0.2 THEN 'jump' END AS reason FROM s)
+    SELECT x, y, raw, round(around, 6) AS around, reason FROM k WHERE reason IS NOT NULL"""
+)
+def spike_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = F.max("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 256).alias("x"), (F.col("l_partkey") % 256).alias("y")).agg(F.when(most == 50, 65535).when(most == 49, 63000).otherwise(F.min(F.col("l_partkey") * 37 % 9000)).alias("raw"))
+    return raster.spikes(rows, "raw", 512.0, 0.9, 2).select("x", "y", "raw", F.round("around", 6).alias("around"), "reason")
+
+
+@query(
+    """WITH s AS (SELECT c_custkey % 251 + 0.25 AS x, c_custkey * 7 % 251 + 0.25 AS y, CASE WHEN c_custkey % 2 = 0 THEN 0.6 ELSE -0.8 END AS nx, CASE WHEN c_custkey % 2 = 0 THEN 0.8 ELSE 0.6 END AS ny, c_custkey % 9 + 2 AS w FROM customer),
+    e AS (SELECT trunc(x - nx * w / 2)::BIGINT AS x0, trunc(y - ny * w / 2)::BIGINT AS y0, trunc(x + nx * w / 2)::BIGINT AS x1, trunc(y + ny * w / 2)::BIGINT AS y1 FROM s),
+    n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM e), p AS (SELECT *, unnest(range(0, n + 1)) AS i FROM n),
+    q AS (SELECT DISTINCT CAST(floor(x0 + CASE WHEN n = 0 THEN 0 ELSE (x1 - x0) * i / n END + 0.5) AS BIGINT) AS x, CAST(floor(y0 + CASE WHEN n = 0 THEN 0 ELSE (y1 - y0) * i / n END + 0.5) AS BIGINT) AS y FROM p)
+    SELECT x, y FROM q WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255"""
+)
+def section_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    even = k % 2 == 0
+    sections = table(spark, sf_dir, "customer").select((k % 251 + 0.25).alias("x"), (k * 7 % 251 + 0.25).alias("y"), F.when(even, 0.6).otherwise(-0.8).alias("nx"), F.when(even, 0.8).otherwise(0.6).alias("ny"), (k % 9 + 2).alias("w"), F.lit(1.0).alias("target"))
+    return raster.section_mask(sections, "x", "y", "nx", "ny", "w", "target", 1.0, 256)
+
+
+@query(
+    """WITH b AS (SELECT c_custkey, c_custkey % 40 AS x, c_custkey * 7 % 40 AS y FROM customer), p AS (SELECT *, unnest(range(0, 12)) AS i FROM b), q AS (SELECT *, unnest(range(0, 12)) AS j FROM p)
+    SELECT c_custkey, x + i AS x, y + j AS y FROM q WHERE NOT (i BETWEEN 4 AND 8 AND j BETWEEN 4 AND 8)"""
+)
+def subtracted_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    box = lambda off, w: table(spark, sf_dir, "customer").select("c_custkey", F.array(*[(k % 40 + off + d * w).cast("double") for d in (0, 1, 1, 0)]).alias("xs"), F.array(*[(k * 7 % 40 + off + d * w).cast("double") for d in (0, 0, 1, 1)]).alias("ys"))
+    return raster.subtract(raster.fill_polygons(box(0, 12), "c_custkey", "xs", "ys", 64), raster.fill_polygons(box(4, 5), "c_custkey", "xs", "ys", 64), "c_custkey")
+
+
+@query(
+    """WITH s AS (SELECT c_custkey, (c_custkey % 64)::DOUBLE AS x0, (c_custkey * 7 % 64)::DOUBLE AS y0, (c_custkey * 3 % 64)::DOUBLE AS x1, (c_custkey * 11 % 64)::DOUBLE AS y1 FROM customer),
+    l AS (SELECT *, sqrt((x1 - x0)**2 + (y1 - y0)**2) AS l FROM s), n AS (SELECT *, greatest(1, trunc(l * 2)::BIGINT) AS n FROM l WHERE l > 0),
+    t AS (SELECT *, unnest(range(0, n + 1)) / n AS t FROM n), w AS (SELECT *, unnest(range(0, 9)) * 0.5 - 2 AS w FROM t),
+    p AS (SELECT DISTINCT c_custkey, trunc(x0 + (x1 - x0) * t + -(y1 - y0) / l * w)::BIGINT AS x, trunc(y0 + (y1 - y0) * t + (x1 - x0) / l * w)::BIGINT AS y FROM w)
+    SELECT c_custkey, count(*) AS n, sum(x + 64 * y)::BIGINT AS places FROM p WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 GROUP BY 1"""
+)
+def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select("c_custkey", *[(k * m % 64).cast("double").alias(c) for c, m in (("x0", 1), ("y0", 7), ("x1", 3), ("y1", 11))])
+    return raster.wide_line(s, "c_custkey", 2.0, 64).groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum(F.col("x") + 64 * F.col("y")).alias("places"))
+
+
+@query(
+    """WITH s AS (SELECT c_custkey, c_custkey % 50 + 0.25 AS x, c_custkey * 7 % 50 + 0.25 AS y, c_custkey % 9 + 3 AS w FROM customer), e AS (SELECT c_custkey, x AS ax, y AS ay, x + w AS bx, y + 1 AS "by" FROM s UNION ALL SELECT c_custkey, x + w, y + 1, x + w - 1, y + w FROM s UNION ALL SELECT c_custkey, x + w - 1, y + w, x + 1, y + w - 1 FROM s UNION ALL SELECT c_custkey, x + 1, y + w - 1, x, y FROM s),
+    c AS (SELECT c_custkey, r + 0.5 AS c, ax + (r + 0.5 - ay) / ("by" - ay) * (bx - ax) AS u FROM e, range(0, 64) t(r) WHERE (ay <= r + 0.5) <> ("by" <= r + 0.5)),
+    m AS (SELECT c_custkey, c, greatest(0, ceil(min(u) - 0.5)) AS a, least(63, ceil(max(u) - 0.5) - 1) AS b FROM c GROUP BY 1, 2)
+    SELECT c_custkey, sum(b - a + 1)::BIGINT AS n FROM m WHERE a <= b GROUP BY 1"""
+)
+def convex_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x, y, w = k % 50 + 0.25, k * 7 % 50 + 0.25, k % 9 + 3
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    shapes = table(spark, sf_dir, "customer").select("c_custkey", F.array(at(x, y), at(x + w, y + 1), at(x + w - 1, y + w), at(x + 1, y + w - 1)).alias("ring"))
+    return raster.convex_pixels(shapes, "c_custkey", "ring", 64).groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey % 512 AS x, l_partkey % 512 AS y, bool_or(l_linenumber = 1) AS grass, bool_or(l_linenumber = 2) AS rock, bool_or(l_linenumber = 3) AS sand FROM lineitem GROUP BY 1, 2")
+def layer_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 512).alias("x"), (F.col("l_partkey") % 512).alias("y"), "l_linenumber")
+    return raster.one_hot(pixels, "l_linenumber", {"grass": 1, "rock": 2, "sand": 3})
+
+
+@query("WITH z AS (SELECT DISTINCT o_orderkey % 512 AS x, o_custkey % 512 AS y FROM orders WHERE o_orderpriority = '1-URGENT') SELECT l_orderkey, l_linenumber, z.x IS NOT NULL AS excluded FROM lineitem LEFT JOIN z ON l_orderkey % 1024 // 2 = z.x AND l_partkey % 1024 // 2 = z.y")
+def marked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select((F.col("o_orderkey") % 512).alias("x"), (F.col("o_custkey") % 512).alias("y"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 1024).alias("px"), (F.col("l_partkey") % 1024).alias("py"))
+    return raster.marked(rows, "px", "py", zones, 2.0).select("l_orderkey", "l_linenumber", "excluded")
+
+
+@query("SELECT 'size' AS rule, count(*) FILTER (NOT coalesce(p_size BETWEEN 1 AND 40, FALSE)) AS n FROM part UNION ALL SELECT 'name', count(*) FILTER (NOT coalesce(length(p_name) > 12, FALSE)) FROM part UNION ALL SELECT 'brand', count(*) FILTER (NOT coalesce(p_brand LIKE 'Brand#%', FALSE)) FROM part")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.violations(table(spark, sf_dir, "part"), {"size": F.col("p_size").between(1, 40), "name": F.length("p_name") > 12, "brand": F.col("p_brand").like("Brand#%")})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity - 1024 AS wx, l_extendedprice - 1024 AS wy FROM lineitem")
+def world_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wx, wy = raster.to_world("l_quantity", "l_extendedprice", 1024, 2.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", wx.alias("wx"), wy.alias("wy"))
