@@ -88,3 +88,30 @@ def script_blocks(lines: DataFrame, file: str, number: str, line: str) -> DataFr
     props = marked.withColumn("_k", key).filter("_b > 0 AND _k <> ''").groupBy(file, "_b", "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), value.alias("v")))), lambda s: s.v).alias("v"))
     maps = props.groupBy(file, "_b").agg(F.map_from_entries(F.collect_list(F.struct("_k", "v"))).alias("properties"))
     return names.join(maps, [file, "_b"], "left").select(file, F.col("_b").alias("block"), "name", "properties")
+
+
+def material_lookup(materials: DataFrame, name: str, kind: str, order: str, first: str) -> DataFrame:
+    """One row a name: the first in ``order`` of the class ``first`` (case does not count), else the first of any other; ``in_both`` tells names of both."""
+    is_first = F.coalesce(F.lower(kind) == first.lower(), F.lit(False))
+    rows = materials.withColumn("_f", is_first)
+    best = rows.groupBy(name).agg(F.min_by(F.struct(*[c for c in materials.columns if c != name]), F.struct((~F.col("_f")).alias("a"), F.col(order).alias("o"))).alias("_b"), (F.max("_f") & ~F.min("_f")).alias("in_both"))
+    return best.select(name, "_b.*", "in_both")
+
+
+def level_path(path: str, keep_ending: bool = False) -> Column:
+    """A file's path from ``levels/`` on, in small letters with forward slashes, without its ending; empty where no folder levels is in it."""
+    clean = F.lower(F.replace(F.regexp_replace(path, r"(?i)\.link$", ""), F.lit("\\"), F.lit("/")))
+    parts = F.split(clean, "/levels/")
+    found = F.concat(F.lit("levels/"), F.element_at(parts, -1))
+    return F.when(F.size(parts) < 2, F.lit("")).otherwise(found if keep_ending else F.regexp_replace(found, r"\.[^./]*$", ""))
+
+
+def inherited(tags: str, parent: str, defaults: dict[str, str]) -> list[Column]:
+    """A column for each key of ``defaults``: the own tag, else the parent's, else the default; empty tags count as missing."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return [F.coalesce(blank(F.col(tags)[k]), blank(F.col(parent)[k]), F.lit(v)).alias(k) for k, v in defaults.items()]
+
+
+def used_values(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(value): distinct values of several columns."""
+    return rows.select(F.explode(F.array(*columns)).alias("value")).filter("value IS NOT NULL").distinct()

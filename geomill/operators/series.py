@@ -326,3 +326,10 @@ def keep_points(rows: DataFrame, x: str, y: str, key: list[str], order: list[str
     """The rows that ``simplify`` or ``thin`` keeps of each series."""
     chosen = {"simplify": simplify, "thin": thin}[rule]
     return each_series(rows, key, order, lambda s: s[chosen(s[[x, y]].to_numpy(float), amount)], rows.schema)
+
+
+def curvature_statistics(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, lowest, highest, mean, most, mean_bend, tightest, straight, n) of signed curvatures; the tightest radius is infinite under 0.0001, straight under 0.001."""
+    bend = F.abs(value)
+    out = rows.groupBy(*key).agg(F.min(value).alias("lowest"), F.max(value).alias("highest"), F.avg(value).alias("mean"), F.max(bend).alias("most"), F.avg(bend).alias("mean_bend"), F.count_if(bend < 0.001).alias("straight"), F.count("*").alias("n"))
+    return out.withColumn("tightest", F.when(F.col("most") > 0.0001, 1 / F.col("most")).otherwise(F.lit(float("inf"))))

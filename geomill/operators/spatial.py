@@ -290,3 +290,30 @@ def clip_lines(rows: DataFrame, key: str, xs: str, ys: str, size: float) -> Data
             yield pdf[[len(g) > 0 for g in got]]
 
     return rows.select(key, xs, ys).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{xs}` array<double>, `{ys}` array<double>")
+
+
+def inverse_affine(gt: tuple[float, ...]) -> tuple[float, ...]:
+    """The six numbers that lead back from places to pixels; the identity where ``gt`` has no inverse."""
+    a, b, c, d, e, f = gt
+    det = b * f - c * e
+    if abs(det) < 1e-15:
+        return (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+    return ((c * d - a * f) / det, f / det, -c / det, (a * e - b * d) / det, -e / det, b / det)
+
+
+def affine_pixels(x: str, y: str, gt: tuple[float, ...], width: int, height: int, size: int, from_top: bool = False) -> tuple[Column, Column]:
+    """Position in a square of ``size`` pixels of places on a raster of width x height with the transform ``gt``, from the bottom left or the top left."""
+    i = inverse_affine(gt)
+    px = (i[0] + i[1] * F.col(x) + i[2] * F.col(y)) * (size / width)
+    py = (i[3] + i[4] * F.col(x) + i[5] * F.col(y)) * (size / height)
+    return px, py if from_top else size - 1 - py
+
+
+def of_ids(rows: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """``rows`` whose key is among ``ids``."""
+    return rows.join(ids.select(F.col(id_).alias(key)).distinct(), key, "left_semi")
+
+
+def with_parameters(rows: DataFrame, key: str, parameters: DataFrame) -> DataFrame:
+    """``rows`` with the parameters of their key, null where it has none; the plan picks the side to build by its size."""
+    return rows.join(parameters.dropDuplicates([key]), key, "left")

@@ -81,3 +81,39 @@ def new_brushes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brush_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     brushes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_partkey").alias("items"))
     return copying.brush_sizes(brushes, "l_suppkey", "items", table(spark, sf_dir, "part").filter("p_size > 10"), "p_partkey", "p_size")
+
+
+@query(
+    """SELECT p_type, arg_min(p_partkey, (CASE WHEN p_brand = 'Brand#11' THEN 0 ELSE 1 END, p_partkey)) AS p_partkey, bool_or(p_brand = 'Brand#11') AND bool_or(p_brand <> 'Brand#11') AS in_both FROM part GROUP BY 1"""
+)
+def material_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_type", "p_partkey", "p_brand")
+    return copying.material_lookup(rows, "p_type", "p_brand", "p_partkey", "BRAND#11").select("p_type", "p_partkey", "in_both")
+
+
+@query(
+    """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE replace(url, '/', '\\') || '\\LEVELS\\Art\\P' || page_id || '.Dae.link' END AS f FROM pages), c AS (SELECT page_id, lower(replace(regexp_replace(f, '(?i)\\.link$', ''), '\\', '/')) AS f FROM p)
+    SELECT page_id, CASE WHEN NOT contains(f, '/levels/') THEN '' ELSE regexp_replace('levels/' || list_last(string_split(f, '/levels/')), '\\.[^./]*$', '') END AS path FROM c"""
+)
+def level_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    far = F.concat(F.replace("url", F.lit("/"), F.lit("\\")), F.lit("\\LEVELS\\Art\\P"), k.cast("string"), F.lit(".Dae.link"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(k % 3 == 0, F.col("url")).otherwise(far).alias("f"))
+    return rows.select("page_id", copying.level_path("f").alias("path"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_custkey % 2 = 0 THEN c_mktsegment ELSE 'plain' END AS roof, CASE WHEN o_custkey % 2 = 0 THEN c_name ELSE '3' END AS levels
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NOT NULL"""
+)
+def inherited_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = lambda *kv: F.create_map(*[F.lit(v) if i % 2 == 0 else v for i, v in enumerate(kv)])
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", tags("roof", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))).alias("own"))
+    even = lambda c: F.when(F.col("c_custkey") % 2 == 0, F.col(c)).otherwise(F.lit(" "))
+    parent = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), tags("roof", even("c_mktsegment"), "levels", even("c_name")).alias("parent"))
+    return own.join(parent, "o_custkey").select("o_orderkey", *copying.inherited("own", "parent", {"roof": "plain", "levels": "3"}))
+
+
+@query("SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL UNION SELECT p_brand FROM part WHERE p_brand IS NOT NULL")
+def used_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copying.used_values(table(spark, sf_dir, "part"), ["p_type", "p_brand"])

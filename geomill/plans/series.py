@@ -187,3 +187,13 @@ def thinned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = series.target_elevations(_orders(spark, sf_dir), "o_totalprice", KEY, ORDER, 5, 0.25, 4000.0)
     return got.select("o_orderkey", F.round("target", 2).alias("target"))
+
+
+@query(
+    """WITH c AS (SELECT l_suppkey, (l_discount - 0.05) / 100 AS c FROM lineitem), a AS (SELECT l_suppkey, min(c) AS lowest, max(c) AS highest, avg(c) AS mean, max(abs(c)) AS most, avg(abs(c)) AS mean_bend, count(*) FILTER (abs(c) < 0.001) AS straight, count(*) AS n FROM c GROUP BY 1)
+    SELECT l_suppkey, round(lowest, 9) AS lowest, round(highest, 9) AS highest, round(mean, 9) AS mean, round(most, 9) AS most, round(mean_bend, 9) AS mean_bend, straight, n, round(CASE WHEN most > 0.0001 THEN 1 / most END, 3) AS tightest FROM a"""
+)
+def curvature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumn("c", (F.col("l_discount") - 0.05) / 100)
+    got = series.curvature_statistics(rows, ["l_suppkey"], "c")
+    return got.select("l_suppkey", *[F.round(c, 9).alias(c) for c in ("lowest", "highest", "mean", "most", "mean_bend")], "straight", "n", F.when(F.col("tightest") < float("inf"), F.round("tightest", 3)).alias("tightest"))

@@ -218,3 +218,24 @@ def assembled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir).select("vec_id", F.transform("line", lambda p: p.x + 0.1).alias("xs"), F.transform("line", lambda p: p.y + 0.1).alias("ys"))
     return spatial.clip_lines(lines, "vec_id", "xs", "ys", 0.2).select("vec_id", F.size("xs").alias("n"))
+
+
+@query(
+    f"""WITH p AS ({_P}), d AS (SELECT vec_id, x + 1 AS u, y - 1 AS v, 0.01 * -0.012 - 0.002 * -0.003 AS det FROM p)
+    SELECT vec_id, round((u * -0.012 - v * 0.002) / det * 512 / 300, 6) AS px, round(511 - (v * 0.01 - u * -0.003) / det * 512 / 400, 6) AS py FROM d"""
+)
+def affine_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px, py = spatial.affine_pixels("x", "y", (-1.0, 0.01, 0.002, 1.0, -0.003, -0.012), 300, 400, 512)
+    return _points(spark, sf_dir).select("vec_id", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def features_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'")
+    return spatial.of_ids(table(spark, sf_dir, "orders"), "o_custkey", ids, "c_custkey").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, s_acctbal AS width FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def spline_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("width"))
+    return spatial.with_parameters(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", parameters)
