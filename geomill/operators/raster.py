@@ -221,9 +221,21 @@ def fill_polygons(rows: DataFrame, key: str, xs: str, ys: str, size: int) -> Dat
 
     def run(batches):
         for pdf in batches:
+            found, held = [], 0
             for k, a, b in zip(pdf[key], pdf[xs], pdf[ys]):
                 p = polygon_pixels(np.asarray(a, float), np.asarray(b, float), size)
-                yield pd.DataFrame({key: [k] * len(p), "x": p[:, 0], "y": p[:, 1]})
+                found.append((k, p))
+                held += len(p)
+                if held > 100_000:
+                    yield frame(found)
+                    found, held = [], 0
+            if found:
+                yield frame(found)
+
+    def frame(found):
+        pixels = np.concatenate([p for _, p in found])
+        names = pd.Series([k for k, _ in found]).repeat([len(p) for _, p in found]).reset_index(drop=True)
+        return pd.DataFrame({key: names, "x": pixels[:, 0], "y": pixels[:, 1]})
 
     return rows.select(key, xs, ys).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, x long, y long")
 
