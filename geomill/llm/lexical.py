@@ -11,11 +11,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from geomill.llm.substring import _BYTE, _VALUES, _mix, _powers
 
 #: Bytes of text that are coded at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -74,7 +75,7 @@ class Words:
 def word_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 2 * SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """``batch`` in parts of about ``most_bytes`` bytes of ``column``, one text at least, each with its words."""
     texts = batch.column(column).cast(pa.binary())
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()], np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(texts).to_pylist()], np.int64)
     part = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
     for lo, hi in zip(cuts, cuts[1:]):

@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from geomill.session import cut
 #: Bytes of query text of one block; each block of queries is a pass over the documents.
 BLOCK_BYTES = 1 << 20
 #: Entries of a shard's forward index, four bytes each.
-SHARD_ENTRIES = 1 << 24
+SHARD_ENTRIES = 1 << 22
 #: Parts that a query's best rows are dealt into before the last ranking.
 SALTS = 16
 
@@ -140,7 +141,7 @@ def _search_block(index: DataFrame, queries: Queries, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, rows):
                 part = pa.Table.from_batches([batch.slice(at, rows)]).combine_chunks()
                 term, tf = (part.column(c).combine_chunks() for c in ("terms", "tfs"))
-                ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(term).to_numpy())])
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(term).to_numpy())])
                 term, tf = (x.flatten().to_numpy().astype(np.int64) for x in (term, tf))
                 shard = Shard(part.column("doc_id").to_numpy(), part.column("n").to_numpy(), ends, term, tf, weight, n_docs, n_terms)
                 best = [shard.search(*item, k, own) for item, own in zip(items, best)]
