@@ -6,7 +6,7 @@ from importlib import import_module
 
 from geomill.plans.registry import ORACLES, QUERIES
 
-MODULES = ("assets", "copying", "series", "spatial", "paths", "network", "structures", "raster", "messages")
+MODULES = ("assets", "copying", "series", "spatial", "paths", "network", "roads", "structures", "raster", "messages")
 
 
 def all_queries() -> tuple[dict, dict]:
