@@ -364,19 +364,17 @@ def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3) -> DataF
     bits; component_id is the smallest doc_id reachable.  Copies share one
     fingerprint, are grouped before any search and never expanded into pairs.
     Null, empty and blank texts have fingerprint zero, linked like any other;
-    rows repeated with one doc_id keep a row each; a null doc_id keeps a row
-    and can't name a component unless its fingerprint has no other; an empty
-    table gives no rows; other columns are ignored.
+    rows repeated with one doc_id keep a row each; a document of a null doc_id
+    keeps a row and links like any other, but names no component: one of null
+    ids alone has none.  An empty table gives no rows; other columns are
+    ignored.
     """
     own = cut(fingerprints(docs, words))
     groups = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = groups.filter("rep IS NOT NULL")
-    if named.isEmpty():
-        return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = fingerprint_links(named, distance)
-    reps = links.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    parts = connected_components(reps, "x", "y")
-    of = groups.join(parts, groups.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    parts = connected_components(fingerprint_links(groups, distance), "a", "b")
+    placed = groups.join(parts, groups.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    names = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
+    of = placed.join(names, "c").select("fp", "component_id")
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -169,3 +169,12 @@ def test_odd_rows(odd, none):
         assert len(got) == 9 and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
         assert sum(r.kept for r in got if r.doc_id == 4) == 2
         assert f(none).count() == 0
+
+
+def test_links_run_over_documents_without_an_id(spark, monkeypatch):
+    far = 0xFFFF << 32
+    rows = [(1, 0b0), (None, 0b111), (9, 0b111111), (None, far), (4, far + 1), (None, 0xFF << 20)]
+    made = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: made)
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(made).collect()}
+    assert got == {(1, 0): 1, (None, 7): 1, (9, 63): 1, (None, far): 4, (4, far + 1): 4, (None, 0xFF << 20): None}
