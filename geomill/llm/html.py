@@ -11,7 +11,8 @@ adverts, forms and comment sections that no neighbour shares (menus and
 notices made for one page, or a page alone on its host) go by the roles of
 their elements.
 
-A range partitioning of (host, path) gives every page its rank; pages meet
+Of the pages of a host that have the same lines one stands for all.  A range
+partitioning of (host, path) gives every page its rank; pages meet
 their neighbours in blocks of ranks, each block with a few pages of the next
 ones, however many pages one host has.  Only line hashes travel.
 """
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from geomill.session import bound_batches, cut
 
-#: Elements that never hold text of a page, that hold boilerplate, that bound blocks, and that hold a page's own text.
+#: Elements that never hold text of a page, that hold boilerplate, those of them that never hold all that a page has, that bound blocks, and that hold a page's own text.
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video select textarea button title head".split())
 BOILER = frozenset("nav header footer aside form menu dialog figcaption".split())
+LINKS = frozenset("nav footer menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article blockquote body caption dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()) | BOILER
 BODY = frozenset(("article", "main"))
@@ -90,28 +92,36 @@ def _tag_end(page: str, at: int) -> int:
 def lines(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, is boilerplate by its role, is in an article) of each visible block of a page, in page order.
 
-    Where a page has an article or main element with text, what lies outside
-    is boilerplate by its role.  Class, id and role names are not heeded where
-    they would leave a page with text without any.
+    Where an article or main element holds most of the text that no role
+    claims, what lies outside is boilerplate by its role.  Roles are hints: an
+    element loses its own where it holds the only article, a form of a page
+    without one where it holds more text than lies free, and another, but for
+    menus and footers, where it holds half of the page and nothing lies free.
+    Class, id and role names are not heeded where they would leave a page with
+    text without any.
     """
     page = page or ""
-    found: list[tuple[str, bool, bool, bool]] = []
+    found: list[tuple[str, tuple, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, is boilerplate by element, is by a name
+    claims: list[int] = []  # open elements that are boilerplate
+    kinds: list[tuple[str, bool]] = []  # of every such element: name, lies in no article
     open_: defaultdict[str, int] = defaultdict(int)
     text: list[str] = []
-    roles = names = bodies = at = 0
+    names = bodies = at = 0
 
     def end_block():
         joined = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            found.append((joined, roles > 0, names > 0, bodies > 0))
+            found.append((joined, tuple(claims), names > 0, bodies > 0))
 
     def pop() -> str:
-        nonlocal roles, names, bodies
+        nonlocal names, bodies
         name, role, named = stack.pop()
         open_[name] -= 1
-        roles, names, bodies = roles - role, names - named, bodies - (name in BODY)
+        names, bodies = names - named, bodies - (name in BODY)
+        if role:
+            claims.pop()
         return name
 
     while at < len(page):
@@ -171,11 +181,44 @@ def lines(page: str | None) -> list[tuple[str, bool, bool]]:
         named = bool(attributes) and name not in ("body", "html", *BODY) and _marked(attributes)
         stack.append((name, role, named))
         open_[name] += 1
-        roles, names, bodies = roles + role, names + named, bodies + (name in BODY)
+        if role:
+            claims.append(len(kinds))
+            kinds.append((name, not bodies))
+        names, bodies = names + named, bodies + (name in BODY)
     end_block()
-    article = any(inside and not role and not named for _, role, named, inside in found)
-    heeded = article or any(not role and not named for _, role, named, _ in found)
-    return [(t, role or named and heeded or article and not inside, inside) for t, role, named, inside in found]
+    void = _undone(found, kinds)
+    lines = [(t, any(c not in void for c in own), named, inside) for t, own, named, inside in found]
+    within = sum(len(t) for t, role, named, inside in lines if inside and not role and not named)
+    free = sum(len(t) for t, role, named, inside in lines if not inside and not role and not named)
+    article = within > 0 and within >= free
+    heeded = within + free > 0
+    return [(t, role or named and heeded or article and not inside, inside) for t, role, named, inside in lines]
+
+
+def _undone(found: list[tuple[str, tuple, bool, bool]], kinds: list[tuple[str, bool]]) -> set[int]:
+    """Elements whose role as boilerplate does not hold, of lines (text, elements that claim it, is named boilerplate, is in an article)."""
+    if all(not own for _, own, _, _ in found):
+        return set()
+    void: set[int] = set()
+    articles = [own for _, own, named, inside in found if inside and not named and all(kinds[c][1] for c in own)]
+    if articles and all(articles):
+        void.update(c for own in articles for c in own if kinds[c][0] not in LINKS)
+    alone: defaultdict[int, int] = defaultdict(int)  # text that one element alone claims
+    free = 0
+    for text, own, named, _ in found:
+        left = [c for c in own if c not in void]
+        if not named and not left:
+            free += len(text)
+        elif not named and len(left) == 1:
+            alone[left[0]] += len(text)
+    forms = [] if articles else [c for c in alone if kinds[c][0] == "form" and alone[c] > free]
+    if forms:
+        void.add(max(forms, key=lambda c: (alone[c], -c)))
+    elif not free:
+        most = max((c for c in alone if kinds[c][0] not in LINKS), key=lambda c: (alone[c], -c), default=None)
+        if most is not None and 2 * alone[most] >= sum(len(t) for t, _, _, _ in found):
+            void.add(most)
+    return void
 
 
 def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -338,7 +381,13 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(bare, "^([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, "^[^/?#]*([^?#]*)", 1), "(/|\\.html?)$", "")
     keys = own.select("id", "url", "html").mapInArrow(hash_lines, "id long, url string, hashes array<long>, chars array<int>, kinds array<tinyint>")
-    keys = keys.filter(F.size("hashes") > 0).select(host.alias("host"), path.alias("path"), "id", "hashes", "chars", "kinds")
+    keys = keys.filter(F.size("hashes") > 0).select(host.alias("host"), path.alias("path"), "id", F.xxhash64("hashes", F.lit(1)).alias("same"), F.xxhash64("hashes", F.lit(2)).alias("same2"), "hashes", "chars", "kinds")
+    keys = cut(keys)
+    # of the pages of a host that have the same lines one is ranked, and its result is that of all
+    every = keys.select("host", "same", "same2", "path", "id")
+    least = every.groupBy("host", "same", "same2").agg(F.min(F.struct("path", "id")).alias("rep")).select("host", "same", "same2", F.col("rep.id").alias("rep"))
+    members = every.join(least, ["host", "same", "same2"]).select("id", "rep").distinct()
+    keys = keys.join(members.filter("id = rep"), "id", "left_semi").select("host", "path", "id", "hashes", "chars", "kinds")
 
     def compare(batches):
         block: list[dict] = []
@@ -371,6 +420,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     near = _neighbourhoods(keys).repartition("block").sortWithinPartitions("block", "rank")
     decided = near.mapInArrow(compare, "id long, gone array<int>").groupBy("id").agg(F.min("gone").alias("gone"))
+    decided = members.join(decided.withColumnRenamed("id", "rep"), "rep").select("id", "gone")
 
     def write(batches):
         for batch in batches:

@@ -146,3 +146,28 @@ def test_odd_rows(spark):
     got = html.extract(pages(spark, rows)).collect()
     assert len(got) == 6 and sum(r.text == "" for r in got) == 3 and max(r.n_chars for r in got) == 79_999
     assert html.extract(pages(spark, [])).count() == 0
+
+
+def test_roles_give_way_where_they_hold_the_page():
+    assert text_of('<body><form id="aspnetForm"><div id="content"><h1>T</h1><p>Para one.</p></div></form></body>') == "T\n\nPara one."
+    assert text_of("<form><article><p>Art in form.</p></article></form>") == "Art in form."
+    assert text_of("<form><nav>Home</nav><article><p>Art in form.</p><form>Mail</form></article><footer>f</footer></form>") == "Art in form."
+    assert text_of("<aside><p>All of the page lies here.</p></aside><nav>menu</nav>") == "All of the page lies here."
+    assert text_of("<nav>menu</nav><footer>foot</footer>") == ""
+    assert text_of("<article><p>Text</p></article><aside><article>Teaser</article></aside><form><p>Subscribe to us</p></form>") == "Text"
+
+
+def test_text_beside_a_small_article_stays():
+    page = '<div class="story"><p>Long main text of the page, told in many words.</p></div><section><article><h3>Teaser card</h3></article></section>'
+    assert text_of(page).startswith("Long main text")
+    assert text_of("<div>Skip</div><article><p>The text of the page</p></article><div>Tags</div>") == "The text of the page"
+
+
+def test_copies_do_not_use_up_the_places(spark):
+    top, low = ["Site name", "Menu of the site"], ["All rights reserved"]
+    make = lambda own: "".join(f"<p>{x}</p>" for x in [*top, *own, *low])
+    rows = [(i, f"http://h.org/a/{i:03}", make(["Copied text one", "Copied text two", "Copied text three"])) for i in range(12)]
+    rows += [(i, f"http://h.org/a/{i:03}", make([f"Own text {i} {k}" for k in range(3)])) for i in range(20, 24)]
+    got = {r.page_id: r.text for r in html.extract(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(12)} == {"Copied text one\n\nCopied text two\n\nCopied text three"}
+    assert all(got[i] == "\n\n".join(f"Own text {i} {k}" for k in range(3)) for i in range(20, 24))
