@@ -55,6 +55,8 @@ _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 
 #: Pages that a page is compared with at most, pages to either side that they are chosen from, and ranks of a block.
 NEIGHBOURS, REACH, BLOCK_PAGES = 4, 4, 512
+#: Pages that lose a line up to which their lists are broadcast.
+BROADCAST_PAGES = 100_000
 #: Parts of the text of an article, and of a page without one, that must stay; less and the neighbours are copies.
 ARTICLE_STAYS, PAGE_STAYS = 0.5, 0.1
 
@@ -420,7 +422,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     near = _neighbourhoods(keys).repartition("block").sortWithinPartitions("block", "rank")
     decided = near.mapInArrow(compare, "id long, gone array<int>").groupBy("id").agg(F.min("gone").alias("gone"))
-    decided = members.join(decided.withColumnRenamed("id", "rep"), "rep").select("id", "gone")
+    decided = cut(members.join(decided.withColumnRenamed("id", "rep"), "rep").select("id", "gone"))
+    rows, items = decided.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if rows <= BROADCAST_PAGES and items <= 16 * BROADCAST_PAGES:  # few pages lose a line: pages stay where they are
+        decided = F.broadcast(decided)
 
     def write(batches):
         for batch in batches:
