@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
+
+
+#: Rows of a component that one task solves; larger ones are solved in rounds.
+COMPONENT_ROWS = 500_000
+
+
+def solved(rows: DataFrame, node: str, links: DataFrame, solve: Callable[[pa.Table], pa.Table], rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``solve`` keeps of the rows of each component, which it gets whole; ``node`` names a row's node.
+
+    Rows of a component of more than ``COMPONENT_ROWS`` go to ``rounds``
+    together, which gives the same result without holding a component.
+    """
+    parts = connected_components(links)
+    placed = cut(rows.join(parts, F.col(node) == F.col("node"), "left").withColumn("_component", F.coalesce("component", node)).drop("node", "component"))
+    large = placed.groupBy("_component").count().filter(F.col("count") > COMPONENT_ROWS).select("_component")
+    small = placed.join(large, "_component", "left_anti")
+    names = placed.columns
+    kept = small.groupBy("_component").applyInArrow(lambda t: solve(t).select(names), placed.schema).drop("_component")
+    return kept if large.isEmpty() else kept.union(rounds(placed.join(large, "_component", "left_semi").drop("_component")))

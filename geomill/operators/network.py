@@ -10,9 +10,9 @@ from geomill.operators.series import blend
 
 
 def weighted_mean(value: str | Column, weight: str | Column) -> Column:
-    """Aggregate: weighted mean, the plain mean where all weights are 0."""
+    """Aggregate: weighted mean of the rows that have a value and a weight, the plain mean of the values where all weights are 0."""
     v, w = (F.col(c) if isinstance(c, str) else c for c in (value, weight))
-    return F.coalesce(F.sum(v * w) / F.nullif(F.sum(w), F.lit(0)), F.avg(v))
+    return F.coalesce(F.sum(v * w) / F.nullif(F.sum(F.when(v.isNotNull(), w)), F.lit(0)), F.avg(v))
 
 
 def junction_levels(members: DataFrame, junction: str, value: str, priority: str, distance: str) -> DataFrame:
@@ -51,8 +51,8 @@ def equal_priority_levels(members: DataFrame, junction: str, road: str, value: s
 
 def t_junction_levels(members: DataFrame, junction: str, road: str, value: str, priority: str, through: str, close: float = 0.5) -> DataFrame:
     """(junction, level): the through road of highest priority; where the ending roads' mean by priority is within ``close``, the mean of all."""
-    top = F.max_by(F.when(F.col(through), F.col(value)), F.when(F.col(through), F.struct(priority, -F.col(road))))
-    ending = F.sum(F.when(~F.col(through), F.col(value) * F.col(priority))) / F.nullif(F.sum(F.when(~F.col(through), F.col(priority))), F.lit(0))
+    top = F.max_by(F.when(F.col(through), F.col(value)), F.when(F.col(through) & F.col(value).isNotNull(), F.struct(priority, -F.col(road))))
+    ending = F.sum(F.when(~F.col(through), F.col(value) * F.col(priority))) / F.nullif(F.sum(F.when(~F.col(through) & F.col(value).isNotNull(), F.col(priority))), F.lit(0))
     both = members.groupBy(junction).agg(top.alias("top"), ending.alias("ending"), weighted_mean(value, priority).alias("all"))
     near = F.col("ending").isNotNull() & (F.abs(F.col("top") - F.col("ending")) < close)
     return both.select(junction, F.when(F.col("top").isNull() | near, F.col("all")).otherwise(F.col("top")).alias("level"))

@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geomill.operators import spatial
-from geomill.operators.graph import connected_components
+from geomill.operators.graph import connected_components, solved
 from geomill.session import cut
 
 
-def ends_of(paths: DataFrame, path: str, line: str) -> DataFrame:
-    """(path, tip, x, y, dx, dy): both ends of each line of two points or more, with the unit direction in which the line leaves there."""
+def lookback_direction(line: str | Column, metres: float) -> Column:
+    """Unit vector from the point of a line that lies ``metres`` or more before its end, or its start, to its end."""
+    n = F.size(line)
+    end = F.element_at(line, -1)
+    far = F.filter(F.reverse(line), lambda p: F.sqrt(F.pow(p.x - end.x, 2) + F.pow(p.y - end.y, 2)) >= metres)
+    back = F.coalesce(F.get(far, F.lit(0)), F.element_at(line, 1))
+    dx, dy = end.x - back.x, end.y - back.y
+    length = F.sqrt(dx * dx + dy * dy)
+    return F.when((n >= 2) & (length > 0), F.struct((dx / length).alias("x"), (dy / length).alias("y")))
+
+
+def ends_of(paths: DataFrame, path: str, line: str, lookback: float = 0.0) -> DataFrame:
+    """(path, tip, x, y, dx, dy): both ends of each line of two points or more, with the unit direction in which the line leaves there, from its last point or seen ``lookback`` along."""
     n = F.size(line)
     at = lambda i: F.element_at(line, i)
+    if lookback:
+        way = {"s": lookback_direction(F.reverse(line), lookback), "e": lookback_direction(line, lookback)}
+        tips = F.array(*[F.struct(F.lit(t).alias("tip"), at(i).x.alias("x"), at(i).y.alias("y"), F.coalesce(way[t].x, F.lit(0.0)).alias("dx"), F.coalesce(way[t].y, F.lit(0.0)).alias("dy")) for t, i in (("s", 1), ("e", -1))])
+        return paths.filter(n >= 2).select(F.col(path).alias("path"), F.explode(tips).alias("t")).select("path", "t.*")
     tips = F.array(*[F.struct(F.lit(t).alias("tip"), at(i).x.alias("x"), at(i).y.alias("y"), (at(i).x - at(j).x).alias("dx"), (at(i).y - at(j).y).alias("dy")) for t, i, j in (("s", 1, 2), ("e", -1, -2))])
     own = paths.filter(n >= 2).select(F.col(path).alias("path"), F.explode(tips).alias("t")).select("path", "t.*")
     length = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
@@ -49,12 +64,25 @@ def join_candidates(ends: DataFrame, tolerance: float, blocked: DataFrame | None
 
 
 def greedy_matching(pairs: DataFrame) -> DataFrame:
-    """The pairs of ends that taking the best score first would join, an end joining once.
+    """The pairs of ends that taking the best score first would join, an end joining once; pairs that hang together through common ends are scanned in one task."""
+    name = lambda p: F.xxhash64(p, f"{p}_tip")
+    rows = cut(pairs.select("a", "a_tip", "b", "b_tip", "score").withColumn("_node", name("a")).withColumn("_other", name("b")))
 
-    Each round takes every pair that is the best of both its ends, which a
-    scan from the best score down would take as well, and drops the pairs of
-    ends so joined, until none is left: the best pair of all goes in every round.
-    """
+    def scan(t: pa.Table) -> pa.Table:
+        used, kept = set(), []
+        cols = [t.column(c).to_pylist() for c in ("score", "a", "b", "a_tip", "b_tip")]
+        for i in sorted(range(t.num_rows), key=lambda i: (cols[0][i], -cols[1][i], -cols[2][i], cols[3][i], cols[4][i]), reverse=True):
+            ends = {(cols[1][i], cols[3][i]), (cols[2][i], cols[4][i])}
+            if not ends & used:
+                used |= ends
+                kept.append(i)
+        return t.take(pa.array(kept, pa.int64()))
+
+    return solved(rows, "_node", rows.select(F.col("_node").alias("a"), F.col("_other").alias("b")), scan, _matching_rounds).select("a", "a_tip", "b", "b_tip", "score")
+
+
+def _matching_rounds(pairs: DataFrame) -> DataFrame:
+    """``greedy_matching`` in rounds: each takes every pair that is the best of both its ends, which a scan would take as well, and drops the pairs of ends so joined."""
     left, taken = cut(pairs), []
     tip = lambda p: F.struct(F.col(p).alias("path"), F.col(f"{p}_tip").alias("tip"))
     while not left.isEmpty():
@@ -63,16 +91,16 @@ def greedy_matching(pairs: DataFrame) -> DataFrame:
         best = ranked.select(tip("a").alias("end"), "_rank").union(ranked.select(tip("b"), "_rank")).groupBy("end").agg(F.max("_rank").alias("_best"))
         won = ranked.withColumn("_ea", tip("a")).withColumn("_eb", tip("b"))
         won = won.join(best.select(F.col("end").alias("_ea"), F.col("_best").alias("_ba")), "_ea").join(best.select(F.col("end").alias("_eb"), F.col("_best").alias("_bb")), "_eb")
-        chosen = cut(won.filter("_rank = _ba AND _rank = _bb").select("a", "a_tip", "b", "b_tip", "score"))
+        chosen = cut(won.filter("_rank = _ba AND _rank = _bb").select(pairs.columns))
         taken.append(chosen)
         used = chosen.select(tip("a").alias("end")).union(chosen.select(tip("b")))
         left = cut(left.join(used.withColumnRenamed("end", "_e"), tip("a") == F.col("_e"), "left_anti").join(used.withColumnRenamed("end", "_f"), tip("b") == F.col("_f"), "left_anti"))
-    return reduce(DataFrame.union, taken) if taken else pairs.limit(0)
+    return reduce(DataFrame.union, taken)
 
 
-def joined_paths(paths: DataFrame, path: str, line: str, tolerance: float, **rules) -> DataFrame:
+def joined_paths(paths: DataFrame, path: str, line: str, tolerance: float, lookback: float = 0.0, **rules) -> DataFrame:
     """(path, joined): lines joined by ``greedy_matching`` share the smallest of their names."""
-    links = greedy_matching(join_candidates(ends_of(paths, path, line), tolerance, **rules))
+    links = greedy_matching(join_candidates(ends_of(paths, path, line, lookback), tolerance, **rules))
     parts = connected_components(links, "a", "b")
     return paths.select(path).join(parts, F.col(path) == F.col("node"), "left").select(path, F.coalesce("component", path).alias("joined"))
 
@@ -133,15 +161,3 @@ def building_parts(outlines: DataFrame, parts: DataFrame, cell: float, covered:
     alone = big.join(share, "building", "left").filter((F.coalesce("_parts", F.lit(0.0)) < covered * F.col("_whole"))).select(F.col("building").alias("id"), "building", F.lit(False).alias("is_part"))
     orphans = own.join(given.select("id"), "id", "left_anti").select("id", F.col("id").alias("building"), F.lit(True).alias("is_part"))
     return alone.union(given.select("id", "building", F.lit(True))).union(orphans)
-
-
-def lookback_direction(line: str, metres: float) -> Column:
-    """Unit vector from the point of a line that lies ``metres`` or more before its end, or its start, to its end."""
-    n = F.size(line)
-    end = F.element_at(line, -1)
-    far = F.filter(F.reverse(line), lambda p: F.sqrt(F.pow(p.x - end.x, 2) + F.pow(p.y - end.y, 2)) >= metres)
-    back = F.coalesce(F.get(far, F.lit(0)), F.element_at(line, 1))
-    dx, dy = end.x - back.x, end.y - back.y
-    length = F.sqrt(dx * dx + dy * dy)
-    return F.when((n >= 2) & (length > 0), F.struct((dx / length).alias("x"), (dy / length).alias("y")))
-

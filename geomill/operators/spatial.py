@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from geomill.operators.graph import connected_components
 from geomill.operators.series import lookup
+from geomill.session import cut
 
 #: Metres in a degree of latitude.
 DEGREE_METRES = 111_320.0
@@ -94,26 +95,70 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str
     return chosen.select(*key, "_n.*")
 
 
-def cluster(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """(key, cluster): points joined through chains of steps of at most ``radius``; the cluster is its smallest key.
+def cluster(points: DataFrame, key: str, x: str, y: str, radius: float | str) -> DataFrame:
+    """(key, cluster): points joined through chains of steps; the cluster is its smallest key.
 
-    Points of one cell of a grid of radius / sqrt(2) are always in reach of
-    each other, so each links to its cell's smallest alone.  Points of different
-    cells are compared by place, places that repeat once, and give one link for
-    each pair of cells.
+    A step is at most ``radius`` long, or at most the larger of its two points'
+    radii where that is a column.  Points of one place are one.  Radii fall
+    into levels, one for each power of two, each with a grid of its own: a
+    point is active on its own level and present on those above, so that a
+    large radius widens no cell of a smaller one.  Points of a cell with an
+    active one are always in reach of each other and link to its smallest.
+    Between cells the boxes of sixteenths of cells are compared first: what
+    lies surely in reach gives one link for each two cells, and points are
+    compared only where boxes leave it open.  Points without a place, and those
+    of no radius that nothing else reaches, are clusters of their own.
     """
-    size = radius / 2**0.5
-    own = points.select(F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_cx", cell("_x", size)).withColumn("_cy", cell("_y", size))
-    heads = own.groupBy("_cx", "_cy").agg(F.min("_k").alias("_head"), F.count("*").alias("_n"))
-    inner = own.join(heads, ["_cx", "_cy"])
-    same = inner.filter("_k <> _head").select(F.col("_k").alias("_a"), F.col("_head").alias("_b"))
-    a = inner.select(F.col("_head").alias("_a"), F.col("_x").alias("_ax"), F.col("_y").alias("_ay")).distinct()
-    b = inner.select(F.col("_head").alias("_b"), F.col("_x").alias("_bx"), F.col("_y").alias("_by")).distinct()
-    across = within(a, b, radius, ("_ax", "_ay"), ("_bx", "_by")).filter("_a < _b").select("_a", "_b").distinct()
-    parts = connected_components(same.union(across), "_a", "_b")
+    r = F.col(radius).cast("double") if isinstance(radius, str) else F.lit(float(radius))
+    own = points.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), r.alias("_r")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    places = cut(own.groupBy("_x", "_y").agg(F.min("_k").alias("_head"), F.coalesce(F.max("_r"), F.lit(0.0)).alias("_r")))
+    level = F.when(F.col("_r") > 0, F.ceil(F.log2("_r")).cast("int"))
+    levels = sorted(v[0] for v in places.select(level).distinct().collect() if v[0] is not None)  # powers of two
+    at_place = own.join(places.select("_x", "_y", "_head"), ["_x", "_y"]).select(F.col("_k").alias("_a"), F.col("_head").alias("_b"))
+    links = at_place.filter("_a <> _b")
+    if levels:
+        on = F.filter(F.array(*map(F.lit, levels)), lambda v: v >= F.coalesce(level, F.lit(levels[0])))
+        rows = places.withColumn("_level", F.explode(on)).withColumn("_on", F.coalesce(level == F.col("_level"), F.lit(False)))
+        links = links.union(_level_links(rows))
+    parts = connected_components(links, "_a", "_b")
     return points.select(key).join(parts, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
+def _level_links(rows: DataFrame) -> DataFrame:
+    """(_a, _b) links of places (_x, _y, _head, _r, _level, _on) on each level: enough to connect what lies in reach of an active one."""
+    reach = F.pow(F.lit(2.0), F.col("_level"))
+    size = reach * (0.499 / 2**0.5)
+    grid = rows.withColumn("_cx", F.floor(F.col("_x") / size).cast("long")).withColumn("_cy", F.floor(F.col("_y") / size).cast("long"))
+    cell_ = ["_level", "_cx", "_cy"]
+    heads = grid.groupBy(*cell_).agg(F.max("_on").alias("_active"), F.min("_head").alias("_cell_head"))
+    tagged = grid.join(heads, cell_)
+    part = lambda c: F.when(F.col("_active"), F.floor(F.col(c) / (size / 4)).cast("double")).otherwise(F.col(c))
+    tagged = cut(tagged.withColumn("_u", part("_x")).withColumn("_v", part("_y")).withColumn("_name", F.when(F.col("_active"), F.col("_cell_head")).otherwise(F.col("_head"))))
+    same = tagged.filter("_active AND _head <> _cell_head").select(F.col("_head").alias("_a"), F.col("_cell_head").alias("_b"))
+    unit = [*cell_, "_u", "_v"]
+    bounds = [f(c).alias(f"_{n}{c[1:]}") for c in ("_x", "_y", "_r") for n, f in (("lo", F.min), ("hi", F.max))]
+    units = tagged.groupBy(*unit, "_active", "_name").agg(*bounds)
+    wide = reach * 1.25
+    units = units.withColumn("_bx", F.floor(F.col("_lox") / wide).cast("long")).withColumn("_by", F.floor(F.col("_loy") / wide).cast("long"))
+    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    side = lambda df, p: df.select("_level", "_bx", "_by", *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in ("_level", "_bx", "_by")])
+    left = side(units.filter("_active"), "a").withColumn("_bx", F.explode(F.transform(near, lambda d: F.col("_bx") + d))).withColumn("_by", F.explode(F.transform(near, lambda d: F.col("_by") + d)))
+    both = left.join(side(units, "b"), ["_level", "_bx", "_by"]).filter("a_name <> b_name AND (NOT b_active OR a_name < b_name)")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}"))
+    span = lambda c: F.greatest(F.col(f"a_hi{c}") - F.col(f"b_lo{c}"), F.col(f"b_hi{c}") - F.col(f"a_lo{c}"))
+    length = lambda f: F.sqrt(F.pow(f("x"), 2) + F.pow(f("y"), 2))
+    least, most = F.greatest("a_lor", "b_lor"), F.greatest("a_hir", "b_hir")
+    both = cut(both.filter(length(gap) <= most).withColumn("_sure", length(span) <= least).select("_level", "_sure", *[f"{p}{c}" for p in "ab" for c in ("_cx", "_cy", "_u", "_v", "_name")]))
+    sure = both.filter("_sure").select(F.col("a_name").alias("_a"), F.col("b_name").alias("_b")).distinct()
+    unsure = both.filter("NOT _sure").join(sure, (F.col("a_name") == F.col("_a")) & (F.col("b_name") == F.col("_b")), "left_anti")
+    points = lambda p: tagged.select("_level", *[F.col(c).alias(f"{p}{c}") for c in ("_cx", "_cy", "_u", "_v", "_x", "_y", "_r")])
+    keys = lambda p: ["_level", *[f"{p}{c}" for c in ("_cx", "_cy", "_u", "_v")]]
+    exact = unsure.join(points("a"), keys("a")).join(points("b"), keys("b"))
+    away = F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2))
+    exact = exact.filter(away <= F.greatest("a_r", "b_r")).select(F.col("a_name").alias("_a"), F.col("b_name").alias("_b")).distinct()
+    return same.union(sure).union(exact)
+
+
 def grid_clusters(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """Count and centroid of the points of each floor cell."""
     return points.groupBy(cell(x, size).alias("cx"), cell(y, size).alias("cy")).agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))

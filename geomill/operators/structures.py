@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geomill.operators import spatial
+from geomill.operators.graph import solved
 from geomill.operators.paths import ends_of, greedy_matching
 from geomill.operators.raster import line_pixels
 from geomill.operators.series import blend
@@ -101,48 +104,85 @@ def integrate_structures(sections: DataFrame, structures: str, tunnel: str, alon
     return met.withColumn("elevation", value).drop("entry", "exit", "_length", "_low", "_t")
 
 
-def first_apart(places: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """The rows that a scan in the order of ``key`` (unique) keeps when it skips those nearer than ``radius`` to a kept one.
+def first_apart(places: DataFrame, key: str, x: str, y: str, radius: float, once: str | None = None) -> DataFrame:
+    """The rows that a scan in the order of ``key`` (unique) keeps when it skips those nearer than ``radius`` to a kept one, or of the same ``once`` as one.
 
-    A round keeps every cell's earliest row that comes before the earliest of
-    all cells about it, then drops the rows that those suppress; the earliest of
-    all rows goes in every round.  Cells are radius / sqrt(2) wide, so a cell
-    keeps one row a round and no group is compared with itself.
+    Rows that hang together through neighbouring cells, radius / sqrt(2) wide,
+    and through ``once`` are scanned in one task.
     """
     size = radius / 2**0.5
-    live = cut(places.withColumn("_cx", spatial.cell(x, size)).withColumn("_cy", spatial.cell(y, size)))
-    kept, steps = [], F.array(*[F.lit(d) for d in range(-2, 3)])
+    rows = cut(places.withColumn("_cx", spatial.cell(x, size)).withColumn("_cy", spatial.cell(y, size)).withColumn("_cell", F.xxhash64("_cx", "_cy")))
+    cells = rows.select("_cx", "_cy", "_cell").distinct()
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if abs(i * j) < 4 and (i, j) > (0, 0)]))
+    about = cells.select(F.col("_cell").alias("a"), step.alias("d"), "_cx", "_cy").select("a", (F.col("_cx") + F.col("d.i")).alias("_cx"), (F.col("_cy") + F.col("d.j")).alias("_cy"))
+    links = about.join(cells, ["_cx", "_cy"]).select("a", F.col("_cell").alias("b"))
+    if once:
+        least = rows.groupBy(once).agg(F.min("_cell").alias("_least"))
+        links = links.union(rows.join(least, once).select("_cell", "_least"))
+
+    def scan(t: pa.Table) -> pa.Table:
+        keys = [tuple(k.values()) if isinstance(k, dict) else k for k in t.column(key).to_pylist()]
+        names = t.column(once).to_pylist() if once else range(t.num_rows)
+        names = [tuple(n.values()) if isinstance(n, dict) else n for n in names]
+        xs, ys, cx, cy = (t.column(c).to_pylist() for c in (x, y, "_cx", "_cy"))
+        kept, seen, at = [], set(), {}
+        for i in sorted(range(t.num_rows), key=keys.__getitem__):
+            if names[i] in seen or any(math.hypot(xs[i] - xs[j], ys[i] - ys[j]) < radius for p in range(-2, 3) for q in range(-2, 3) for j in at.get((cx[i] + p, cy[i] + q), ())):
+                continue
+            kept.append(i)
+            seen.add(names[i])
+            at.setdefault((cx[i], cy[i]), []).append(i)
+        return t.take(pa.array(kept, pa.int64()))
+
+    return solved(rows, "_cell", links, scan, lambda large: _apart_rounds(large, key, x, y, radius, once)).select(places.columns)
+
+
+def _apart_rounds(places: DataFrame, key: str, x: str, y: str, radius: float, once: str | None) -> DataFrame:
+    """``first_apart`` in rounds: each keeps every cell's earliest row that comes before the earliest of all cells about it and of its ``once``, then drops the rows that those suppress."""
+    live, kept, steps = cut(places), [], F.array(*[F.lit(d) for d in range(-2, 3)])
+    around = lambda df: df.withColumn("_cx", F.explode(F.transform(steps, lambda d: F.col("_hx") + d))).withColumn("_cy", F.explode(F.transform(steps, lambda d: F.col("_hy") + d)))
     while not live.isEmpty():
         heads = live.groupBy("_cx", "_cy").agg(F.min(key).alias("_head"))
-        about = heads.select("_head", (F.col("_cx")).alias("_hx"), F.col("_cy").alias("_hy"))
-        about = about.withColumn("_cx", F.explode(F.transform(steps, lambda d: F.col("_hx") + d))).withColumn("_cy", F.explode(F.transform(steps, lambda d: F.col("_hy") + d)))
-        least = about.groupBy("_cx", "_cy").agg(F.min("_head").alias("_least"))
-        firsts = heads.join(least, ["_cx", "_cy"]).filter("_head = _least").select(F.col("_head").alias(key))
-        chosen = cut(live.join(firsts, key))
-        kept.append(chosen.drop("_cx", "_cy"))
-        by = chosen.select(F.col(key).alias("_k"), F.col(x).alias("_kx"), F.col(y).alias("_ky"), F.col("_cx").alias("_hx"), F.col("_cy").alias("_hy"))
-        by = by.withColumn("_cx", F.explode(F.transform(steps, lambda d: F.col("_hx") + d))).withColumn("_cy", F.explode(F.transform(steps, lambda d: F.col("_hy") + d)))
+        least = around(heads.select("_head", F.col("_cx").alias("_hx"), F.col("_cy").alias("_hy"))).groupBy("_cx", "_cy").agg(F.min("_head").alias("_least"))
+        chosen = live.join(heads.join(least, ["_cx", "_cy"]).filter("_head = _least").select(F.col("_head").alias(key)), key)
+        if once:
+            chosen = chosen.join(live.groupBy(once).agg(F.min(key).alias("_first")), once).filter(F.col(key) == F.col("_first")).drop("_first")
+        chosen = cut(chosen.select(places.columns))
+        kept.append(chosen)
+        by = around(chosen.select(F.col(key).alias("_k"), F.col(x).alias("_kx"), F.col(y).alias("_ky"), F.col("_cx").alias("_hx"), F.col("_cy").alias("_hy")))
         near = F.sqrt(F.pow(F.col(x) - F.col("_kx"), 2) + F.pow(F.col(y) - F.col("_ky"), 2)) < radius
         gone = live.join(by.select("_cx", "_cy", "_k", "_kx", "_ky"), ["_cx", "_cy"]).filter((F.col(key) == F.col("_k")) | near).select(key).distinct()
-        live = cut(live.join(gone, key, "left_anti"))
-    return reduce(DataFrame.union, kept) if kept else places
+        live = live.join(gone, key, "left_anti")
+        live = cut(live.join(chosen.select(once).distinct(), once, "left_anti") if once else live)
+    return reduce(DataFrame.union, kept)
 
 
-def mid_crossings(samples: DataFrame, radius: float, connected: DataFrame | None = None) -> DataFrame:
-    """(crossing, a, b, x, y): where two roads (road, place, x, y) come within ``radius`` of each other.
+#: Samples of a road that are searched for crossings, at least half of them, and the grid by which near roads are ordered.
+CROSSING_SAMPLES, CROSSING_CELL = 100, 50.0
+
 
-    The first sample of the smaller road, in order, that is near the other road
-    counts, with the other's nearest sample; the crossing lies between the two.
-    Pairs of ``connected`` (a, b) have none.  A crossing within half the radius
-    of an earlier one, in the order of (a, b), is left out.
+def mid_crossings(samples: DataFrame, radius: float, connected: DataFrame | None = None) -> DataFrame:
+    """(a, b, x, y): where two roads (road, place, x, y) come within ``radius`` of each other, away from their ends.
+
+    Roads are scanned in order, each one's samples, but for the first and the
+    last, in order, only every n-th of 100 n or more.  A sample's crossings lie
+    halfway to the nearest sample of every road near it, in the order in which
+    a grid meets those roads.  Each pair crosses once, where the scan first
+    finds a place that is not within half the radius of an earlier crossing;
+    pairs of ``connected`` (a, b) never do.
     """
-    side = lambda p: samples.select(F.col("road").alias(p), F.col("place").alias(f"{p}_place"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
-    near = spatial.within(side("a"), side("b"), radius, ("ax", "ay"), ("bx", "by")).filter("a < b")
+    w = W.partitionBy("road")
+    inner = samples.withColumn("_i", F.row_number().over(w.orderBy("place")) - 2).withColumn("_n", F.count("*").over(w) - 2).filter("_i >= 0 AND _i < _n")
+    square = lambda c: spatial.cell(c, CROSSING_CELL, floor=False)
+    every = F.greatest(F.lit(1), F.floor(F.col("_n") / CROSSING_SAMPLES))
+    own = inner.filter(F.col("_i") % every == 0).select("road", "place", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    other = inner.select(F.col("road").alias("other"), F.col("x").alias("bx"), F.col("y").alias("by"), F.struct(square("x").alias("cx"), square("y").alias("cy"), F.col("road").alias("r"), F.col("place").alias("p")).alias("met"))
+    near = spatial.within(own, other, radius, ("ax", "ay"), ("bx", "by")).filter("road <> other").withColumn("a", F.least("road", "other")).withColumn("b", F.greatest("road", "other"))
     if connected is not None:
         near = near.join(connected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    first = near.groupBy("a", "b").agg(F.min_by(F.struct("ax", "ay", "bx", "by"), F.struct("a_place", "distance", "b_place")).alias("n"))
-    places = first.select(F.struct("a", "b").alias("crossing"), "a", "b", ((F.col("n.ax") + F.col("n.bx")) / 2).alias("x"), ((F.col("n.ay") + F.col("n.by")) / 2).alias("y"))
-    return first_apart(places, "crossing", "x", "y", radius / 2)
+    found = near.groupBy("road", "place", "other", "a", "b", "ax", "ay").agg(F.min("met").alias("met"), F.min_by(F.struct("bx", "by"), F.struct("distance", "met")).alias("n"))
+    places = found.select(F.struct("road", "place", F.col("met.cx").alias("cx"), F.col("met.cy").alias("cy"), "other").alias("order"), F.struct("a", "b").alias("pair"), ((F.col("ax") + F.col("n.bx")) / 2).alias("x"), ((F.col("ay") + F.col("n.by")) / 2).alias("y"))
+    return first_apart(places, "order", "x", "y", radius / 2, once="pair").select("pair.a", "pair.b", "x", "y")
 
 
 def nearest_along(points: DataFrame, samples: DataFrame, key: str, line: str) -> DataFrame:

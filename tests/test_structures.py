@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geomill.operators import structures
+from geomill.operators import graph, paths, structures
 
 
 def test_prefix_sums_over_partitions(spark):
@@ -31,22 +31,75 @@ def test_first_apart_equals_a_scan(spark):
     assert sorted(r.k for r in got.collect()) == [k for k, _, _ in kept]
 
 
+def test_spacing_in_rounds_equals_one_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, rng.random() * 3, rng.random() * 3, rng.randrange(40)) for i in range(300)], "k long, x double, y double, pair long")
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(graph, "COMPONENT_ROWS", most)
+        found.append(sorted(r.k for r in structures.first_apart(rows, "k", "x", "y", 0.4, once="pair").collect()))
+    kept = []
+    for r in sorted(rows.collect()):
+        if all(math.hypot(r.x - o.x, r.y - o.y) >= 0.4 and r.pair != o.pair for o in kept):
+            kept.append(r)
+    assert found[0] == found[1] == [r.k for r in kept]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: made.append(1) or real(df))
+    line = spark.createDataFrame([(i, i * 0.3, 0.0) for i in range(1000)], "k long, x double, y double")
+    got = structures.first_apart(line, "k", "x", "y", 0.4)
+    assert sorted(r.k for r in got.collect()) == list(range(0, 1000, 2)) and len(made) <= 20
+    made.clear()
+    pairs = spark.createDataFrame([(i, "e", i + 1, "e" if i % 2 else "s", 1000.0 - i) for i in range(1000)], "a long, a_tip string, b long, b_tip string, score double")
+    assert paths.greedy_matching(pairs).count() > 300 and len(made) <= 20
+
+
+def brute_crossings(rows, radius, connected):
+    """Roads in order, their inner samples in order, near roads in the order in which cells of 50 hold them."""
+    roads = sorted({r[0] for r in rows})
+    inner = {r: sorted((p, x, y) for s, p, x, y in rows if s == r)[1:-1] for r in roads}
+    index = {}
+    for r in roads:
+        for p, x, y in inner[r]:
+            index.setdefault((int(x / 50), int(y / 50)), []).append((r, p, x, y))
+    done, places, out = set(), [], []
+    for r in roads:
+        for p, x, y in inner[r][:: max(1, len(inner[r]) // 100)]:
+            near = {}
+            for cx in range(int((x - radius) / 50), int((x + radius) / 50) + 1):
+                for cy in range(int((y - radius) / 50), int((y + radius) / 50) + 1):
+                    for o, q, u, v in index.get((cx, cy), ()):
+                        if o != r and math.hypot(u - x, v - y) <= radius:
+                            near.setdefault(o, []).append((math.hypot(u - x, v - y), u, v))
+            for o, them in near.items():
+                pair = min(r, o), max(r, o)
+                if pair in done or pair in connected:
+                    continue
+                _, u, v = min(them, key=lambda t: t[0])
+                place = (x + u) / 2, (y + v) / 2
+                if any(math.dist(place, q) < radius / 2 for q in places):
+                    continue
+                done.add(pair)
+                places.append(place)
+                out.append((*pair, round(place[0], 9), round(place[1], 9)))
+    return sorted(out)
+
+
 def test_mid_crossings_equal_a_scan(spark):
-    rng = random.Random(3)
-    rows = [(road, i, rng.random() * 4, rng.random() * 4) for road in range(12) for i in range(30)]
-    connected = {(0, 1), (2, 5)}
-    places = []
-    for a in range(12):
-        for b in range(a + 1, 12):
-            near = [(p, math.hypot(x - u, y - v), q, (x + u) / 2, (y + v) / 2) for r, p, x, y in rows if r == a for s, q, u, v in rows if s == b and math.hypot(x - u, y - v) <= 0.3]
-            if near and (a, b) not in connected:
-                places.append((a, b, *min(near)[3:]))
-    want = []
-    for a, b, x, y in places:
-        if all(math.hypot(x - u, y - v) >= 0.15 for _, _, u, v in want):
-            want.append((a, b, x, y))
-    got = structures.mid_crossings(spark.createDataFrame(rows, "road long, place long, x double, y double"), 0.3, spark.createDataFrame([(1, 0), (2, 5)], "a long, b long"))
-    assert sorted((r.a, r.b) for r in got.collect()) == [(a, b) for a, b, _, _ in want]
+    for seed, many in ((3, 30), (5, 230)):
+        rng = random.Random(seed)
+        rows = []
+        for road in range(14):
+            x, y, turn = rng.uniform(30, 120), rng.uniform(30, 120), rng.uniform(0, 7)
+            for i in range(many):
+                rows.append((road, i, x, y))
+                turn += rng.uniform(-0.3, 0.3)
+                x, y = x + math.cos(turn) * 2, y + math.sin(turn) * 2
+        got = structures.mid_crossings(spark.createDataFrame(rows, "road long, place long, x double, y double"), 6.0, spark.createDataFrame([(1, 0), (2, 5)], "a long, b long"))
+        want = brute_crossings(rows, 6.0, {(0, 1), (2, 5)})
+        assert sorted((r.a, r.b, round(r.x, 9), round(r.y, 9)) for r in got.collect()) == want and len(want) > 8
 
 
 def test_curves_merge_along_the_mask_alone(spark):
