@@ -55,16 +55,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 COMPONENT_ROWS = 500_000
 
 
-def solved(rows: DataFrame, node: str, links: DataFrame, solve: Callable[[pa.Table], pa.Table], rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def solved(rows: DataFrame, node: str, links: DataFrame, solve: Callable[[pa.Table], pa.Table], rounds: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """What ``solve`` keeps of the rows of each component, which it gets whole; ``node`` names a row's node.
 
     Rows of a component of more than ``COMPONENT_ROWS`` go to ``rounds``
-    together, which gives the same result without holding a component.
+    together, which gives the same result without holding a component; without
+    ``rounds`` any component is one task's.
     """
     parts = connected_components(links)
     placed = cut(rows.join(parts, F.col(node) == F.col("node"), "left").withColumn("_component", F.coalesce("component", node)).drop("node", "component"))
+    names = placed.columns
+    keep = lambda t: solve(t).select(names)
+    if rounds is None:
+        return placed.groupBy("_component").applyInArrow(keep, placed.schema).drop("_component")
     large = placed.groupBy("_component").count().filter(F.col("count") > COMPONENT_ROWS).select("_component")
     small = placed.join(large, "_component", "left_anti")
-    names = placed.columns
-    kept = small.groupBy("_component").applyInArrow(lambda t: solve(t).select(names), placed.schema).drop("_component")
+    kept = small.groupBy("_component").applyInArrow(keep, placed.schema).drop("_component")
     return kept if large.isEmpty() else kept.union(rounds(placed.join(large, "_component", "left_semi").drop("_component")))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geomill.operators.graph import solved
+from geomill.session import cut
+
 
 def to_metres(raw: str, most: float) -> Column:
     """A 16-bit height as metres."""
@@ -81,6 +87,107 @@ def repair_spikes(rows: DataFrame, value: str, most: float, radius: int = 3, lif
     return around.join(F.broadcast(middle)).withColumn("is_spike", bad).withColumn("repaired", F.when(F.col("is_spike"), F.coalesce("around", "_median", F.lit(default))).otherwise(F.col(value))).drop("around", "_median")  # one row
 
 
+def repair_in_scan_order(rows: DataFrame, value: str, most: float, radius: int = 3, default: float = 0.23, near: float = 0.99, believed: float = 0.95, low: float = 0.5) -> DataFrame:
+    """``rows`` (x, y, value) with ``repaired`` and ``is_spike``, pixels judged row by row on those repaired before them.
+
+    Spikes are missing, infinite or negative, ``most`` or more, or from
+    ``near`` of it on with a mean of valid neighbours below ``low`` of it.  They
+    take that mean where it is below ``believed`` of ``most``, else the median
+    of good heights, else ``default``.  Only pixels that may be spikes depend on
+    the order, so those near each other are repaired in one task, each with
+    the pixels about it; a whole region of them is one task's.
+    """
+    v = F.col(value).cast("double")
+    sound = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    middle = rows.filter(sound & (v >= 0) & (v < believed * most)).agg(F.percentile_approx(v, 0.5, 1_000_000)).first()[0]
+    fill = middle if middle is not None and middle > 0 else default
+    maybe = rows.filter(~sound | (v < 0) | (v >= near * most)).select("x", "y", v.alias("_v"))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i or j]))
+    wanted = maybe.select(F.col("x").alias("_x"), F.col("y").alias("_y"), step.alias("d")).select("_x", "_y", (F.col("_x") + F.col("d.i")).alias("x"), (F.col("_y") + F.col("d.j")).alias("y"))
+    about = wanted.join(rows.select("x", "y", v.alias("_v")), ["x", "y"]).groupBy("_x", "_y").agg(F.collect_list(F.struct("x", "y", "_v")).alias("_about")).select(F.col("_x").alias("x"), F.col("_y").alias("y"), "_about")
+    side = radius + 1
+    own = maybe.join(about, ["x", "y"], "left").withColumn("repaired", F.col("_v")).withColumn("is_spike", F.lit(False))
+    own = cut(own.withColumn("_cx", F.floor(F.col("x") / side)).withColumn("_cy", F.floor(F.col("y") / side)).withColumn("_cell", F.xxhash64("_cx", "_cy")))
+    cells = own.select("_cx", "_cy", "_cell").distinct()
+    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    links = cells.select(F.col("_cell").alias("a"), beside.alias("d"), "_cx", "_cy").select("a", (F.col("_cx") + F.col("d.i")).alias("_cx"), (F.col("_cy") + F.col("d.j")).alias("_cy")).join(cells, ["_cx", "_cy"]).select("a", F.col("_cell").alias("b"))
+
+    def judge(t: pa.Table) -> pa.Table:
+        at = list(zip(t.column("y").to_pylist(), t.column("x").to_pylist()))
+        now = dict(zip(at, t.column("_v").to_pylist()))
+        lists, spikes, repaired = t.column("_about").to_pylist(), [False] * t.num_rows, t.column("_v").to_pylist()
+        good = lambda h: h is not None and math.isfinite(h) and h >= 0
+        for i in sorted(range(t.num_rows), key=at.__getitem__):
+            h = now[at[i]]
+            heights = [x for x in (now.get((n["y"], n["x"]), n["_v"]) for n in lists[i] or ()) if good(x)]
+            mean = math.fsum(heights) / len(heights) if heights else math.nan
+            if good(h) and h < most and not mean < low * most:
+                continue
+            spikes[i], repaired[i] = True, mean if mean < believed * most else fill
+            now[at[i]] = repaired[i]
+        return t.set_column(t.schema.get_field_index("repaired"), "repaired", pa.array(repaired, pa.float64())).set_column(t.schema.get_field_index("is_spike"), "is_spike", pa.array(spikes))
+
+    done = solved(own, "_cell", links, judge, None).select("x", "y", "repaired", "is_spike")
+    return rows.join(done, ["x", "y"], "left").withColumn("repaired", F.when(F.col("is_spike"), F.col("repaired")).otherwise(v)).withColumn("is_spike", F.coalesce("is_spike", F.lit(False)))
+
+
+#: Pixels along the side of a tile that one task resizes.
+TILE = 256
+
+
+def _bicubic(x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x <= 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def resize_weights(first: int, stop: int, size: int, target: int, low: int, high: int) -> np.ndarray:
+    """Weights of the source pixels ``low`` to ``high`` for the target pixels ``first`` to ``stop``, a row each; the kernel widens with the source's pixels."""
+    ratio = size / target
+    scale = max(ratio, 1.0)
+    centre = (np.arange(first, stop) + 0.5) * ratio - 0.5
+    reach = math.ceil(2 * scale)
+    at = np.arange(low, high)
+    inside = (at >= np.ceil(centre - reach)[:, None]) & (at <= np.floor(centre + reach)[:, None])
+    own = np.where(inside, _bicubic((at - centre[:, None]) / scale), 0.0)
+    total = own.sum(1, keepdims=True)
+    return own / np.where(total == 0, 1, total)
+
+
+def resize(rows: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """(x, y, value): a raster of ``size`` (width, height) stretched to ``target`` by a bicubic kernel.
+
+    Every pixel goes to the target tiles that it weighs in, a tile and its halo
+    to a task; both directions are one matrix product there.  Missing and NaN
+    pixels weigh nothing; pixels that only they weigh in have no row.
+    """
+    ratio = [s / t for s, t in zip(size, target)]
+    reach = [math.ceil(2 * max(r, 1.0)) for r in ratio]
+
+    def tiles(c: str, k: int) -> Column:
+        to = lambda shift: F.floor(((F.col(c) + shift + 0.5) / ratio[k] - 0.5) / TILE)
+        last = (target[k] - 1) // TILE
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.least(F.lit(last), to(-reach[k] - 1))), F.greatest(F.lit(0), F.least(F.lit(last), to(reach[k] + 1)))))
+
+    own = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("v"))
+    sent = own.withColumn("tx", tiles("x", 0)).withColumn("ty", tiles("y", 1))
+
+    def run(key, t):
+        tx, ty = (int(k.as_py()) for k in key)
+        x, y, v = (t.column(c).to_numpy() for c in ("x", "y", "v"))
+        x0, y0 = x.min(), y.min()
+        block = np.zeros((2, y.max() - y0 + 1, x.max() - x0 + 1))
+        block[0, y - y0, x - x0], block[1, y - y0, x - x0] = v, 1
+        i0, j0 = tx * TILE, ty * TILE
+        i1, j1 = min(target[0], i0 + TILE), min(target[1], j0 + TILE)
+        across = resize_weights(i0, i1, size[0], target[0], x0, x0 + block.shape[2])
+        down = resize_weights(j0, j1, size[1], target[1], y0, y0 + block.shape[1])
+        out, weight = down @ (block @ across.T)
+        j, i = np.nonzero(weight > 1e-6)
+        return pa.table({"x": i + i0, "y": j + j0, value: out[j, i] / weight[j, i]})
+
+    return sent.groupBy("tx", "ty").applyInArrow(run, f"x long, y long, `{value}` double")
+
+
 def _envelope(at: np.ndarray, cost: np.ndarray, where: np.ndarray) -> np.ndarray:
     """min over i of cost[i] + (where - at[i])^2 by the lower envelope of parabolas; ``at`` ascends."""
     v = np.zeros(len(at), np.int64)

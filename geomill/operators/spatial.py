@@ -73,8 +73,8 @@ def cell(value: str | Column, size: float, floor: bool = True) -> Column:
     return (F.floor(v) if floor else v).cast("long")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str, str], right_xy: tuple[str, str]) -> DataFrame:
-    """Pairs of rows at most ``radius`` apart, with ``distance``.
+def within(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str, str], right_xy: tuple[str, str], same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows at most ``radius`` apart, with ``distance``, that agree in the columns ``same`` of both sides.
 
     The left side is copied to the nine cells about it, then joined by cell, so
     work follows the pairs in neighbouring cells; columns of the two sides have
@@ -85,7 +85,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str,
     around = left.withColumn("_cx", F.explode(F.transform(near, lambda d: cell(lx, radius) + d))).withColumn("_cy", F.explode(F.transform(near, lambda d: cell(ly, radius) + d)))
     there = right.withColumn("_cx", cell(rx, radius)).withColumn("_cy", cell(ry, radius))
     distance = F.sqrt(F.pow(F.col(lx) - F.col(rx), 2) + F.pow(F.col(ly) - F.col(ry), 2))
-    return around.join(there, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", distance).filter(F.col("distance") <= radius)
+    return around.join(there, [*same, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", distance).filter(F.col("distance") <= radius)
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, left_xy: tuple[str, str], right_xy: tuple[str, str], key: list[str], tie: str) -> DataFrame:

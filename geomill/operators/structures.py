@@ -205,6 +205,58 @@ def blended_from_ring(value: str, level: str, distance: str, reach: float, kind:
     return F.when(near, F.col(level) * (1 - t) + F.col(value) * t).otherwise(F.col(value)), F.coalesce(near, F.lit(False))
 
 
+def edge_constraints(sections: DataFrame, junctions: DataFrame, slack: float = 20.0, kind: str = "cosine", span: int = 3) -> DataFrame:
+    """``sections`` with ``level``, ``left_edge`` and ``right_edge``: roads that end at another one lie on its surface there.
+
+    ``sections`` are (spline, along, x, y, nx, ny, tx, ty, target, bank,
+    width), ``junctions`` (junction, road, at_start, primary, reach), the
+    junctions in their order.  A section nearer than ``reach`` along its road
+    to the end takes the surface of the primary road's section nearest to it,
+    at most ``reach`` and ``slack`` away: that one's target, by its bank across
+    and its slope along, over ``span`` sections to either side.  The end itself
+    takes it whole, its middle as the mean of its edges; the others blend it
+    with their own edges and middle.  Later junctions blend with what earlier
+    ones left; edges that no junction sets are null.
+    """
+    w = W.partitionBy("spline").orderBy("along")
+    whole = W.partitionBy("spline").orderBy("along").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at = lambda c, step: F.coalesce(F.lag(c, span).over(w), F.first(c).over(whole)) if step < 0 else F.coalesce(F.lead(c, span).over(w), F.last(c).over(whole))
+    run = F.sqrt(F.pow(at("x", 1) - at("x", -1), 2) + F.pow(at("y", 1) - at("y", -1), 2))
+    surface = sections.withColumn("slope", F.when(run >= 0.1, (at("target", 1) - at("target", -1)) / run).otherwise(0.0))
+    surface = surface.select(F.col("spline").alias("primary"), F.col("along").alias("p_along"), F.col("x").alias("px"), F.col("y").alias("py"), F.struct("x", "y", "nx", "ny", "tx", "ty", "target", "bank", "slope").alias("p"))
+    ends = sections.groupBy("spline").agg(F.max("along").alias("_length"), F.min("along").alias("_zero")).withColumnRenamed("spline", "road")
+    met = junctions.join(ends, "road")
+    own = sections.select("spline", "along", "x", "y", "nx", "ny", "target", "bank", "width").join(met.withColumnRenamed("road", "spline"), "spline")
+    own = own.withColumn("_from", F.when(F.col("at_start"), F.col("along") - F.col("_zero")).otherwise(F.col("_length") - F.col("along")))
+    own = own.filter((F.col("_from") < F.col("reach")) | (F.col("_from") == 0))
+    most = junctions.agg(F.max("reach")).first()[0]
+    if most is None:
+        none = F.lit(None).cast("double")
+        return sections.withColumn("level", F.col("target")).withColumn("left_edge", none).withColumn("right_edge", none)
+    near = spatial.within(own, surface, float(most) + slack, ("x", "y"), ("px", "py"), same=("primary",)).filter(F.col("distance") <= F.col("reach") + slack)
+    chosen = near.groupBy("junction", "spline", "along").agg(F.min_by(F.struct("p", "reach", "_from", "x", "y", "nx", "ny", "width"), F.struct("distance", "p_along")).alias("n")).select("junction", "spline", "along", "n.*")
+
+    def on_surface(x, y):
+        dx, dy = x - F.col("p.x"), y - F.col("p.y")
+        across, ahead = dx * F.col("p.nx") + dy * F.col("p.ny"), dx * F.col("p.tx") + dy * F.col("p.ty")
+        return F.col("p.target") + F.when(F.abs("p.bank") > 0.0001, across * F.sin("p.bank")).otherwise(0.0) + F.when(F.abs("p.slope") > 0.0001, ahead * F.col("p.slope")).otherwise(0.0)
+
+    half = F.col("width") / 2
+    weight = F.when(F.col("_from") == 0, 1.0).otherwise(1 - blend(F.col("_from") / F.col("reach"), kind))
+    force = chosen.withColumn("_w", weight).filter(F.col("_w") > 0.001).select("spline", "along", F.struct("junction", F.col("_w").alias("w"), (F.col("_from") == 0).alias("end"), on_surface(F.col("x") - F.col("nx") * half, F.col("y") - F.col("ny") * half).alias("l"), on_surface(F.col("x") + F.col("nx") * half, F.col("y") + F.col("ny") * half).alias("r"), on_surface(F.col("x"), F.col("y")).alias("m")).alias("f"))
+    forces = force.groupBy("spline", "along").agg(F.array_sort(F.collect_list("f")).alias("_forces"))
+    lift = F.col("width") / 2 * F.sin("bank")
+    start = F.struct(F.col("target").cast("double").alias("m"), F.lit(None).cast("double").alias("l"), F.lit(None).cast("double").alias("r"))
+
+    def apply(state, f):
+        mix = lambda there, own: F.when(own.isNull() | f["end"], there).otherwise(there * f["w"] + own * (1 - f["w"]))
+        middle = F.when(f["end"], (f["l"] + f["r"]) / 2).otherwise(mix(f["m"], state["m"]))
+        return F.struct(middle.alias("m"), mix(f["l"], state["m"] - lift).alias("l"), mix(f["r"], state["m"] + lift).alias("r"))
+
+    done = sections.join(forces, ["spline", "along"], "left").withColumn("_s", F.when(F.col("_forces").isNotNull(), F.aggregate("_forces", start, apply)))
+    return done.withColumn("level", F.coalesce("_s.m", "target")).withColumn("left_edge", F.col("_s.l")).withColumn("right_edge", F.col("_s.r")).drop("_forces", "_s")
+
+
 def banking_roles(members: DataFrame, junction: str, road: str, priority: str, material: str) -> DataFrame:
     """(junction, road, role, leader): how a road is banked near a junction.
 

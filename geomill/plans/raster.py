@@ -249,3 +249,35 @@ def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def world_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     wx, wy = raster.to_world("l_quantity", "l_extendedprice", 1024, 2.0)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", wx.alias("wx"), wy.alias("wy"))
+
+
+_BIG = "b AS (SELECT x, y, coalesce(v, 25.0) AS v FROM (SELECT x, y FROM range(0, 96) a(x), range(0, 80) c(y)) LEFT JOIN (SELECT l_orderkey % 96 AS x, l_partkey % 80 AS y, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2) USING (x, y))"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items averaged over 96 x 80 cells, 25 where there are none."""
+    lines = table(spark, sf_dir, "lineitem")
+    own = lines.groupBy((F.col("l_orderkey") % 96).alias("x"), (F.col("l_partkey") % 80).alias("y")).agg(F.avg("l_quantity").alias("v"))
+    grid = spark.range(96 * 80).select((F.col("id") % 96).alias("x"), F.floor(F.col("id") / 96).alias("y"))
+    return grid.join(own, ["x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(25.0)))
+
+
+def _tap(axis: str, size: int, target: int) -> str:
+    """(i, j, w): what source place j weighs for target place i along an axis."""
+    ratio = size / target
+    return f"""{axis} AS (SELECT i, j, CASE WHEN d <= 1 THEN 1.5 * d**3 - 2.5 * d**2 + 1 ELSE -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 END AS w
+    FROM (SELECT i, j, abs(j - ((i + 0.5) * {ratio!r} - 0.5)) / {max(ratio, 1.0)!r} AS d FROM range(0, {target}) a(i), range(0, {size}) b(j)) WHERE d < 2)"""
+
+
+@query(f"WITH {_BIG}, {_tap('tx', 96, 150)}, {_tap('ty', 80, 60)} SELECT tx.i AS x, ty.i AS y, round(sum(tx.w * ty.w * v) / sum(tx.w * ty.w), 6) AS v FROM b JOIN tx ON tx.j = b.x JOIN ty ON ty.j = b.y GROUP BY 1, 2")
+def resized_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.resize(_whole(spark, sf_dir), "v", (96, 80), (150, 60)).select("x", "y", F.round("v", 6).alias("v"))
+
+
+@query()
+def repaired_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single quantities as heights, of which the highest and the lowest count as spikes, side by side in places."""
+    lines = table(spark, sf_dir, "lineitem")
+    cells = lines.groupBy(F.floor(F.col("l_orderkey") / 64).alias("y"), (F.col("l_orderkey") % 64).alias("x")).agg(F.max_by("l_quantity", F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("q"))
+    heights = cells.select("x", "y", F.when(F.col("q") < 2, -1.0).otherwise(F.col("q").cast("double")).alias("v"))
+    return raster.repair_in_scan_order(heights, "v", 50.0).select("x", "y", F.round("repaired", 9).alias("repaired"), "is_spike")

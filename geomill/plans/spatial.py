@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomill.operators import spatial
+from geomill.operators import projection, spatial
 from geomill.plans.registry import query
 from geomill.session import table
 
@@ -239,3 +239,28 @@ def features_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spline_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parameters = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_acctbal").alias("width"))
     return spatial.with_parameters(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", parameters)
+
+
+def _series(c: list[float], form: str) -> str:
+    return " + ".join(f"{v!r} * {form.format(k=2 * j)}" for j, v in enumerate(c, 1))
+
+
+def _utm_sql() -> str:
+    zone = projection.zone_of(25832)
+    e, a = zone.ellipsoid.e, zone.scale * zone.ellipsoid.radius
+    fore = [v for v in projection._forward(zone.ellipsoid.n)]
+    return f"""WITH g AS (SELECT c_custkey, 6 + c_custkey % 600 / 100.0 AS lon, 47 + c_acctbal / 1000 AS lat FROM customer),
+    t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {e!r} * atanh({e!r} * sin(radians(lat)))) AS t, radians(lon - 9) AS d FROM g),
+    q AS (SELECT *, atan2(t, cos(d)) AS p, atanh(sin(d) / sqrt(1 + t * t)) AS q FROM t)
+    SELECT c_custkey, round(500000 + {a!r} * (q + {_series(fore, 'cos({k} * p) * sinh({k} * q)')}), 5) AS x, round({a!r} * (p + {_series(fore, 'sin({k} * p) * cosh({k} * q)')}), 5) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM q"""
+
+
+@query(_utm_sql())
+def zone_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as places in zone 32, there and back."""
+    zone = projection.zone_of(25832)
+    c = table(spark, sf_dir, "customer").select("c_custkey", (6 + F.col("c_custkey") % 600 / 100.0).alias("lon"), (47 + F.col("c_acctbal").cast("double") / 1000).alias("lat"))
+    x, y = projection.to_plane("lon", "lat", zone)
+    there = c.select("c_custkey", x.alias("x"), y.alias("y"))
+    lon, lat = projection.to_degrees("x", "y", zone)
+    return there.select("c_custkey", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))

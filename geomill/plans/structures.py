@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geomill.operators import structures
@@ -128,3 +128,19 @@ def merged_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     curves = table(spark, sf_dir, "embeddings").select("vec_id", F.array(at(0), at(2), at(4)).alias("line"))
     mask = _points(spark, sf_dir).select(F.floor(F.col("x") * 100).alias("x"), F.floor(F.col("y") * 100).alias("y"))
     return structures.merged_curves(curves, "vec_id", "line", 2.0, 45.0, mask)
+
+
+@query()
+def edge_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of five lines or more as roads through their block's place; each ends at the first order of its block."""
+    lines = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    block = F.floor(F.col("l_orderkey") / 32)
+    turn = F.col("l_orderkey") % 32 * 0.19634954084936207
+    rows = lines.withColumn("along", (F.row_number().over(w) - 1) * 4.0)
+    sections = rows.select(F.col("l_orderkey").alias("spline"), "along", (block * 1000.0 + F.cos(turn) * (F.col("along") + 1)).alias("x"), (F.sin(turn) * (F.col("along") + 1)).alias("y"), F.sin(turn).alias("nx"), (-F.cos(turn)).alias("ny"), F.cos(turn).alias("tx"), F.sin(turn).alias("ty"), F.col("l_quantity").cast("double").alias("target"), ((F.col("l_discount") - 0.05) * 1.0).cast("double").alias("bank"), F.lit(6.0).alias("width"))
+    roads = lines.select("l_orderkey", block.alias("block")).distinct()
+    first = roads.groupBy("block").agg(F.min("l_orderkey").alias("primary"))
+    junctions = roads.join(first, "block").filter("l_orderkey <> primary").select(F.col("l_orderkey").alias("junction"), F.col("l_orderkey").alias("road"), F.lit(True).alias("at_start"), "primary", F.lit(10.0).alias("reach"))
+    found = structures.edge_constraints(sections, junctions).filter("left_edge IS NOT NULL")
+    return found.select("spline", "along", *[F.round(c, 9).alias(c) for c in ("level", "left_edge", "right_edge")])

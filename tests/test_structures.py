@@ -109,3 +109,55 @@ def test_curves_merge_along_the_mask_alone(spark):
     got = structures.merged_curves(curves, "id", "line", 2.5, 30.0, mask).collect()
     assert [(r.a, r.a_tip, r.b, r.b_tip) for r in got] == [(1, "e", 2, "s")]
     assert structures.merged_curves(curves.limit(0), "id", "line", 2.5, 30.0, mask).count() == 0
+
+
+def surface(p, slope, x, y):
+    dx, dy = x - p["x"], y - p["y"]
+    lift = (dx * p["nx"] + dy * p["ny"]) * math.sin(p["bank"]) if abs(p["bank"]) > 0.0001 else 0.0
+    rise = (dx * p["tx"] + dy * p["ty"]) * slope if abs(slope) > 0.0001 else 0.0
+    return p["target"] + lift + rise
+
+
+def test_edge_constraints_equal_a_scalar_version(spark):
+    rng = random.Random(9)
+    columns = ("spline", "along", "x", "y", "nx", "ny", "tx", "ty", "target", "bank", "width")
+    rows = []
+    for spline, (x0, y0, turn, n) in enumerate([(0, 0, 0.1, 60), (30, 2, 1.4, 25), (60, 30, 3.5, 40), (10, 3, 1.6, 8)]):
+        for i in range(n):
+            t = turn + 0.01 * i
+            rows.append(dict(zip(columns, (spline, 1.5 * i, x0 + 1.5 * i * math.cos(turn), y0 + 1.5 * i * math.sin(turn), math.sin(t), -math.cos(t), math.cos(t), math.sin(t), 100 + rng.uniform(-1, 1) + 0.05 * i, rng.choice([0.0, 0.05, -0.08]), 6.0))))
+    junctions = [(1, 1, True, 0, 12.0), (2, 2, False, 0, 20.0), (3, 3, True, 0, 9.0), (4, 3, False, 1, 9.0)]
+    by = {s: [r for r in rows if r["spline"] == s] for s in range(4)}
+    want = {(r["spline"], r["along"]): [r["target"], None, None] for r in rows}
+    for _, road, at_start, primary, reach in junctions:
+        own, other = by[road], by[primary]
+        for r in own:
+            away = r["along"] if at_start else own[-1]["along"] - r["along"]
+            if away >= reach:
+                continue
+            j = min(range(len(other)), key=lambda k: (math.hypot(other[k]["x"] - r["x"], other[k]["y"] - r["y"]), k))
+            p = other[j]
+            if math.hypot(p["x"] - r["x"], p["y"] - r["y"]) > reach + 20:
+                continue
+            a, b = other[max(0, j - 3)], other[min(len(other) - 1, j + 3)]
+            run = math.hypot(b["x"] - a["x"], b["y"] - a["y"])
+            slope = (b["target"] - a["target"]) / run if run >= 0.1 else 0.0
+            h = r["width"] / 2
+            left, right, middle = (surface(p, slope, r["x"] + k * r["nx"] * h, r["y"] + k * r["ny"] * h) for k in (-1, 1, 0))
+            state = want[road, r["along"]]
+            if away == 0:
+                state[:] = [(left + right) / 2, left, right]
+                continue
+            w = 1 - (1 - math.cos(math.pi * away / reach)) / 2
+            if w > 0.001:
+                lift = h * math.sin(r["bank"])
+                m = state[0]
+                state[:] = [middle * w + m * (1 - w), left * w + (m - lift) * (1 - w), right * w + (m + lift) * (1 - w)]
+    sections = spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], "spline long, along double, x double, y double, nx double, ny double, tx double, ty double, target double, bank double, width double").repartition(3)
+    made = spark.createDataFrame(junctions, "junction long, road long, at_start boolean, primary long, reach double")
+    got = {(r.spline, r.along): (r.level, r.left_edge, r.right_edge) for r in structures.edge_constraints(sections, made).collect()}
+    assert set(got) == set(want) and sum(v[1] is not None for v in want.values()) > 25
+    for k, v in want.items():
+        for a, b in zip(got[k], v):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)
+    assert structures.edge_constraints(sections, made.limit(0)).filter("level = target AND left_edge IS NULL").count() == len(rows)
