@@ -30,25 +30,43 @@ def equal_priority_levels(members: DataFrame, junction: str, road: str, value: s
 
     Two roads: their mean if the shorter is over 0.8 of the longer, else the
     longer's.  More: the mean of the two whose directions (degrees) are furthest
-    apart, if by ``aligned`` or more, else the mean by length.  Each road meets
-    only the others of its junction.
+    apart, if by ``aligned`` or more, else the mean by length.
     """
     base = members.select(junction, road, value, length, angle)
     w = W.partitionBy(junction)
     ranked = base.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc(length), road)))
     pick = lambda rank, column: F.max(F.when(F.col("_r") == rank, F.col(column)))
     simple = ranked.groupBy(junction).agg(F.max("_n").alias("n"), pick(1, value).alias("v1"), pick(2, value).alias("v2"), pick(1, length).alias("l1"), pick(2, length).alias("l2"), weighted_mean(value, length).alias("by_length"))
-    a = base.select(junction, F.col(road).alias("a"), F.col(value).alias("va"), F.col(angle).alias("ga"))
-    b = base.select(junction, F.col(road).alias("b"), F.col(value).alias("vb"), F.col(angle).alias("gb"))
-    turn = F.abs(F.col("ga") - F.col("gb")) % 360
-    apart = F.when(turn > 180, 360 - turn).otherwise(turn)
-    pairs = a.join(b, junction).filter("a < b").withColumn("apart", apart).filter(F.col("apart") >= aligned)
-    best = pairs.groupBy(junction).agg(F.max_by((F.col("va") + F.col("vb")) / 2, F.struct("apart", -F.col("a"), -F.col("b"))).alias("pair"))
+    best = _furthest_pair(base, junction, road, value, angle, aligned)
     two = F.when(F.col("l2") > 0.8 * F.col("l1"), (F.col("v1") + F.col("v2")) / 2).otherwise(F.col("v1"))
     level = F.when(F.col("n") == 1, F.col("v1")).when(F.col("n") == 2, two).otherwise(F.coalesce("pair", "by_length"))
     return simple.join(best, junction, "left").select(junction, level.alias("level"))
 
 
+def _furthest_pair(roads: DataFrame, junction: str, road: str, value: str, angle: str, aligned: float) -> DataFrame:
+    """(junction, pair): the mean value of the two roads whose directions are furthest apart, the first of equal ones.
+
+    Directions lie in a circle, so the road furthest from one is a neighbour,
+    in their order, of the direction opposite to it: no road meets all others.
+    """
+    turn = F.pmod(F.col(angle).cast("double"), F.lit(360.0))
+    own = roads.filter(F.col(angle).isNotNull()).groupBy(junction, turn.alias("_at")).agg(F.min(F.struct(F.col(road).alias("r"), F.col(angle).alias("g"), F.col(value).alias("v"))).alias("_o"))
+    asked = own.select(junction, F.pmod(F.col("_at") + 180, F.lit(360.0)).alias("_at"), F.lit(None).cast(own.schema["_o"].dataType).alias("_o"), F.col("_o").alias("_q"))
+    both = own.withColumn("_q", F.lit(None).cast(own.schema["_o"].dataType)).select(junction, "_at", "_o", "_q").union(asked)
+    before = W.partitionBy(junction).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(junction).orderBy("_at").rangeBetween(0, W.unboundedFollowing)
+    near = [F.last("_o", ignorenulls=True).over(before), F.first("_o", ignorenulls=True).over(after)]
+    w = W.partitionBy(junction)
+    ends = [F.max(F.when(F.col("_o").isNotNull(), F.struct("_at", "_o"))).over(w)["_o"], F.min(F.when(F.col("_o").isNotNull(), F.struct("_at", "_o"))).over(w)["_o"]]
+    both = both.withColumn("_lo", F.coalesce(near[0], ends[0])).withColumn("_hi", F.coalesce(near[1], ends[1]))
+    met = both.withColumn("_p", F.explode(F.array("_lo", "_hi"))).filter(F.col("_q").isNotNull() & (F.col("_q.r") != F.col("_p.r")))
+    first, second = F.least("_q", "_p"), F.greatest("_q", "_p")
+    raw = F.abs(first["g"] - second["g"]) % 360
+    apart = F.when(raw > 180, 360 - raw).otherwise(raw)
+    pairs = met.select(junction, apart.alias("apart"), first.alias("a"), second.alias("b")).filter(F.col("apart") >= aligned)
+    return pairs.groupBy(junction).agg(F.max_by((F.col("a.v") + F.col("b.v")) / 2, F.struct("apart", -F.col("a.r"), -F.col("b.r"))).alias("pair"))
+
+
 def t_junction_levels(members: DataFrame, junction: str, road: str, value: str, priority: str, through: str, close: float = 0.5) -> DataFrame:
     """(junction, level): the through road of highest priority; where the ending roads' mean by priority is within ``close``, the mean of all."""
     top = F.max_by(F.when(F.col(through), F.col(value)), F.when(F.col(through) & F.col(value).isNotNull(), F.struct(priority, -F.col(road))))

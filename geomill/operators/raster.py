@@ -188,31 +188,44 @@ def resize(rows: DataFrame, value: str, size: tuple[int, int], target: tuple[int
     return sent.groupBy("tx", "ty").applyInArrow(run, f"x long, y long, `{value}` double")
 
 
-def _envelope(at: np.ndarray, cost: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """min over i of cost[i] + (where - at[i])^2 by the lower envelope of parabolas; ``at`` ascends."""
-    v = np.zeros(len(at), np.int64)
-    z = np.empty(len(at) + 1)
-    k, z[0], z[1] = 0, -np.inf, np.inf
-    for i in range(1, len(at)):
-        while True:
-            j = v[k]
-            s = ((cost[i] + at[i] ** 2) - (cost[j] + at[j] ** 2)) / (2.0 * (at[i] - at[j]))
-            if s > z[k]:
-                break
-            k -= 1
+#: Lines of a raster whose distances one task works out together.
+BAND = 64
+
+
+def _envelopes(at: np.ndarray, cost: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """min over i of cost[r, i] + (where - at[i])^2 for every row r, by lower envelopes of parabolas, all rows at once; ``at`` and ``where`` ascend."""
+    rows, many = cost.shape
+    r = np.arange(rows)
+    v, z, k = np.zeros((rows, many), np.int64), np.full((rows, many + 1), np.inf), np.zeros(rows, np.int64)
+    z[:, 0] = -np.inf
+    height = cost + at * at
+    for i in range(1, many):
+        todo, s = r, np.empty(rows)
+        while len(todo):
+            j = v[todo, k[todo]]
+            s[todo] = (height[todo, i] - height[todo, j]) / (2.0 * (at[i] - at[j]))
+            todo = todo[s[todo] <= z[todo, k[todo]]]
+            k[todo] -= 1
         k += 1
-        v[k], z[k], z[k + 1] = i, s, np.inf
-    own = v[np.searchsorted(z[1 : k + 1], where, side="left")]
-    return cost[own] + (where - at[own]) ** 2
+        v[r, k], z[r, k] = i, s
+        z[r, np.minimum(k + 1, many)] = np.inf
+    out, now = np.empty((rows, len(where))), np.zeros(rows, np.int64)
+    for q, x in enumerate(where):
+        todo = r
+        while len(todo := todo[(now[todo] < k[todo]) & (z[todo, now[todo] + 1] < x)]):
+            now[todo] += 1
+        own = v[r, now]
+        out[:, q] = cost[r, own] + (x - at[own]) ** 2
+    return out
 
 
 def distance_field(rows: DataFrame, mask: str, metres: float = 1.0) -> DataFrame:
     """(x, y, distance) of each pixel to the nearest where ``mask`` holds; null if there is none.
 
-    One pass over each column, one over each row; a group is one line of the
-    raster.  The first pass also fills the holes of a column that has a masked
-    pixel, so that the second sees it from every row; the lines of the raster,
-    a number each, are known to all tasks.
+    One pass down the columns, one across the rows, ``BAND`` of which a task
+    works out together.  The first pass also fills the holes of a column that
+    has a masked pixel, so that the second sees it from every row; the lines of
+    the raster, a number each, are known to all tasks.
     """
     own = rows.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(mask).alias("on"))
     lines = np.sort(own.select("y").distinct().toPandas()["y"].to_numpy(float))  # one number a line
@@ -224,15 +237,22 @@ def distance_field(rows: DataFrame, mask: str, metres: float = 1.0) -> DataFrame
         d = np.abs(_nearest(np.sort(y[on]), lines) - lines) ** 2
         return pd.DataFrame({"x": pdf["x"].iloc[0], "y": lines.astype(np.int64), "d": d, "there": np.isin(lines, y)})
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        x, d, there = pdf["x"].to_numpy(float), pdf["d"].to_numpy(float), pdf["there"].to_numpy(bool)
-        ok = ~np.isnan(d)
-        out = np.full(len(x), np.nan) if not ok.any() else np.sqrt(_envelope(x[ok], d[ok], x)) * metres
-        return pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "distance": out})[there]
+    def across(t: pa.Table) -> pa.Table:
+        x, y, d, there = (t.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "d", "there"))
+        (xs, col), (ys, row) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+        known = ~np.isnan(d)
+        at, place = np.unique(x[known], return_inverse=True)
+        out = np.full((len(ys), len(xs)), np.nan)
+        if len(at):  # a column with a masked pixel is known in every row
+            cost = np.empty((len(ys), len(at)))
+            cost[row[known], place] = d[known]
+            out = np.sqrt(_envelopes(at.astype(float), cost, xs.astype(float))) * metres
+        there = there.astype(bool)
+        return pa.table({"x": x[there], "y": y[there], "distance": out[row, col][there]})
 
     columns = own.groupBy("x").applyInPandas(down, "x long, y long, d double, there boolean")
-    return columns.groupBy("y").applyInPandas(across, "x long, y long, distance double").withColumn("distance", F.nanvl("distance", F.lit(None)))
+    bands = columns.groupBy(F.floor(F.col("y") / BAND).alias("_band"))
+    return bands.applyInArrow(across, "x long, y long, distance double").withColumn("distance", F.nanvl("distance", F.lit(None)))
 
 
 def _nearest(sorted_: np.ndarray, where: np.ndarray) -> np.ndarray:

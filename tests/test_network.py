@@ -55,3 +55,22 @@ def test_levels_pass_over_missing_values(spark):
     assert level(network.t_junction_levels(df, "j", "road", "v", "p", "through"))[1] == 10.0
     flat = network.plateaus(df.withColumn("r", F.lit(5.0)), "j", "v", "p", "d", "r", 1.0).filter("j = 1 AND road = 2").first().flat
     assert flat == 10.0
+
+
+def test_equal_roads_take_the_two_furthest_apart(spark):
+    rng = random.Random(6)
+    rows = [(j, r, rng.uniform(0, 50), 10.0 + r % 3, float(rng.choice([rng.randrange(360), rng.randrange(0, 360, 45), rng.randrange(-720, 720, 90)]))) for j in range(60) for r in range(rng.randrange(3, 9))]
+    rows += [(99, r, float(r), 1.0, 180.0 * (r % 2)) for r in range(500)]
+    df = spark.createDataFrame(rows, "j long, road long, v double, len double, g double")
+    got = {r.j: r.level for r in network.equal_priority_levels(df, "j", "road", "v", "len", "g").collect()}
+    for j in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == j]
+        pairs = []
+        for a in own:
+            for b in own:
+                turn = abs(a[4] - b[4]) % 360
+                turn = 360 - turn if turn > 180 else turn
+                if a[1] < b[1] and turn >= 140:
+                    pairs.append((turn, -a[1], -b[1], (a[2] + b[2]) / 2))
+        want = max(pairs)[3] if pairs else sum(r[2] * r[3] for r in own) / sum(r[3] for r in own)
+        assert abs(got[j] - want) < 1e-9
