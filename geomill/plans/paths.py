@@ -51,7 +51,11 @@ def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.joined_paths(lines, "vec_id", "line", 0.05)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS id, floor(c_acctbal) AS x, c_custkey % 100 AS y FROM customer), o AS (SELECT * FROM c WHERE id % 3 = 0), p AS (SELECT id, x + 1.5 AS px, y + 1.5 AS py FROM c WHERE id % 3 > 0),
+    g AS (SELECT p.id, min(o.id) AS building FROM p JOIN o ON px >= x AND px < x + 25 AND py >= y AND py < y + 25 GROUP BY 1), s AS (SELECT building, 9.0 * count(*) AS covered FROM g GROUP BY 1)
+    SELECT id, id AS building, false AS is_part FROM o LEFT JOIN s ON id = building WHERE coalesce(covered, 0) < 0.9 * 625 UNION ALL SELECT id, building, true FROM g UNION ALL SELECT id, id, true FROM p WHERE id NOT IN (SELECT id FROM g)"""
+)
 def building_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, x = F.col("c_custkey"), F.floor("c_acctbal")
     box = lambda w: F.array(*[F.struct((x + i * w).cast("double").alias("x"), (k % 100 + j * w).cast("double").alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])

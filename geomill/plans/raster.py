@@ -151,7 +151,13 @@ def bilinear_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.bilinear(points, "px", "py", _heights(spark, sf_dir), "v").select("c_custkey", F.round("sampled", 6).alias("sampled"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS k FROM customer), v AS (SELECT k, i, 32 + (k % 25 + 3) * cos(i * 1.0472 + k) AS x, 32 + (k % 25 + 3) * sin(i * 1.0472 + k) AS y FROM c, range(0, 6) r(i)),
+    e AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.k = b.k AND b.i = (a.i + 1) % 6),
+    h AS (SELECT k, row, x1 + (row + 0.5 - y1) / (y2 - y1) * (x2 - x1) AS hit FROM e, range(0, 64) r(row) WHERE (y1 <= row + 0.5) <> (y2 <= row + 0.5)),
+    p AS (SELECT k, row, x FROM h, range(0, 64) t(x) WHERE hit <= x + 0.5 GROUP BY k, row, x HAVING count(*) % 2 = 1)
+    SELECT k AS c_custkey, count(*) AS n FROM p GROUP BY 1"""
+)
 def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     turn = lambda f, r: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: 32 + (k % 25 + r) * f(i * 1.0472 + k))

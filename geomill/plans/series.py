@@ -174,7 +174,12 @@ def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.keep_points(_points(spark, sf_dir), "x", "y", KEY, ORDER, "simplify", 150.0).select("o_custkey", "o_orderkey")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE p AS (SELECT o_custkey, o_orderkey, x, y, row_number() OVER ({_W}) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM ({_XY})),
+    t AS (SELECT o_custkey, o_orderkey, i, n, x AS lx, y AS ly, true AS kept FROM p WHERE i = 1
+    UNION ALL SELECT p.o_custkey, p.o_orderkey, p.i, p.n, CASE WHEN sqrt((x - lx)**2 + (y - ly)**2) >= 400 THEN x ELSE lx END, CASE WHEN sqrt((x - lx)**2 + (y - ly)**2) >= 400 THEN y ELSE ly END, sqrt((x - lx)**2 + (y - ly)**2) >= 400 OR p.i = p.n FROM t JOIN p ON p.o_custkey = t.o_custkey AND p.i = t.i + 1)
+    SELECT o_custkey, o_orderkey FROM t WHERE kept"""
+)
 def thinned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.keep_points(_points(spark, sf_dir), "x", "y", KEY, ORDER, "thin", 400.0).select("o_custkey", "o_orderkey")
 

@@ -200,7 +200,7 @@ def longest_off_ring_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.longest_run(table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 30), ["user_id"], "event_id", "ok")
 
 
-@query()
+@query("SELECT label, CAST(0 AS INT) AS ring, CAST(count(*) + 1 AS INT) AS n FROM embeddings GROUP BY 1 HAVING count(*) >= 2")
 def assembled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's points by angle as a ring, cut into segments and put together again."""
     from pyspark.sql import Window as W
@@ -214,7 +214,20 @@ def assembled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.relation_rings(segments, "label", "o", "xs", "ys").select("label", "ring", F.size("xs").alias("n"))
 
 
-@query()
+def _edge(d: str, a: str, enters: bool) -> str:
+    """How far along a step of ``d`` from ``a`` it enters or leaves the strip from 0 to 0.2; a step along the strip does so everywhere or never."""
+    near, far = ("0", "0.2") if enters else ("0.2", "0")
+    return f"CASE WHEN abs({d}) < 1e-12 THEN CASE WHEN {a} >= 0 AND {a} <= 0.2 THEN {0 if enters else 1} ELSE {2 if enters else -1} END WHEN {d} > 0 THEN ({near} - {a}) / {d} ELSE ({far} - {a}) / {d} END"
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id, i, CAST(embedding[2 * i - 1] AS DOUBLE) + 0.1 AS x, CAST(embedding[2 * i] AS DOUBLE) + 0.1 AS y FROM embeddings, range(1, 9) r(i)),
+    s AS (SELECT a.vec_id, a.i, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = a.i + 1),
+    t AS (SELECT *, greatest(0, {_edge('dx', 'ax', True)}, {_edge('dy', 'ay', True)}) AS t0, least(1, {_edge('dx', 'ax', False)}, {_edge('dy', 'ay', False)}) AS t1 FROM s),
+    o AS (SELECT vec_id, 2 * i + k AS o, ax + CASE k WHEN 0 THEN t0 ELSE t1 END * dx AS x, ay + CASE k WHEN 0 THEN t0 ELSE t1 END * dy AS y FROM t, range(0, 2) r(k) WHERE t0 <= t1),
+    m AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM o WINDOW w AS (PARTITION BY vec_id ORDER BY o))
+    SELECT vec_id, CAST(count(*) AS INT) AS n FROM m WHERE lx IS NULL OR sqrt((x - lx)**2 + (y - ly)**2) > 1e-9 GROUP BY 1 HAVING count(*) > 1"""
+)
 def clipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir).select("vec_id", F.transform("line", lambda p: p.x + 0.1).alias("xs"), F.transform("line", lambda p: p.y + 0.1).alias("ys"))
     return spatial.clip_lines(lines, "vec_id", "xs", "ys", 0.2).select("vec_id", F.size("xs").alias("n"))
