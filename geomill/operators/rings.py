@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.operators.graph import connected_components
+from geomill.operators.series import OTHER_PRIORITY, ROAD_PRIORITY, lookup
 from geomill.operators.spatial import DEGREE_METRES
 from geomill.operators.splines import clip_to_square, flat, spline_samples, without_repeats
 
@@ -19,6 +20,12 @@ from geomill.operators.splines import clip_to_square, flat, spline_samples, with
 SAME_PLACE = 1e-6
 #: Fixed value: metres in a degree of latitude, as rings are measured.
 RING_DEGREE = 110_574.0
+#: Road classes that may be stubs at a ring, that are no road a stub belongs to, and that count as any other class there.
+STUBS = ("cycleway", "footway", "path")
+NO_PARENTS = (*STUBS, "steps", "bridleway", "pedestrian")
+UNRANKED = ("busway", "raceway", "proposed")
+#: Longest stub, in metres.
+STUB_LENGTH = 100.0
 #: Side of the grid cells over which rings are spread, in degrees.
 RING_CELL = 0.001
 
@@ -220,6 +227,67 @@ def trimmed(ways: DataFrame, plan: DataFrame) -> DataFrame:
     return own.withColumns({c: cut(c) for c in ("lons", "lats", "nodes")}).select(ways.columns)
 
 
+def _length(ways: DataFrame) -> DataFrame:
+    """(way, metres) of lines of longitudes and latitudes."""
+    p = F.arrays_zip("lons", "lats")
+
+    def step(a, b):
+        wide = DEGREE_METRES * F.cos(F.radians((a.lats + b.lats) / 2))
+        return F.sqrt(F.pow((b.lons - a.lons) * wide, 2) + F.pow((b.lats - a.lats) * RING_DEGREE, 2))
+
+    steps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size("lons") - 1, F.lit(0))), lambda a, b: F.coalesce(step(a, b), F.lit(0.0)))
+    return ways.select("way", F.aggregate(steps, F.lit(0.0), lambda s, d: s + d).alias("metres"))
+
+
+def stub_parents(ways: DataFrame, found: DataFrame) -> DataFrame:
+    """(ring, node, stubs, parent, at_start, lon, lat, ring_node): short paths from a ring to the end of a road, and where that road meets the ring instead.
+
+    Stubs are cycleways, footways and paths of up to ``STUB_LENGTH`` metres of
+    which one end alone is a node of the ring; those that leave for the same
+    ``node`` are one group.  Its parent is the road of the highest class that
+    ends there, the first of equal ones.  One stub gives its own place on the
+    ring, several the ring's point nearest to their mean direction.  Groups
+    without a parent have no row.
+    """
+    roads = ways.filter(F.col("highway").isNotNull() & (F.size("nodes") >= 2) & ~is_ring())
+    end = lambda tip, i, j: F.struct(F.lit(tip).alias("start"), F.element_at("nodes", i).alias("node"), F.element_at("nodes", j).alias("other"), F.element_at("lons", i).alias("x"), F.element_at("lats", i).alias("y"))
+    tips = roads.select("way", "ord", F.lower("highway").alias("kind"), F.explode(F.array(end(True, 1, -1), end(False, -1, 1))).alias("t")).select("way", "ord", "kind", "t.*")
+    nodes = found.select("ring", F.explode("ways").alias("way")).join(ways.select("way", F.arrays_zip("nodes", "lons", "lats").alias("p")), "way").select("ring", F.explode("p").alias("p"))
+    nodes = nodes.select("ring", F.col("p.nodes").alias("node"), F.col("p.lons").alias("x"), F.col("p.lats").alias("y"))
+    short = tips.filter(F.col("kind").isin(*STUBS)).join(_length(roads.filter(F.lower("highway").isin(*STUBS))).filter(F.col("metres") <= STUB_LENGTH), "way")
+    touching = short.join(nodes.select("ring", "node").distinct(), "node").groupBy("ring", "way").agg(F.count("*").alias("n"), F.first(F.struct("node", "other", "x", "y")).alias("t")).filter("n = 1")
+    centre = found.select("ring", F.col("lon").alias("cx"), F.col("lat").alias("cy"), F.arrays_zip("lons", "lats").alias("_p"))
+    stubs = touching.select("ring", "way", F.col("t.node").alias("ring_node"), F.col("t.other").alias("node"), F.col("t.x").alias("x"), F.col("t.y").alias("y")).join(centre.drop("_p"), "ring")
+    turn = F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))
+    groups = stubs.groupBy("ring", "node").agg(F.sort_array(F.collect_set("way")).alias("stubs"), F.count("*").alias("n"), F.first(F.struct("x", "y", "ring_node")).alias("one"), F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))).alias("mean"))
+    rank = F.when(F.col("kind").isin(*UNRANKED), OTHER_PRIORITY).otherwise(lookup(ROAD_PRIORITY, F.col("kind"), OTHER_PRIORITY))
+    able = groups.select("ring", "node", "stubs").join(tips.filter(~F.col("kind").isin(*NO_PARENTS)).withColumn("rank", rank), "node").filter(~F.array_contains("stubs", F.col("way")))
+    parents = able.groupBy("ring", "node").agg(F.min(F.struct((-F.col("rank")).alias("r"), "ord", (~F.col("start")).alias("e"), "way")).alias("p")).select("ring", "node", F.col("p.way").alias("parent"), (~F.col("p.e")).alias("at_start"))
+    met = groups.join(parents, ["ring", "node"]).join(centre, "ring")
+    apart = lambda p: F.abs(F.atan2(F.sin(F.atan2(p.lats - F.col("cy"), p.lons - F.col("cx")) - F.col("mean")), F.cos(F.atan2(p.lats - F.col("cy"), p.lons - F.col("cx")) - F.col("mean"))))
+    best = F.array_min(F.transform("_p", lambda p, i: F.struct(F.round(apart(p), 12).alias("d"), i.alias("i"))))["i"]
+    met = met.withColumn("_b", F.get("_p", best))
+    met = met.select("ring", "node", "stubs", "parent", "at_start", F.when(F.col("n") == 1, F.col("one.x")).otherwise(F.col("_b.lons")).alias("lon"), F.when(F.col("n") == 1, F.col("one.y")).otherwise(F.col("_b.lats")).alias("lat"), F.when(F.col("n") == 1, F.col("one.ring_node")).alias("_own"))
+    at = nodes.withColumns(_rounded("x", "y")).groupBy("ring", "kx", "ky").agg(F.min("node").alias("_there"))
+    placed = met.withColumns(_rounded("lon", "lat")).join(at, ["ring", "kx", "ky"], "left")
+    return placed.select("ring", "node", "stubs", "parent", "at_start", "lon", "lat", F.coalesce("_own", "_there", F.lit(-1)).alias("ring_node"))
+
+
+def without_stubs(ways: DataFrame, plan: DataFrame) -> DataFrame:
+    """``ways`` without the stubs of ``stub_parents`` and with their parents led on to the ring; several extensions of one end follow each other by ring and node."""
+    gone = plan.select(F.explode("stubs").alias("way")).distinct()
+    more = plan.groupBy(F.col("parent").alias("way"), "at_start").agg(F.array_sort(F.collect_list(F.struct("ring", "node", "lon", "lat", "ring_node"))).alias("p"))
+    side = lambda start: more.filter("at_start" if start else "NOT at_start").select("way", F.col("p").alias("_head" if start else "_tail"))
+    own = ways.join(gone, "way", "left_anti").join(side(True), "way", "left").join(side(False), "way", "left")
+
+    def grown(column: str, field: str) -> Column:
+        part = lambda c: F.coalesce(F.transform(c, lambda q: q[field]), F.array().cast(ways.schema[column].dataType))
+        return F.concat(F.reverse(part("_head")), F.col(column), part("_tail"))
+
+    keep = (F.col("_head").isNull() & F.col("_tail").isNull())
+    return own.withColumns({c: F.when(keep, F.col(c)).otherwise(grown(c, f)) for c, f in (("lons", "lon"), ("lats", "lat"), ("nodes", "ring_node"))}).select(ways.columns)
+
+
 def ring_lines(found: DataFrame, box: tuple[float, float, float, float], size: int, pixel: float) -> DataFrame:
     """(ring, xs, ys): rings in metres on a square terrain, cut at its border, closed within a decimetre and without repeated points; those of less than four points go."""
     wide, high = box[2] - box[0], box[3] - box[1]

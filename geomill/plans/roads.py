@@ -139,3 +139,11 @@ def trimmed_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ring_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = rings.ring_splines(rings.rings(_ways(spark, sf_dir)), BOX, SIZE, PIXEL, 5.0)
     return samples.groupBy("ring").agg(F.count("*").alias("n"), F.round(F.max("distance"), 6).alias("length"))
+
+
+@query()
+def stub_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-noded one-way orders as cycleways: those that end at a roundabout, and the roads that take their place."""
+    ways = _ways(spark, sf_dir).withColumn("highway", F.when((F.col("oneway") == "yes") & (F.size("nodes") <= 3), "cycleway").otherwise(F.col("highway")))
+    plan = rings.stub_parents(ways, rings.rings(ways))
+    return plan.select("ring", "node", F.size("stubs").alias("n_stubs"), "parent", "at_start", "ring_node")

@@ -146,6 +146,34 @@ def test_ring_splines(spark):
     assert all(min(r.xs) >= 0 for r in small) and len(small) == 3
 
 
+def test_stubs_give_way_to_their_road(spark):
+    lon, lat, r = 9.0, 48.0, 20
+    circle = [at(lon, lat, r, 15 * k) for k in range(25)]
+    ring_nodes = [100 + k % 24 for k in range(25)]
+    gate = [at(lon, lat, 45, d) for d in (30, 120, 210, 300)]
+    far = [at(lon, lat, 90, d) for d in (30, 120, 210, 300)]
+
+    def way(i, points, nodes, highway, junction=None):
+        return (i, [i], [p[0] for p in points], [p[1] for p in points], nodes, highway, junction, None)
+
+    ways = [
+        way(1, circle, ring_nodes, "secondary", "roundabout"),
+        way(2, [circle[1], gate[0]], [101, 500], "cycleway"), way(3, [gate[0], circle[3]], [500, 103], "path"),  # two stubs of one road
+        way(4, [gate[0], far[0]], [500, 600], "tertiary"), way(5, [far[0], gate[0]], [600, 500], "service"),
+        way(6, [circle[8], gate[1]], [108, 501], "Footway"), way(7, [far[1], gate[1]], [601, 501], "residential"), way(8, [far[1], gate[1]], [601, 501], "residential"),
+        way(9, [circle[14], gate[2]], [114, 502], "path"),  # no road there
+        way(10, [circle[20], circle[22]], [120, 122], "footway"),  # both ends on the ring
+        way(11, [circle[20], at(lon, lat, 400, 300)], [120, 503], "footway"), way(12, [at(lon, lat, 400, 300), at(lon, lat, 500, 300)], [503, 603], "primary"),  # too long
+    ]
+    df = spark.createDataFrame(ways, WAY).repartition(3)
+    plan = rings.stub_parents(df, rings.rings(df)).persist()
+    got = {r.node: (list(r.stubs), r.parent, r.at_start, r.ring_node, (r.lon, r.lat)) for r in plan.collect()}
+    assert got == {500: ([2, 3], 4, True, 102, circle[2]), 501: ([6], 7, False, 108, circle[8])}
+    left = {r.way: r for r in rings.without_stubs(df, plan).collect()}
+    assert set(left) == {1, 4, 5, 7, 8, 9, 10, 11, 12}
+    assert left[4].nodes == [102, 500, 600] and (left[4].lons[0], left[4].lats[0]) == circle[2] and left[7].nodes == [601, 501, 108] and left[8].nodes == [601, 501]
+
+
 def test_odd_rings(spark):
     ways = [(1, [1], [9.0, 9.1], [48.0, 48.0], [1, 2], "residential", "roundabout", None), (2, [2], [9.3, 9.4, 9.4], [48.0, 48.0, 48.1], [3, 4, 5], None, "roundabout", None), (3, [3], [], [], [], "service", "roundabout", None)]
     got = rings.rings(spark.createDataFrame(ways, WAY)).collect()
