@@ -204,6 +204,8 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, most: int = 0)
 
 #: Rows of one cell that are compared in one task, and texts of a block of a region.
 CELL_ROWS, BLOCK_TEXTS = 4096, 256
+#: Candidates in a cell up to which a text is verified against each; one with more is compared with its whole region in blocks.
+MOST_CANDIDATES = 8
 
 
 def _cells(rows: DataFrame, probes: list[tuple[list[int], int]]) -> DataFrame:
@@ -451,7 +453,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     view = nodes.select("id", F.posexplode(F.array(*fps)).alias("kind", "fp")).withColumn("kind", F.col("kind").cast("long"))
     heads = cut(view.groupBy("kind", "fp").agg(F.min("id").alias("head")))
     probes = plan_probes(heads.filter("kind = 0"), distance)
-    links = cut(fingerprint_links(heads, distance, probes, most=24))
+    links = cut(fingerprint_links(heads, distance, probes, most=MOST_CANDIDATES))
     same = view.join(heads, ["kind", "fp"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     end = lambda p, q: heads.select("kind", F.col("fp").alias(p), F.col("head").alias(q))
     between = links.filter("a <> b").join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
