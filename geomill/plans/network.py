@@ -33,6 +33,23 @@ def crossing_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.crossing_levels(_members(spark, sf_dir), "l_orderkey", "v", "p").select("l_orderkey", F.round(F.col("level") + _OFF, 4).alias("level"))
 
 
+_GAPS = f"SELECT * REPLACE (CASE WHEN l_linenumber % 3 > 0 THEN v END AS v) FROM (SELECT m.*, row_number() OVER (PARTITION BY l_orderkey ORDER BY road) AS l_linenumber FROM ({_M}) m)"
+
+
+@query(
+    f"""SELECT l_orderkey, round(sum(v * p / (d + 0.1)) / sum(p / (d + 0.1)) FILTER (v IS NOT NULL) + {_OFF}, 4) AS junction, round(sum(v * p * p) / sum(p * p) FILTER (v IS NOT NULL) + {_OFF}, 4) AS crossing FROM ({_GAPS}) GROUP BY 1"""
+)
+def levels_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third road of a junction has no elevation."""
+    from pyspark.sql import Window as W
+
+    members = _members(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("l_orderkey").orderBy("road")))
+    gaps = members.withColumn("v", F.when(F.col("i") % 3 > 0, F.col("v")))
+    junction = network.junction_levels(gaps, "l_orderkey", "v", "p", "d").select("l_orderkey", F.round(F.col("level") + _OFF, 4).alias("junction"))
+    crossing = network.crossing_levels(gaps, "l_orderkey", "v", "p").select("l_orderkey", F.round(F.col("level") + _OFF, 4).alias("crossing"))
+    return junction.join(crossing, "l_orderkey")
+
+
 @query(
     f"""WITH m AS ({_M}), r AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY len DESC, road) AS r FROM m),
     s AS (SELECT l_orderkey, max(n) AS n, max(CASE WHEN r = 1 THEN v END) AS v1, max(CASE WHEN r = 2 THEN v END) AS v2, max(CASE WHEN r = 1 THEN len END) AS l1, max(CASE WHEN r = 2 THEN len END) AS l2, sum(v * len) / sum(len) AS bl FROM r GROUP BY 1),
