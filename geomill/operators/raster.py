@@ -417,8 +417,12 @@ def section_mask(sections: DataFrame, x: str, y: str, nx: str, ny: str, width: s
 
 
 def subtract(pixels: DataFrame, holes: DataFrame, key: str) -> DataFrame:
-    """``pixels`` (key, x, y) without those of ``holes`` of the same key."""
-    return pixels.join(holes.select(key, "x", "y").distinct(), [key, "x", "y"], "left_anti")
+    """``pixels`` (key, x, y) without those of ``holes`` of the same key.
+
+    Shapes grow into far more pixels than plans expect of them, so the holes
+    are never broadcast.
+    """
+    return pixels.join(holes.select(key, "x", "y").distinct().hint("merge"), [key, "x", "y"], "left_anti")
 
 
 def wide_line(segments: DataFrame, key: str, half_width: float, size: int) -> DataFrame:
