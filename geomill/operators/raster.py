@@ -426,16 +426,53 @@ def subtract(pixels: DataFrame, holes: DataFrame, key: str) -> DataFrame:
 
 
 def wide_line(segments: DataFrame, key: str, half_width: float, size: int) -> DataFrame:
-    """(key, x, y): pixels met by half-unit steps along and across each segment (x0, y0, x1, y1); a segment of no length has none."""
-    length = F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
-    own = segments.withColumn("_l", length).filter("_l > 0").withColumn("_n", F.greatest(F.lit(1), (F.col("_l") * 2).cast("int")))
-    own = own.withColumn("_px", -(F.col("y1") - F.col("y0")) / F.col("_l")).withColumn("_py", (F.col("x1") - F.col("x0")) / F.col("_l"))
-    along = F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: i / F.col("_n"))
-    across = F.transform(F.sequence(F.lit(0), F.lit(int(half_width * 4))), lambda i: i * 0.5 - half_width)
-    on = own.withColumn("_t", F.explode(along)).withColumn("_w", F.explode(across))
-    at = lambda a, b, across: (F.col(a) + (F.col(b) - F.col(a)) * F.col("_t") + F.col(across) * F.col("_w")).cast("long")
-    pixels = on.select(key, at("x0", "x1", "_px").alias("x"), at("y0", "y1", "_py").alias("y"))
-    return pixels.filter(F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1)).distinct()
+    """(key, x, y): pixels met by half-unit steps along and across each segment (x0, y0, x1, y1); a segment of no length has none.
+
+    The segments of a key meet in a task, pixels are never shuffled; of a key
+    a task holds its distinct pixels.
+    """
+    across = np.arange(int(half_width * 4) + 1) * 0.5 - half_width
+    ends = ("x0", "y0", "x1", "y1")
+
+    def run(batches):
+        last, held = ..., np.empty(0, np.int64)
+        for batch in batches:
+            keys = batch.column(key)
+            named = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            x0, y0, x1, y1 = (batch.column(c).cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False) for c in ends)
+            length = np.sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)
+            steps = np.where(length > 0, np.maximum(1, np.nan_to_num(length * 2, posinf=0).astype(np.int64)), -1)
+            part = np.floor(np.cumsum((steps + 1) * len(across)) / HELD_PIXELS)
+            cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(x0)]))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                i, k = _spans(np.zeros(hi - lo, np.int64), steps[lo:hi])
+                i += lo
+                if not len(i):
+                    continue
+                t, wide = (k / steps[i])[:, None], length[i]
+                px, py = -(y1 - y0)[i] / wide, (x1 - x0)[i] / wide
+                x = ((x0[i] + (x1 - x0)[i] * t[:, 0])[:, None] + px[:, None] * across).astype(np.int64)
+                y = ((y0[i] + (y1 - y0)[i] * t[:, 0])[:, None] + py[:, None] * across).astype(np.int64)
+                inside = (x >= 0) & (x < size) & (y >= 0) & (y < size)
+                own = np.broadcast_to(named[i][:, None], x.shape)[inside]
+                rank, own = np.unique(own, return_inverse=True)
+                codes = np.unique((own * size + x[inside]) * size + y[inside])
+                group, pixel = rank[codes // (size * size)], codes % (size * size)
+                if keys[lo].as_py() == last:  # the key goes on from the batch or block before
+                    there = group == named[lo]
+                    new = ~there | ~np.isin(pixel, held)
+                    held = np.union1d(held, pixel[there])
+                    if named[hi - 1] != named[lo]:
+                        held = pixel[group == named[hi - 1]]
+                    group, pixel = group[new], pixel[new]
+                else:
+                    held = pixel[group == named[hi - 1]]
+                last = keys[hi - 1].as_py()
+                row = lo + np.unique(named[lo:hi], return_index=True)[1][np.searchsorted(np.unique(named[lo:hi]), group)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(pixel // size), pa.array(pixel % size)], [key, "x", "y"])
+
+    own = segments.select(key, *ends).repartition(key).sortWithinPartitions(key)
+    return own.mapInArrow(run, f"`{key}` {segments.schema[key].dataType.simpleString()}, x long, y long")
 
 
 def convex_pixels(shapes: DataFrame, key: str, ring: str, size: int) -> DataFrame:
