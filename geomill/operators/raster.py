@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geomill.operators.graph import solved
+from geomill.operators.splines import flat
 from geomill.session import cut
 
 
@@ -322,49 +323,72 @@ def line_pixels(x0: str, y0: str, x1: str, y1: str) -> Column:
 
 def polygon_pixels(xs: np.ndarray, ys: np.ndarray, size: int) -> np.ndarray:
     """Pixels (x, y) whose centre is inside the rings, laid end to end with NaN between them, by the even-odd rule."""
-    out = []
-    x, y = np.append(xs, np.nan), np.append(ys, np.nan)
-    edges, start = [], 0
-    for i in np.flatnonzero(np.isnan(x)):
-        ring = np.column_stack([x[start:i], y[start:i]])
-        if len(ring) > 2:
-            edges.append(np.hstack([ring, np.roll(ring, -1, 0)]))
-        start = i + 1
-    if not edges:
-        return np.empty((0, 2), np.int64)
-    e = np.concatenate(edges)
-    for row in range(max(0, int(np.floor(e[:, 1].min()))), min(size - 1, int(np.ceil(e[:, 1].max()))) + 1):
-        c = row + 0.5
-        hit = (e[:, 1] <= c) != (e[:, 3] <= c)
-        at = np.sort(e[hit, 0] + (c - e[hit, 1]) / (e[hit, 3] - e[hit, 1]) * (e[hit, 2] - e[hit, 0]))
-        for a, b in zip(at[::2], at[1::2]):
-            cols = np.arange(max(0, int(np.ceil(a - 0.5))), min(size - 1, int(np.ceil(b - 0.5)) - 1) + 1)
-            out.append(np.column_stack([cols, np.full(len(cols), row)]))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return polygons_pixels(np.asarray(xs, float), np.asarray(ys, float), np.zeros(len(xs), np.int64), size)[:, 1:]
+
+
+def polygons_pixels(x: np.ndarray, y: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """(shape, x, y) of the pixels of many shapes at once, in the order of shape, y and x; ``of`` is the shape of each point and ascends."""
+    n = len(x)
+    empty = np.empty((0, 3), np.int64)
+    if not n:
+        return empty
+    gap = np.isnan(x)
+    first = np.concatenate(([True], (of[1:] != of[:-1]) | gap[:-1])) & ~gap
+    last = np.concatenate(((of[1:] != of[:-1]) | gap[1:], [True])) & ~gap
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last)
+    after = np.arange(1, n + 1)
+    after[stops] = starts
+    held = np.repeat(stops - starts > 1, stops - starts + 1)
+    a = np.flatnonzero(~gap)[held]
+    b = after[a]
+    x1, y1, x2, y2, of = x[a], y[a], x[b], y[b], of[a]
+    low = np.maximum(0, np.floor(np.minimum(y1, y2)).astype(np.int64))
+    high = np.minimum(size - 1, np.ceil(np.maximum(y1, y2)).astype(np.int64))
+    edge, row = _spans(low, high)
+    c = row + 0.5
+    hit = (y1[edge] <= c) != (y2[edge] <= c)
+    edge, row, c = edge[hit], row[hit], c[hit]
+    at = x1[edge] + (c - y1[edge]) / (y2[edge] - y1[edge]) * (x2[edge] - x1[edge])
+    order = np.lexsort((at, row, of[edge]))
+    own, row, at = of[edge][order][::2], row[order][::2], at[order]
+    span, cols = _spans(np.maximum(0, np.ceil(at[::2] - 0.5).astype(np.int64)), np.minimum(size - 1, np.ceil(at[1::2] - 0.5).astype(np.int64) - 1))
+    return np.column_stack([own[span], cols, row[span]]) if len(cols) else empty
+
+
+def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of each pair and every number from its low to its high."""
+    many = np.maximum(0, high - low + 1)
+    i = np.repeat(np.arange(len(low)), many)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + low[i]
+
+
+#: Pixels of shapes that a task holds at once, more only where one shape has them.
+HELD_PIXELS = 1_000_000
 
 
 def fill_polygons(rows: DataFrame, key: str, xs: str, ys: str, size: int) -> DataFrame:
     """(key, x, y): the pixels of each polygon."""
 
     def run(batches):
-        for pdf in batches:
-            found, held = [], 0
-            for k, a, b in zip(pdf[key], pdf[xs], pdf[ys]):
-                p = polygon_pixels(np.asarray(a, float), np.asarray(b, float), size)
-                found.append((k, p))
-                held += len(p)
-                if held > 100_000:
-                    yield frame(found)
-                    found, held = [], 0
-            if found:
-                yield frame(found)
-
-    def frame(found):
-        pixels = np.concatenate([p for _, p in found])
-        names = pd.Series([k for k, _ in found]).repeat([len(p) for _, p in found]).reset_index(drop=True)
-        return pd.DataFrame({key: names, "x": pixels[:, 0], "y": pixels[:, 1]})
-
-    return rows.select(key, xs, ys).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, x long, y long")
+        for batch in batches:
+            x, y, first = flat(batch, xs, ys)
+            ends = np.append(first[1:], len(x))
+            kept = ~np.isnan(x)
+            most = np.zeros(batch.num_rows)
+            full = np.flatnonzero(ends > first)
+            if not len(full):
+                continue
+            reach = lambda v: np.maximum.reduceat(np.where(kept, v, -np.inf), first[full]) - np.minimum.reduceat(np.where(kept, v, np.inf), first[full])
+            most[full] = np.minimum(size, np.maximum(0, reach(x) + 2)) * np.minimum(size, np.maximum(0, reach(y) + 2)) + ends[full] - first[full]
+            part = np.floor(np.cumsum(most) / HELD_PIXELS)
+            cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [batch.num_rows]))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                a, b = first[lo], ends[hi - 1]
+                p = polygons_pixels(x[a:b], y[a:b], np.repeat(np.arange(lo, hi), ends[lo:hi] - first[lo:hi]), size)
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(p[:, 0])), pa.array(p[:, 1]), pa.array(p[:, 2])], [key, "x", "y"])
+
+    return rows.select(key, xs, ys).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, x long, y long")
 
 
 def bilinear(points: DataFrame, px: str, py: str, raster: DataFrame, value: str) -> DataFrame:
