@@ -40,8 +40,8 @@ PREFIXES = (4, 5, 6, 7)
 DISCOUNT, STRENGTH = 0.75, 10.0
 #: Standard deviations beyond which an expression's counts are its own, and places below which they can't be.
 BEYOND, PLACES = 5.0, 6
-#: Ordinary documents counted for each toxic one.
-ORDINARY_PER_TOXIC = 4
+#: Steps into which calibration rounds a document's evidence, between the least and the largest.
+CALIBRATION_STEPS = 4096
 #: Powers of the length that log-likelihoods are divided by, of which calibration takes the best.
 LENGTH_POWERS = (0.25, 0.5, 0.75, 1.0)
 #: Labelled ids up to which they are broadcast to the scan of the texts.
@@ -202,7 +202,8 @@ class Detector:
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> tuple[float, float, float]:
     """Constant, slope and mean log loss of a ridge logistic regression on one feature, by damped Newton steps."""
-    mean, scale = x.mean(), x.std() + 1e-9
+    mean = np.average(x, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, weights=weight)) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     b = np.zeros(2)
     for _ in range(rounds):
@@ -307,28 +308,34 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, calibration_docs: int = 4000, max_expressions: int = 4_000_000) -> Detector | None:
+def calibration_points(scored: DataFrame) -> list:
+    """(power, k, x, n): for each of ``LENGTH_POWERS`` the documents ``scored`` (k, logs) of each class, all of them counted by steps of their evidence x; as many rows as steps, whatever the documents."""
+    n = F.greatest(F.col("logs")[2], F.lit(1.0))
+    each = F.array(*[F.struct(F.lit(i).alias("power"), ((F.col("logs")[1] - F.col("logs")[0]) / F.pow(n, F.lit(p))).alias("x")) for i, p in enumerate(LENGTH_POWERS)])
+    rows = cut(scored.select("k", F.explode(each).alias("e")).select("k", "e.*"))
+    span = rows.groupBy("power").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CALIBRATION_STEPS)).otherwise(0)
+    return rows.join(F.broadcast(span), "power").groupBy("power", "k", step.alias("step")).agg(F.avg("x").alias("x"), F.count("*").alias("n")).orderBy("power", "k", "step").collect()  # span: a row a power
+
+
+def train(docs: DataFrame, labels: DataFrame, max_expressions: int = 4_000_000) -> Detector | None:
     """Learns from ``labels`` (doc_id, toxic in 0, 1) of ``docs``; None unless both classes are there.
 
-    A fifth of the labelled documents is kept out of the counts.  Of the rest
-    all toxic ones are counted, and a hashed share of the ordinary ones, about
-    ``ORDINARY_PER_TOXIC`` for each toxic one, so counts grow with the labels;
-    of that fifth the curve is fitted on at most about ``calibration_docs``.
-    Of several labels of a document the largest holds.  The model keeps the
+    A fifth of the labelled documents is kept out of the counts, and the curve
+    is fitted on all of that fifth; all others are counted.  Of several labels of a document the largest holds.  The model keeps the
     words and the bigrams that differ; more than ``max_expressions`` of either
     raise ValueError, as a smaller model would pass over some.
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("k"))
-    calibrating = sampling.is_calibration("doc_id")
-    held, there = sampling.per_class(known.filter(calibrating), "doc_id", "k", calibration_docs // 2)
-    toxic = known.filter(~calibrating & (F.col("k") == 1)).count()
-    fitted_on, counted = sampling.per_class(known.filter(~calibrating), "doc_id", "k", max(1, ORDINARY_PER_TOXIC * toxic))
-    if len(there) < 2 or len(counted) < 2:
+    known = known.withColumn("held", sampling.is_calibration("doc_id"))
+    there = {(r.held, r.k): r["count"] for r in known.groupBy("held", "k").count().collect()}  # four rows
+    if len(there) < 4:
         return None
-    some = F.broadcast(fitted_on) if sum(n * share for n, share in counted.values()) <= BROADCAST_IDS else fitted_on
+    known = F.broadcast(known) if sum(there.values()) <= BROADCAST_IDS else known
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
-    bigrams = cut(count_bigrams(text.join(some, "doc_id")).filter("ordinary + toxic > 0"))
+    labelled = text.join(known, "doc_id")
+    bigrams = cut(count_bigrams(labelled.filter("NOT held")).filter("ordinary + toxic > 0"))
     found = cut(count_words(bigrams))
     sums = bigrams.agg(F.sum("ordinary"), F.sum("toxic")).first()
     if not sums[0] or not sums[1]:
@@ -344,12 +351,13 @@ def train(docs: DataFrame, labels: DataFrame, calibration_docs: int = 4000, max_
         raise ValueError(f"more than {max_expressions} bigrams are to be kept; raise max_expressions")
     best = pairs.orderBy(F.desc("z"), "h").toArrow()
     model = Model(words, _Counts(best), np.unique(best.column("word").to_numpy().view(np.uint64)))
-    sample = score_texts(text.join(F.broadcast(held), "doc_id").select("k", "text"), model).toPandas()  # at most about calibration_docs ids
-    if sample.k.nunique() < 2:
+    points = calibration_points(score_texts(labelled.filter("held").select("k", "text"), model))
+    if len({r.k for r in points}) < 2:
         return None
-    y, logs = sample.k.to_numpy(), np.array(sample.logs.tolist(), float)
-    weight = np.array([1 / there[k][1] for k in (0, 1)])[y]
-    fits = [(_logistic((logs[:, 1] - logs[:, 0]) / np.maximum(logs[:, 2], 1) ** p, y, weight / weight.mean()), p) for p in LENGTH_POWERS]
+    fits = []
+    for i, p in enumerate(LENGTH_POWERS):
+        x, y, n = (np.array([r[c] for r in points if r.power == i], float) for c in ("x", "k", "n"))
+        fits.append((_logistic(x, y, n), p))
     (constant, slope, _), power = min(fits, key=lambda f: f[0][2])
     return Detector(model, power, (constant, slope))
 
