@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomill.llm import charlm, sampling
+from geomill.session import cut
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 2000
@@ -23,28 +25,62 @@ class Identifier:
     limit: float
 
 
-def _calibrate(logs: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """The sharpness of least log loss, and the 99.9th percentile of the right language's cross-entropy with a tenth added."""
-    n = logs[:, -1]
-    logs, truth, n = logs[n > 0], truth[n > 0], n[n > 0]
-    if not len(n):
-        return 10.0, float("inf")
-    x = logs[:, :-1] / n[:, None]
+#: Values of the sharpness that calibration tries, and steps of a range that it counts at once.
+SHARPNESS, STEPS = tuple(float(s) for s in np.geomspace(1, 200, 40)), 4096
 
-    def loss(s: float) -> float:
-        z = s * (x - x.max(1, keepdims=True))
-        return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).mean())
 
-    sharpness = min((float(s) for s in np.geomspace(1, 200, 40)), key=loss)
-    return sharpness, float(np.quantile(-x[np.arange(len(x)), truth], 0.999)) * 1.1
+def _calibrate(scored: DataFrame) -> tuple[float, float]:
+    """The sharpness of least log loss over all of ``scored`` (k, logs), and the 99.9th percentile of the right language's cross-entropy with a tenth added."""
 
+    def losses(batches):
+        total, rows = np.zeros(len(SHARPNESS)), 0
+        for batch in batches:
+            logs, truth = np.array(batch.column("logs").to_pylist(), float).reshape(batch.num_rows, -1), batch.column("k").to_numpy()
+            x = logs[:, :-1] / logs[:, -1:]
+            for i, s in enumerate(SHARPNESS):
+                z = s * (x - x.max(1, keepdims=True))
+                total[i] += (np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).sum()
+            rows += batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["loss"])
 
-def train(labelled: DataFrame, calibration_docs: int = 4000, order: int = 4) -> Identifier | None:
+    known = cut(scored.filter(F.element_at("logs", -1) > 0).select("k", "logs"))
+    summed = known.select("logs", "k").mapInArrow(losses, "loss array<double>").select(F.posexplode("loss").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("v", "i").collect()  # a row a sharpness
+    if not summed:
+        return 10.0, float("inf")
+    entropy = known.select((-F.get("logs", F.col("k")) / F.element_at("logs", -1)).alias("x"))
+    return SHARPNESS[summed[0].i], quantile(entropy, "x", 0.999) * 1.1
+
+
+def quantile(rows: DataFrame, value: str, share: float) -> float:
+    """The exact quantile of all values, between two of them by their distance: ranges are counted in steps and narrowed until one holds few rows."""
+    x = F.col(value)
+    rank = (rows.count() - 1) * share
+
+    def at(rank: int) -> float:
+        own = rows
+        while True:
+            n, lo, hi = own.agg(F.count(x), F.min(x), F.max(x)).first()
+            if lo == hi:
+                return lo
+            if n <= STEPS:
+                return own.orderBy(x).collect()[rank][0]  # few rows
+            step = F.floor((x - lo) / (hi - lo) * STEPS)
+            for r in own.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).orderBy("s").collect():  # a row a step
+                if rank < r.n:
+                    break
+                rank -= r.n
+            own = rows.filter(x.between(r.lo, r.hi))
+
+    low = at(int(rank))
+    return low if rank == int(rank) else low + (at(int(rank) + 1) - low) * (rank - int(rank))
+
+
+def train(labelled: DataFrame, order: int = 4) -> Identifier | None:
     """Learns from ``labelled`` (doc_id, text, lang); None if it has no language.
 
-    All documents are counted but a fifth, of which the curve is fitted on at
-    most about ``calibration_docs``, as many of each language; all are read
-    whole.  A document of a null doc_id is not learned from.  There are at most
+    All documents are counted but a fifth, on all of which the curve is
+    fitted; all are read whole.  A document of a null doc_id is not learned from.  There are at most
     ``MAX_LANGUAGES``, or training fails.
     """
     rows = labelled.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
@@ -56,9 +92,7 @@ def train(labelled: DataFrame, calibration_docs: int = 4000, order: int = 4) ->
     rows = rows.withColumn("k", (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int"))
     calibrating = sampling.is_calibration("doc_id")
     model = charlm.fit(rows.filter(~calibrating), langs, order)
-    some, _ = sampling.per_class(rows.filter(calibrating), "doc_id", "k", max(1, calibration_docs // len(langs)))
-    held = charlm.score_texts(some.select("k", "text"), model).toPandas()
-    sharpness, limit = _calibrate(np.array(held.logs.tolist(), float).reshape(len(held), -1) if len(held) else np.zeros((0, len(langs) + 1)), held.k.to_numpy())
+    sharpness, limit = _calibrate(charlm.score_texts(rows.filter(calibrating).select("k", "text"), model))
     return Identifier(model, sharpness, limit)
 
 

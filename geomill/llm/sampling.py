@@ -1,29 +1,16 @@
-"""Bounded, repeatable samples of labelled rows."""
+"""Repeatable divisions of labelled rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PARTS = 1_000_000
-
 
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def per_class(rows: DataFrame, key: str, label: str, most: int, seed: int = 17) -> tuple[DataFrame, dict]:
-    """About ``most`` rows of each label, chosen by a hash of ``key``; and {label: (rows there, share taken)}."""
-    there = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    shares = {k: min(1.0, most / n) for k, n in there.items()}
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(_PARTS))
-    chosen = reduce(lambda c, k: c | ((F.col(label) == F.lit(k)) & (draw < int(shares[k] * _PARTS))), shares, F.lit(False))
-    return rows.filter(chosen), {k: (there[k], shares[k]) for k in there}
-
-
 def is_calibration(key: str, seed: int = 18) -> Column:
     """True for a fifth of the rows, by another hash of ``key``."""
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(5)) == 0
