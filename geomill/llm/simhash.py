@@ -458,7 +458,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     end = lambda p, q: heads.select("kind", F.col("fp").alias(p), F.col("head").alias(q))
     between = links.filter("a <> b").join(end("a", "x"), ["kind", "a"]).join(end("b", "y"), ["kind", "b"]).select("x", "y")
     edges = cut(same.union(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    verified = cut(verify(edges, texts_of(edges), similarity, shingle_words))
+    # a link a text first, then only those between texts that are still apart, so that texts of a large group travel once
+    first = cut(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = cut(verify(first, texts_of(first), similarity, shingle_words))
+    joined = connected_components(found, "a", "b")
+    part = lambda p: joined.select(F.col("node").alias(p), F.col("component").alias(f"{p}_part"))
+    apart = edges.join(first, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    apart = cut(apart.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b"))
+    verified = cut(found.union(verify(apart, texts_of(apart), similarity, shingle_words)))
     parts = connected_components(verified, "a", "b")
     # fingerprints of texts that aren't all joined, those near to them, and those with more candidates than were verified
     of = view.join(parts, F.col("id") == F.col("node"), "left").select("kind", "fp", "id", F.coalesce("component", "id").alias("component"))
