@@ -1,12 +1,18 @@
-"""Connected components by alternating star contraction."""
+"""Connected components by alternating star contraction, and what is solved in each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from geomill.session import cut
 
@@ -51,12 +57,69 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
 
 
+def whole_groups(rows: DataFrame, key: str, solve: Callable[[pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """What ``solve`` makes of tables that hold every group of ``key`` whole, small ones many at a time.
+
+    Groups are cut from batches that are sorted by ``key``, so a small one has
+    no call of its own; a task holds its largest group and a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, n = batch.column(key), batch.num_rows
+            last = names[n - 1]
+            begins = n - (pc.sum(pc.equal(names, last)).as_py() or 0) if last.is_valid else n - names.null_count
+            if begins or held and not held[0].column(key)[0].equals(last):
+                whole = [*held, *([batch.slice(0, begins)] if begins else [])]
+                yield from solve(pa.Table.from_batches(whole)).to_batches()
+                held = []
+            held.append(batch.slice(begins))
+        if held:
+            yield from solve(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def plain(a: pa.Array) -> list:
+    """``a.to_pylist()``, numbers, lists and structs by whole columns."""
+    kind, none = a.type, a.is_null().to_numpy(zero_copy_only=False).tolist() if a.null_count else None
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, v)) for v in zip(*map(plain, a.flatten()))]
+    elif pa.types.is_list(kind):
+        values, stop = plain(a.flatten()), np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy()).tolist()
+        out = [values[i:j] for i, j in zip([0, *stop], stop)]
+    elif pa.types.is_integer(kind) or pa.types.is_floating(kind):
+        out = (pc.fill_null(a, 0) if none else a).to_numpy(zero_copy_only=False).tolist()
+    else:
+        return a.to_pylist()
+    return [None if n else v for n, v in zip(none, out)] if none else out
+
+
+def each_group(rows: DataFrame, key: str, solve: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """The rows in ``schema`` that ``solve`` makes of each group of ``key``; calls of Spark as in ``whole_groups``."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = (dict(zip(table.column_names, v)) for v in zip(*(plain(c.combine_chunks()) for c in table.columns)))
+        out = [r for _, group in groupby(rows, itemgetter(key)) for r in solve(list(group))]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    return whole_groups(rows, key, run, schema)
+
+
 #: Rows of a component that one task solves; larger ones are solved in rounds.
 COMPONENT_ROWS = 500_000
 
 
 def solved(rows: DataFrame, node: str, links: DataFrame, solve: Callable[[pa.Table], pa.Table], rounds: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    """What ``solve`` keeps of the rows of each component, which it gets whole; ``node`` names a row's node.
+    """What ``solve`` keeps of the rows of each component; ``node`` names a row's node.
+
+    It gets components whole, small ones many at a time, which it need not tell
+    apart, as rows of different ones never bear on each other.
 
     Rows of a component of more than ``COMPONENT_ROWS`` go to ``rounds``
     together, which gives the same result without holding a component; without
@@ -67,8 +130,8 @@ def solved(rows: DataFrame, node: str, links: DataFrame, solve: Callable[[pa.Tab
     names = placed.columns
     keep = lambda t: solve(t).select(names)
     if rounds is None:
-        return placed.groupBy("_component").applyInArrow(keep, placed.schema).drop("_component")
+        return whole_groups(placed, "_component", keep, placed.schema).drop("_component")
     large = placed.groupBy("_component").count().filter(F.col("count") > COMPONENT_ROWS).select("_component")
     small = placed.join(large, "_component", "left_anti")
-    kept = small.groupBy("_component").applyInArrow(keep, placed.schema).drop("_component")
+    kept = whole_groups(small, "_component", keep, placed.schema).drop("_component")
     return kept if large.isEmpty() else kept.union(rounds(placed.join(large, "_component", "left_semi").drop("_component")))

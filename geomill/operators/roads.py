@@ -12,15 +12,16 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomill.operators import spatial
-from geomill.operators.graph import connected_components
+from geomill.operators.graph import connected_components, each_group
 from geomill.operators.series import lookup
-from geomill.operators.splines import clip_to_square, flat, spline_samples, without_repeats
+from geomill.operators.splines import clip_to_square, flat, spline_samples, without_repeats, without_repeats_each
 from geomill.session import cut
 
 #: How far along a line its direction at an end is taken, in metres.
@@ -54,28 +55,52 @@ def terrain_lines(ways: DataFrame, box: tuple[float, float, float, float], size:
     others = [f for f in ways.schema if f.name not in ("lons", "lats", "nodes")]
     wide, high = box[2] - box[0], box[3] - box[1]
 
+    names = [*(f.name for f in others), "start_node", "end_node", "xs", "ys"]
+
+    def crossing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Lines of which a point lies outside, one by one."""
+        lon, lat, first = flat(batch, "lons", "lats")
+        x, y = (lon - box[0]) / wide * size, (lat - box[1]) / high * size
+        nodes = batch.column("nodes").to_pylist()
+        rows, xs, ys, ends = [], [], [], []
+        for i, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(x)])):
+            if b - a < 2:
+                continue
+            px, py, cut_start, cut_end = clip_to_square(x[a:b], y[a:b], size)
+            px, py = px * pixel, py * pixel
+            keep = without_repeats(px, py, tolerance)
+            if keep.sum() < 2:
+                continue
+            own = nodes[i] or [None]
+            rows.append(i)
+            xs.append(px[keep])
+            ys.append(py[keep])
+            ends.append((None if cut_start else own[0], None if cut_end else own[-1]))
+        kept = batch.take(pa.array(rows, pa.int64()))
+        columns = [*(kept.column(f.name) for f in others), *(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches):
         for batch in batches:
             lon, lat, first = flat(batch, "lons", "lats")
             x, y = (lon - box[0]) / wide * size, (lat - box[1]) / high * size
-            nodes = batch.column("nodes").to_pylist()
-            rows, xs, ys, ends = [], [], [], []
-            for i, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(x)])):
-                if b - a < 2:
-                    continue
-                px, py, cut_start, cut_end = clip_to_square(x[a:b], y[a:b], size)
-                px, py = px * pixel, py * pixel
-                keep = without_repeats(px, py, tolerance)
-                if keep.sum() < 2:
-                    continue
-                own = nodes[i] or [None]
-                rows.append(i)
-                xs.append(px[keep])
-                ys.append(py[keep])
-                ends.append((None if cut_start else own[0], None if cut_end else own[-1]))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            columns = [*(kept.column(f.name) for f in others), *(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in others), "start_node", "end_node", "xs", "ys"])
+            stop = np.append(first[1:], len(x))
+            total = lambda mask: np.diff(np.append(0, np.cumsum(mask))[np.column_stack([first, stop])])[:, 0]
+            whole = total((x >= 0) & (x <= size) & (y >= 0) & (y <= size)) == stop - first
+            if not whole.all():
+                yield crossing(batch.filter(pa.array(~whole)))
+            # lines inside the square are done all at once
+            x, y = x * pixel, y * pixel
+            keep = without_repeats_each(x, y, first, tolerance)
+            many = total(keep)
+            own = whole & (many >= 2)
+            keep &= np.repeat(own, stop - first)
+            kept, offsets = batch.filter(pa.array(own)), pa.array(np.append(0, np.cumsum(many[own])).astype(np.int32))
+            n = pc.fill_null(pc.list_value_length(kept.column("nodes")), 0).to_numpy().astype(np.int64)
+            begin = np.cumsum(n) - n
+            ends = [kept.column("nodes").flatten().take(pa.array(at, pa.int64(), mask=n == 0)).cast(pa.int64()) for at in (begin, begin + n - 1)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[keep])) for v in (x, y)]
+            yield pa.RecordBatch.from_arrays([*(kept.column(f.name) for f in others), *ends, *lists], names)
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
     return ways.mapInArrow(run, f"{kinds}start_node long, end_node long, xs array<double>, ys array<double>")
@@ -138,20 +163,16 @@ def relation_chains(lines: DataFrame, members: DataFrame) -> DataFrame:
     ends = lines.select("path", "way", "start_node", "end_node", is_one_way("oneway", True).alias("one_way"), _point(1).alias("p0"), _point(2).alias("p1"), _point(-2).alias("q1"), _point(-1).alias("q0"))
     own = members.join(owner, ["way", "relation_order"]).select("relation_order", "member_order", "way", F.coalesce("role", F.lit("")).alias("role")).join(ends, "way")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[dict]) -> list[tuple]:
         chains: list[tuple[int, _Chain]] = []
-        rows = pdf.sort_values("member_order").to_dict("records")
-        for row in rows:
-            for k in ("start_node", "end_node"):
-                row[k] = None if pd.isna(row[k]) else int(row[k])
+        for row in sorted(rows, key=lambda r: (r["member_order"], r["path"])):
             new = _Chain(row)
             if not chains or not chains[-1][1].take(new, row["role"]):
                 chains.append((row["path"], new))
-        out = [(path, name, place, turned, place > 0, False, rows[0]["relation_order"], i) for i, (name, c) in enumerate(chains) for place, (path, turned) in enumerate(c.parts)]
-        return pd.DataFrame(out, columns=["path", "joined", "position", "reversed", "skip_first", "skip_last", "relation_order", "chain"])
+        return [(path, name, place, turned, place > 0, False, rows[0]["relation_order"], i) for i, (name, c) in enumerate(chains) for place, (path, turned) in enumerate(c.parts)]
 
     # only the ends of a relation's lines meet in a task
-    return own.groupBy("relation_order").applyInPandas(run, f"{_PARTS}, relation_order long, chain long")
+    return each_group(own, "relation_order", run, f"{_PARTS}, relation_order long, chain long")
 
 
 def put_together(lines: DataFrame, parts: DataFrame) -> DataFrame:
@@ -365,16 +386,14 @@ def connected(lines: DataFrame, tolerance: float, members: DataFrame | None = No
     else:
         rows = rows.withColumn("rels", F.lit(None).cast("array<long>"))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["ord"], r["path"]))
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r["ord"], r["path"]))
         many = {r[f"{end}_node"]: r[f"{end}_v"] for r in rows for end in ("start", "end")}
         relations = {r["way"]: frozenset(r["rels"]) for r in rows if r["rels"]}
         rank = {r["path"]: i for i, r in enumerate(rows)}
-        out = [(path, min(road, key=lambda part: rank[part[0]])[0], i, *rest) for road in join_greedily(rows, many, relations, tolerance) for i, (path, *rest) in enumerate(road)]
-        kinds = [pa.int64()] * 3 + [pa.bool_()] * 3
-        return pa.table({c.split()[0]: pa.array([r[i] for r in out], kinds[i]) for i, c in enumerate(_PARTS.split(", "))})
+        return [(path, min(road, key=lambda part: rank[part[0]])[0], i, *rest) for road in join_greedily(rows, many, relations, tolerance) for i, (path, *rest) in enumerate(road)]
 
-    found = rows.groupBy("component").applyInArrow(run, _PARTS)
+    found = each_group(rows, "component", run, _PARTS)
     alone = lines.select("path").join(parts.select(F.col("node").alias("path")).join(own.select("path"), "path", "left_semi"), "path", "left_anti")
     return found.union(alone.select("path", F.col("path").alias("joined"), F.lit(0).cast("long").alias("position"), *(F.lit(False).alias(c) for c in ("reversed", "skip_first", "skip_last"))))
 

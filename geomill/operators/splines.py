@@ -129,6 +129,20 @@ def without_repeats(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
     return keep
 
 
+def without_repeats_each(x: np.ndarray, y: np.ndarray, first: np.ndarray, tolerance: float) -> np.ndarray:
+    """``without_repeats`` of lines laid end to end, of which only those with a near pair are gone through one by one; none of a line of one point."""
+    size = np.diff(np.append(first, len(x)))
+    keep = np.repeat(size > 1, size)
+    if len(x) < 2:
+        return keep
+    line = np.repeat(np.arange(len(first)), size)
+    near = (np.hypot(np.diff(x), np.diff(y)) <= tolerance) & (line[1:] == line[:-1])
+    for i in np.unique(line[1:][near]).tolist():
+        own = slice(first[i], first[i] + size[i])
+        keep[own] = without_repeats(x[own], y[own], tolerance)
+    return keep
+
+
 def flat(batch: pa.RecordBatch, xs: str, ys: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, first) of the lines of a batch, their points end to end."""
     a, b = batch.column(xs), batch.column(ys)
@@ -149,10 +163,7 @@ def spline_samples(lines: DataFrame, interval: float, smooth: bool = True, toler
         for batch in batches:
             x, y, first = flat(batch, xs, ys)
             stop = np.append(first[1:], len(x))
-            keep = np.zeros(len(x), bool)
-            for a, b in zip(first.tolist(), stop.tolist()):
-                if b - a > 1:
-                    keep[a:b] = without_repeats(x[a:b], y[a:b], tolerance)
+            keep = without_repeats_each(x, y, first, tolerance)
             run_ = np.append(0, np.cumsum(keep))
             size = run_[stop] - run_[first]
             x, y = x[keep], y[keep]
