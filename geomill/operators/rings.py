@@ -6,15 +6,21 @@ is an array by which earlier ways come first.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geomill.operators.graph import connected_components
+from geomill.operators.graph import connected_components, each_group
 from geomill.operators.series import OTHER_PRIORITY, ROAD_PRIORITY, lookup
 from geomill.operators.spatial import DEGREE_METRES
 from geomill.operators.splines import clip_to_square, flat, spline_samples, without_repeats
+from geomill.session import cut
 
 #: Places closer than this on both axes are one, in degrees.
 SAME_PLACE = 1e-6
@@ -53,40 +59,77 @@ def _same(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((np.abs(a - b) < SAME_PLACE).all())
 
 
+class _Ends:
+    """Both ends of lines by grid cells of ``SAME_PLACE``; a cell lists its lines, the first one last."""
+
+    def __init__(self, lines: list[np.ndarray]):
+        self.tips = [[tuple(p[0].tolist()), tuple(p[-1].tolist())] if len(p) > 1 else [] for p in lines]
+        self.gone, self.cells = [False] * len(lines), {}
+        for i in range(len(lines) - 1, -1, -1):
+            for c in {_cell(t) for t in self.tips[i] if math.isfinite(t[0]) and math.isfinite(t[1])}:
+                self.cells.setdefault(c, []).append(i)
+
+    def near(self, place: tuple) -> Iterator[Iterator[int]]:
+        """Of each cell about ``place`` the lines not gone with an end there, the first one first."""
+        if not (math.isfinite(place[0]) and math.isfinite(place[1])):
+            return
+        x, y = _cell(place)
+        for c in ((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            own = self.cells.get(c)
+            while own and self.gone[own[-1]]:
+                own.pop()
+            if own:
+                yield (i for i in reversed(own) if not self.gone[i] and any(_meet(place, t) for t in self.tips[i]))
+
+
+def _cell(p: tuple) -> tuple[int, int]:
+    return math.floor(p[0] / SAME_PLACE), math.floor(p[1] / SAME_PLACE)
+
+
+def _meet(a: tuple, b: tuple) -> bool:
+    return abs(a[0] - b[0]) < SAME_PLACE and abs(a[1] - b[1]) < SAME_PLACE
+
+
 def ring_order(lines: list[np.ndarray]) -> list[int]:
-    """The order in which ways join the group of the first: pass by pass those that meet a way already in it."""
-    ends = [(p[0], p[-1]) if len(p) > 1 else () for p in lines]
-    order, left = [0], list(range(1, len(lines)))
-    while True:
-        before = len(order)
-        for i in list(left):
-            if any(_same(a, b) for j in order for a in ends[i] for b in ends[j]):
-                order.append(i)
-                left.remove(i)
-        if len(order) == before:
-            return order
+    """The order in which ways join the group of the first: pass by pass those that meet a way already in it.
+
+    A way that is met by one before it joins in the same pass, else in the
+    next, so a heap of passes and places gives the order without the passes.
+    """
+    ends, order, heap = _Ends(lines), [], [(0, 0)]
+    ends.gone[0] = True
+    while heap:
+        turn, i = heapq.heappop(heap)
+        order.append(i)
+        for j in [j for tip in ends.tips[i] for own in ends.near(tip) for j in own]:
+            if not ends.gone[j]:
+                ends.gone[j] = True
+                heapq.heappush(heap, (turn + (j < i), j))
+    return order
 
 
 def assemble_ring(lines: list[np.ndarray]) -> np.ndarray:
     """The first line, extended at either end by the first unused one that fits there, closed."""
-    ring, left = lines[0], [p for p in lines[1:] if len(p) > 1]
-    grown = len(lines) > 1
-    while grown and left:
-        grown = False
-        for i, p in enumerate(left):
-            if _same(ring[-1], p[0]):
-                ring = np.concatenate([ring, p[1:]])
-            elif _same(ring[-1], p[-1]):
-                ring = np.concatenate([ring, p[::-1][1:]])
-            elif _same(ring[0], p[-1]):
-                ring = np.concatenate([p[:-1], ring])
-            elif _same(ring[0], p[0]):
-                ring = np.concatenate([p[::-1][:-1], ring])
+    pieces = deque([lines[0]])
+    if len(lines) > 1:
+        ends, head, tail = _Ends(lines), tuple(lines[0][0].tolist()), tuple(lines[0][-1].tolist())
+        ends.gone[0] = True
+        while (i := min((j for p in (head, tail) for own in ends.near(p) if (j := next(own, None)) is not None), default=None)) is not None:
+            ends.gone[i] = True
+            p, (start, end) = lines[i], ends.tips[i]
+            if _meet(tail, start):
+                pieces.append(p[1:])
+                tail = end
+            elif _meet(tail, end):
+                pieces.append(p[::-1][1:])
+                tail = start
+            elif _meet(head, end):
+                pieces.appendleft(p[:-1])
+                head = start
             else:
-                continue
-            del left[i]
-            grown = True
-            break
+                pieces.appendleft(p[::-1][:-1])
+                head = end
+    ring = np.concatenate(pieces)
     if len(ring) >= 3 and not _same(ring[0], ring[-1]):
         ring = np.concatenate([ring, ring[:1]])
     return ring
@@ -99,26 +142,24 @@ def rings(ways: DataFrame) -> DataFrame:
     lat) is the mean of its points and radius their mean distance in metres.
     Rings of less than three points go.
     """
-    own = _groups(ways.filter(is_ring()).select("way", "ord", "lons", "lats"))
+    own = _groups(cut(ways.filter(is_ring()).select("way", "ord", "lons", "lats")))
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["ord"], r["way"]))
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(rows, key=lambda r: (r["ord"], r["way"]))
         lines = [np.column_stack([r["lons"], r["lats"]]) for r in rows]
         order = ring_order(lines)
         rows, lines = [rows[i] for i in order], [lines[i] for i in order]
         ring = assemble_ring(lines)
-        schema = pa.schema([("ring", pa.int64()), ("ord", pa.list_(pa.int64())), ("ways", pa.list_(pa.int64())), ("lons", pa.list_(pa.float64())), ("lats", pa.list_(pa.float64())), ("lon", pa.float64()), ("lat", pa.float64()), ("radius", pa.float64())])
         if len(ring) < 3:
-            return schema.empty_table()
+            return []
         inner = ring[:-1] if _same(ring[0], ring[-1]) else ring
         lon, lat = inner.mean(0)
         away = np.hypot((inner[:, 0] - lon) * DEGREE_METRES * np.cos(np.radians(lat)), (inner[:, 1] - lat) * RING_DEGREE)
         name = max(range(len(rows)), key=lambda i: (len(lines[i]), -i))
-        values = [rows[name]["way"], rows[0]["ord"], [r["way"] for r in rows], ring[:, 0].tolist(), ring[:, 1].tolist(), lon, lat, away.mean()]
-        return pa.table([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+        return [(rows[name]["way"], rows[0]["ord"], [r["way"] for r in rows], ring[:, 0].tolist(), ring[:, 1].tolist(), float(lon), float(lat), float(away.mean()))]
 
-    # the ways of one ring meet in a task
-    return own.groupBy("group").applyInArrow(run, "ring long, ord array<long>, ways array<long>, lons array<double>, lats array<double>, lon double, lat double, radius double")
+    # the ways of one ring meet in a task; what is found is read by every step that follows
+    return cut(each_group(own, "group", run, "ring long, ord array<long>, ways array<long>, lons array<double>, lats array<double>, lon double, lat double, radius double"))
 
 
 def _vertices(ways: DataFrame) -> DataFrame:
