@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geomill.operators import rings, roads, splines
 from geomill.plans.registry import query
-from geomill.session import table
+from geomill.session import cut, table
 
 #: The terrain that the ways lie on: longitudes and latitudes, pixels, metres of a pixel.
 BOX, SIZE, PIXEL = (10.0, 50.0, 11.0, 51.0), 4096, 2.0
@@ -102,13 +102,13 @@ def road_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def connected_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = _ways(spark, sf_dir)
-    lines = roads.terrain_lines(_road_ways(ways), BOX, SIZE, PIXEL).withColumn("path", F.col("way"))
+    lines = cut(roads.terrain_lines(_road_ways(ways), BOX, SIZE, PIXEL).withColumn("path", F.col("way")))  # read by every step of the joining
     return roads.connected(lines, 1.0, _members(ways)).select("path", "joined", "position", "reversed")
 
 
 @query()
 def ring_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = _ways(spark, sf_dir)
+    ways = cut(_ways(spark, sf_dir))
     return rings.connections(ways, rings.rings(ways)).withColumn("angle", F.round("angle", 6))
 
 
@@ -130,7 +130,7 @@ def places_on_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trimmed_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = _ways(spark, sf_dir)
+    ways = cut(_ways(spark, sf_dir))
     plan = rings.trims(ways, rings.rings(ways))
     return rings.trimmed(ways, plan).select("way", F.size("nodes").alias("n_nodes"), F.get("nodes", F.lit(0)).alias("first_node"), F.element_at("nodes", -1).alias("last_node"))
 
@@ -144,6 +144,6 @@ def ring_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stub_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-noded one-way orders as cycleways: those that end at a roundabout, and the roads that take their place."""
-    ways = _ways(spark, sf_dir).withColumn("highway", F.when((F.col("oneway") == "yes") & (F.size("nodes") <= 3), "cycleway").otherwise(F.col("highway")))
+    ways = cut(_ways(spark, sf_dir).withColumn("highway", F.when((F.col("oneway") == "yes") & (F.size("nodes") <= 3), "cycleway").otherwise(F.col("highway"))))
     plan = rings.stub_parents(ways, rings.rings(ways))
     return plan.select("ring", "node", F.size("stubs").alias("n_stubs"), "parent", "at_start", "ring_node")
