@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geomill.operators import spatial
-from geomill.operators.graph import solved
-from geomill.operators.paths import ends_of, greedy_matching
+from geomill.operators.graph import connected_components, solved, whole_groups
+from geomill.operators.paths import ends_of
 from geomill.operators.raster import line_pixels
 from geomill.operators.series import blend
 from geomill.session import cut
@@ -285,16 +286,71 @@ def merged_curves(curves: DataFrame, curve: str, line: str, gap: float, most_deg
 
     Ends at most ``gap`` apart, whose lines go on within ``most_degrees``, with
     every pixel between them in ``mask`` (x, y).  Ends join once, the first
-    pairs in the order of the curves before later ones.
+    pairs in the order of the curves before later ones.  The ends that hang
+    together through near places are matched in one task.
     """
-    ends = ends_of(curves, curve, line)
-    side = lambda p: ends.select(*[F.col(c).alias(f"{p}_{c}" if c != "path" else p) for c in ends.columns])
-    near = spatial.within(side("a"), side("b"), gap, ("a_x", "a_y"), ("b_x", "b_y")).filter("a < b")
-    straight = -(F.col("a_dx") * F.col("b_dx") + F.col("a_dy") * F.col("b_dy"))
-    near = near.filter(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), straight)))) <= most_degrees)
-    near = near.filter("(a_dx <> 0 OR a_dy <> 0) AND (b_dx <> 0 OR b_dy <> 0)")
-    cells = near.select("a", "a_tip", "b", "b_tip", *[F.floor(c).cast("long").alias(c) for c in ("a_x", "a_y", "b_x", "b_y")])
-    steps = cells.select("a", "a_tip", "b", "b_tip", F.explode(line_pixels("a_x", "a_y", "b_x", "b_y")).alias("p"))
-    inside = steps.select("a", "a_tip", "b", "b_tip", "p.*").join(mask.select("x", "y").distinct().withColumn("_in", F.lit(1)), ["x", "y"], "left")
-    good = inside.groupBy("a", "a_tip", "b", "b_tip").agg(F.count("*").alias("_n"), F.count("_in").alias("_ok")).filter("_n = _ok")
-    return greedy_matching(good.select("a", "a_tip", "b", "b_tip", F.lit(0.0).alias("score"))).drop("score")
+    ends = ends_of(curves, curve, line).filter("dx <> 0 OR dy <> 0").withColumn("_place", F.xxhash64("x", "y"))
+    # only places meet each other, whatever the number of ends there
+    places = cut(ends.groupBy("_place").agg(F.first("x").alias("x"), F.first("y").alias("y")))
+    side = lambda p: places.select(F.col("_place").alias(p), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
+    near = spatial.within(side("a"), side("b"), gap, ("a_x", "a_y"), ("b_x", "b_y"))
+    cells = near.select("a", "b", *[F.floor(c).cast("long").alias(c) for c in ("a_x", "a_y", "b_x", "b_y")])
+    steps = cells.select("a", "b", F.explode(line_pixels("a_x", "a_y", "b_x", "b_y")).alias("p"))
+    inside = steps.select("a", "b", "p.*").join(mask.select("x", "y").distinct().withColumn("_in", F.lit(1)), ["x", "y"], "left")
+    good = cut(inside.groupBy("a", "b").agg(F.count("*").alias("_n"), F.count("_in").alias("_ok")).filter("_n = _ok").select("a", "b"))
+    parts = connected_components(good)
+    beside = good.groupBy(F.col("a").alias("_place")).agg(F.collect_list("b").alias("near"))
+    rows = ends.join(beside, "_place", "left").join(parts, F.col("_place") == F.col("node"), "left").withColumn("_component", F.coalesce("component", "_place"))
+    rows = rows.select("_component", "path", "tip", "dx", "dy", F.col("_place").alias("place"), "near")
+    return whole_groups(rows, "_component", lambda t: _first_matches(t, most_degrees), "a long, a_tip string, b long, b_tip string")
+
+
+#: Directions by which the ends at a place are listed.
+SECTORS = 16
+
+
+def _first_matches(t: pa.Table, most_degrees: float) -> pa.Table:
+    """The pairs of ends that a scan in the order of their curves joins; each end asks the lists of the places and directions about it for the first free end, so pairs are never listed."""
+    path, tip, dx, dy, place = (t.column(c).to_pylist() for c in ("path", "tip", "dx", "dy", "place"))
+    # after a scan by (a, b) the tip "s" comes before "e"
+    order = sorted(range(t.num_rows), key=lambda i: (path[i], tip[i] != "s"))
+    first = {place[i]: i for i in order}
+    near = {p: own or () for p, own in zip(first, t.column("near").take(pa.array(list(first.values()), pa.int64())).to_pylist())}
+    wide = 2 * math.pi / SECTORS
+    turn = [math.atan2(y, x) for x, y in zip(dx, dy)]
+    lists: dict = {}
+    for i in reversed(order):  # the first is last
+        lists.setdefault((place[i], math.floor(turn[i] / wide) % SECTORS), []).append(i)
+    used = [False] * t.num_rows
+
+    def best(i: int) -> int | None:
+        low = turn[i] + math.pi - math.radians(most_degrees)
+        sectors = range(math.floor(low / wide - 1e-6), math.floor((low + 2 * math.radians(most_degrees)) / wide + 1e-6) + 1)
+        sectors = {s % SECTORS for s in sectors}
+        found = None
+        for p in near[place[i]]:
+            for s in sectors:
+                own = lists.get((p, s))
+                while own and (used[own[-1]] or path[own[-1]] <= path[i]):
+                    own.pop()
+                for j in reversed(own or ()):
+                    if found is not None and (path[j], tip[j] != "s") >= (path[found], tip[found] != "s"):
+                        break
+                    straight = -(dx[i] * dx[j] + dy[i] * dy[j])
+                    if not used[j] and math.degrees(math.acos(max(-1.0, min(1.0, straight)))) <= most_degrees:
+                        found = j
+                        break
+        return found
+
+    out = []
+    for _, own in groupby(order, path.__getitem__):
+        left = [i for i in own if not used[i]]
+        while left:
+            asked = [(path[j], tip[i] != "s", tip[j] != "s", i, j) for i in left if (j := best(i)) is not None]
+            if not asked:
+                break
+            *_, i, j = min(asked)
+            used[i] = used[j] = True
+            out.append((path[i], tip[i], path[j], tip[j]))
+            left.remove(i)
+    return pa.table({c: pa.array([r[k] for r in out], kind) for k, (c, kind) in enumerate((("a", pa.int64()), ("a_tip", pa.string()), ("b", pa.int64()), ("b_tip", pa.string())))})
