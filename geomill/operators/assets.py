@@ -37,11 +37,18 @@ def orphans(files: DataFrame, key: str, used: DataFrame, used_key: str = "key")
 
 
 def unused_fixpoint(uses: DataFrame, roots: DataFrame) -> DataFrame:
-    """Keys that no root reaches: ``uses`` (user, used) rows, ``roots`` (key); one join and one checkpoint a round, until a round reaches nothing new."""
-    reached = cut(roots.select("key").distinct())
-    front = reached
+    """Keys that no root reaches: ``uses`` (user, used) rows, ``roots`` (key).
+
+    Users that are neither a root nor used by any are never reached, so their
+    rows are put aside once; the others take one join and one checkpoint a
+    round, until a round reaches nothing new.
+    """
+    start = cut(roots.select("key").distinct())
+    able = uses.select(F.col("used").alias("key")).union(start).distinct()
+    inner = cut(uses.join(able, uses.user == able.key, "left_semi").select("user", "used").distinct())
+    reached = front = start
     while True:
-        front = cut(uses.join(front, uses.user == front.key, "left_semi").select(F.col("used").alias("key")).distinct().join(reached, "key", "left_anti"))
+        front = cut(inner.join(front, inner.user == front.key, "left_semi").select(F.col("used").alias("key")).distinct().join(reached, "key", "left_anti"))
         if front.isEmpty():
             break
         reached = cut(reached.union(front))
