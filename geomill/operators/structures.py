@@ -234,7 +234,9 @@ def edge_constraints(sections: DataFrame, junctions: DataFrame, slack: float = 2
     if most is None:
         none = F.lit(None).cast("double")
         return sections.withColumn("level", F.col("target")).withColumn("left_edge", none).withColumn("right_edge", none)
-    near = spatial.within(own, surface, float(most) + slack, ("x", "y"), ("px", "py"), same=("primary",)).filter(F.col("distance") <= F.col("reach") + slack)
+    # of all sections only those of primary roads are copied to the cells about them
+    there = surface.join(junctions.select("primary").distinct(), "primary", "left_semi")
+    near = spatial.within(there, own, float(most) + slack, ("px", "py"), ("x", "y"), same=("primary",)).filter(F.col("distance") <= F.col("reach") + slack)
     chosen = near.groupBy("junction", "spline", "along").agg(F.min_by(F.struct("p", "reach", "_from", "x", "y", "nx", "ny", "width"), F.struct("distance", "p_along")).alias("n")).select("junction", "spline", "along", "n.*")
 
     def on_surface(x, y):
