@@ -22,6 +22,7 @@ documents kept out of the counts, turns it into a score.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -46,6 +47,8 @@ CALIBRATION_STEPS = 4096
 LENGTH_POWERS = (0.25, 0.5, 0.75, 1.0)
 #: Labelled ids up to which they are broadcast to the scan of the texts.
 BROADCAST_IDS = 4_000_000
+#: Words that a task counts together, the share of a task's words from which a word is common, and the parts that those are dealt into.
+WINDOW, COMMON, PARTS = 1 << 21, 1e-3, 64
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,42 +220,103 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(b[0] - b[1] * mean / scale), float(b[1] / scale), float(loss)
 
 
+def common_words(rows: DataFrame) -> set[str]:
+    """Words that make up ``COMMON`` of the words of some task of ``rows`` (text) or more: all that make up that share of the whole, and no more than 1 / ``COMMON`` a task."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        seen = 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                split = (text or "").split()
+                counts.update(split)
+                seen += len(split)
+            if len(counts) > charlm.MEMO:
+                counts = Counter({c: n for c, n in counts.items() if n > COMMON / 8 * seen})
+        words: Counter = Counter()
+        for c, n in counts.items():
+            if n > COMMON / 8 * seen:
+                for w in charlm.letter_runs(c):
+                    words[w] += n
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, n in words.items() if n >= COMMON / 2 * seen], pa.string())], ["word"])
+
+    return {r.word for r in rows.select("text").mapInArrow(run, "word string").distinct().collect()}
+
+
 def count_bigrams(rows: DataFrame) -> DataFrame:
     """(word, before, ordinary, toxic): in how many distinct places each bigram of ``rows`` (k, text) stands, by class k.
 
     ``before`` stands for the word before (-1: none); a place is a 30-bit hash
-    of the ``HISTORY`` words before.
+    of the ``HISTORY`` words before.  A row that travels holds all places of a
+    word in a window, so that the word is sent once; those of common words are
+    dealt into parts by the word before.
     """
+    common = common_words(rows)
 
     def places(batches):
-        memo: dict[str, int] = {}
+        chunks: dict[str, tuple[int, ...]] = {}  # the words of each chunk between white space, by their place in names
+        names: dict[str, int] = {}
+        held: list[tuple[int, np.ndarray]] = []
+
+        def flush():
+            if not held:
+                return
+            words, index = list(names), np.concatenate([run for _, run in held])
+            keys, often = _word_keys(words), np.fromiter((w in common for w in words), bool, len(words))
+            sizes = np.array([len(run) for _, run in held])
+            at = np.arange(len(index)) + HISTORY * (1 + np.repeat(np.arange(len(held)), sizes))
+            padded = np.zeros(len(index) + HISTORY * len(held), np.uint64)
+            padded[at] = keys[index]
+            place = np.zeros(len(index), np.uint64)
+            for d in range(HISTORY):
+                place = _pair(place, padded[at - 1 - d] >> np.uint64(1))
+            before = _before(padded[at - 1]).astype(np.int64)
+            before[np.cumsum(sizes) - sizes] = -1
+            place = (place >> np.uint64(34)).astype(np.int64) << 1 | np.repeat([k for k, _ in held], sizes)
+            part = np.where(often[index], before % PARTS, 0)
+            group = index << 40 | part << 32 | before + 1
+            order = np.lexsort((place, group))
+            group, before, place = group[order], before[order].astype(np.int32), place[order].astype(np.int32)
+            new = np.concatenate(([True], (group[1:] != group[:-1]) | (place[1:] != place[:-1])))
+            group, before, place = group[new] >> 32, before[new], place[new]
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ends = np.append(starts, len(group))
+            for lo in range(0, len(starts), 20_000):
+                own = ends[lo : lo + 20_001]
+                lists = [pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(x[own[0] : own[-1]])) for x in (before, place)]
+                first = group[own[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in (first >> 8).tolist()], pa.string()), pa.array((first & 255).astype(np.int32)), *lists], ["word", "part", "before", "place"])
+            held.clear()
+
+        size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                found: list[tuple] = []
-                names: dict[str, int] = {}
-                for k, text in zip(batch.column("k").to_pylist()[lo : lo + 100], batch.column("text").to_pylist()[lo : lo + 100]):
-                    run = [w for c in (text or "").split() for w in charlm.letter_runs(c)]
-                    if len(memo) > charlm.MEMO:
-                        memo.clear()
-                    for w in set(run).difference(memo):
-                        memo[w] = _key(w + "$")
-                    keys = np.fromiter(map(memo.__getitem__, run), np.uint64, len(run))
-                    padded = np.concatenate([np.zeros(HISTORY, np.uint64), keys])
-                    place = np.zeros(len(run), np.uint64)
-                    for d in range(HISTORY):
-                        place = _pair(place, padded[HISTORY - 1 - d : len(padded) - 1 - d] >> np.uint64(1))
-                    before = np.concatenate([np.array([-1]), _before(keys[:-1]).astype(np.int64)])[: len(run)]
-                    index = np.fromiter((names.setdefault(w, len(names)) for w in run), np.int64, len(run))
-                    found.append((index, before, (place >> np.uint64(34)).astype(np.int64) << 1 | k))
-                index, before, place = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.empty(0, np.int64),) * 3
-                _, first = np.unique(_pair(_pair(index.view(np.uint64), before.view(np.uint64)), place.view(np.uint64)), return_index=True)
-                words = pa.array(list(names), pa.string()).take(pa.array(index[first]))
-                yield pa.RecordBatch.from_arrays([words, pa.array(before[first].astype(np.int32)), pa.array(place[first].astype(np.int32))], ["word", "before", "place"])
+            for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist()):
+                split = (text or "").split()
+                new = set(split).difference(chunks)
+                if size >= WINDOW or len(chunks) + len(new) > charlm.MEMO:
+                    yield from flush()
+                    chunks.clear()
+                    names.clear()
+                    size, new = 0, set(split)
+                for c in new:
+                    chunks[c] = tuple(names.setdefault(w, len(names)) for w in charlm.letter_runs(c))
+                run = np.fromiter(chain.from_iterable(map(chunks.__getitem__, split)), np.int64)
+                if len(run):
+                    held.append((k, run))
+                    size += len(run)
+        yield from flush()
 
     # one exchange serves both aggregations
-    distinct = rows.select("k", "text").mapInArrow(places, "word string, before int, place int").repartition("word", "before").distinct()
+    sent = rows.select("k", "text").mapInArrow(places, "word string, part int, before array<int>, place array<int>").repartition("word", "part")
+    distinct = sent.select("word", "part", F.explode(F.arrays_zip("before", "place")).alias("e")).select("word", "part", "e.before", "e.place").distinct()
     toxic = F.col("place") % 2
-    return distinct.groupBy("word", "before").agg(F.sum(1 - toxic).alias("ordinary"), F.sum(toxic).alias("toxic"))
+    return distinct.groupBy("word", "part", "before").agg(F.sum(1 - toxic).alias("ordinary"), F.sum(toxic).alias("toxic")).drop("part")
+
+
+def rare_joined(bigrams: DataFrame) -> DataFrame:
+    """``bigrams``, those of a word that stand in fewer than ``PLACES`` places as one row without a word before: no pair can be made of them, and the word's sums stay."""
+    pair = F.when(F.col("ordinary") + F.col("toxic") >= PLACES, F.col("before")).otherwise(-1)
+    return bigrams.groupBy("word", pair.alias("before")).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def count_words(bigrams: DataFrame) -> DataFrame:
@@ -335,7 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, max_expressions: int = 4_000_000)
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bound_batches(docs.sparkSession)
     labelled = text.join(known, "doc_id")
-    bigrams = cut(count_bigrams(labelled.filter("NOT held")).filter("ordinary + toxic > 0"))
+    bigrams = cut(rare_joined(count_bigrams(labelled.filter("NOT held")).filter("ordinary + toxic > 0")))
     found = cut(count_words(bigrams))
     sums = bigrams.agg(F.sum("ordinary"), F.sum("toxic")).first()
     if not sums[0] or not sums[1]:

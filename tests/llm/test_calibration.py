@@ -33,3 +33,24 @@ def test_calibration_reads_every_row(spark):
     x = logs[:, :-1] / 50
     loss = lambda s: (np.log(np.exp(s * (x - x.max(1, keepdims=True))).sum(1)) - (s * (x - x.max(1, keepdims=True)))[np.arange(9000), k]).mean()
     assert got[0] == min(langid.SHARPNESS, key=loss) and np.isclose(got[1], np.quantile(-x[np.arange(9000), k], 0.999) * 1.1, rtol=1e-9)
+
+
+def test_places_of_a_word_travel_in_one_row(spark, monkeypatch):
+    """Copies in many windows, a common word in parts; rows that travel are fewer than bigrams, and the counts are those of all places."""
+    monkeypatch.setattr(toxicity, "WINDOW", 500)
+    draw = np.random.default_rng(3)
+    rows = [(i % 2, " ".join(w for j in draw.integers(0, 40, 30) for w in (f"{'abcdefgh'[j % 8]}{'klmno'[j // 8]}", "the"))) for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    assert toxicity.common_words(docs) >= {"the"}
+    places = {}
+    for k, text in rows:
+        run = text.split()
+        for i, w in enumerate(run):
+            places.setdefault((w, run[i - 1] if i else None), set()).add((tuple(run[max(0, i - toxicity.HISTORY) : i]), k))
+    want = {(w, -1 if b is None else toxicity._key(b + "$") >> 33): (sum(k == 0 for _, k in p), sum(k == 1 for _, k in p)) for (w, b), p in places.items()}
+    bigrams = toxicity.count_bigrams(docs)
+    assert {(r.word, r.before): (r.ordinary, r.toxic) for r in bigrams.collect()} == want
+    kept = toxicity.rare_joined(bigrams).collect()
+    assert {(r.word, r.before) for r in kept if r.before >= 0} == {p for p, n in want.items() if sum(n) >= toxicity.PLACES and p[1] >= 0}
+    for w in {w for w, _ in want}:
+        assert sum(r.ordinary + r.toxic for r in kept if r.word == w) == sum(sum(n) for (v, _), n in want.items() if v == w)
