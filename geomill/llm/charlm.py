@@ -32,6 +32,7 @@ LEAST_SHARE = 3e-7
 #: Distinct words whose scores a worker keeps.
 MEMO = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS_OR_ENDS = re.compile(r"[^\W\d_]+|\n")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: The uniform share of a character below all counts.
 FLOOR = 1.0 / 512
@@ -45,6 +46,14 @@ def letter_runs(chunk: str) -> list[str]:
     return [w for r in runs for w in "".join(c if c.isalpha() else " " for c in r).split()]
 
 
+def letter_runs_of(chunks: list[str]) -> list[str]:
+    """What ``letter_runs`` finds in each of ``chunks``, which hold no line feed, and a line feed after each."""
+    runs = _LETTERS_OR_ENDS.findall("\n".join([*chunks, ""]).lower())
+    if len("".join(runs)) == len(chunks) + sum(map(len, filter(str.isalpha, runs))):
+        return runs
+    return [w for c in chunks for w in (*letter_runs(c), "\n")]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _B

@@ -36,7 +36,7 @@ from geomill.llm import charlm, sampling
 from geomill.session import bound_batches, cut
 
 HISTORY = 3
-#: Letters of the shorter expressions of a word.
+#: Letters of the shorter expressions of a word, each one more than the last.
 PREFIXES = (4, 5, 6, 7)
 DISCOUNT, STRENGTH = 0.75, 10.0
 #: Standard deviations beyond which an expression's counts are its own, and places below which they can't be.
@@ -57,7 +57,8 @@ def _key(expression: str) -> int:
 
 
 def _word_keys(words: list[str]) -> np.ndarray:
-    return np.fromiter((_key(w + "$") for w in words), np.uint64, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest((w + "$").encode("utf-8", "replace"), 42) for w in words], np.uint64, len(words))
 
 
 def _before(keys: np.ndarray) -> np.ndarray:
@@ -102,14 +103,19 @@ class Words:
     def __init__(self, table: pa.Table, share: float):
         self.table, self.share = _Counts(table), share
 
-    def shares(self, words: list[str]) -> np.ndarray:
-        toxic = np.full(len(words), self.share)
-        for n in (*PREFIXES, None):
-            own = np.arange(len(words)) if n is None else np.array([i for i, w in enumerate(words) if len(w) > n], np.int64)
-            if len(own):
-                keys = _word_keys(words) if n is None else np.fromiter((_key(words[i][:n]) for i in own), np.uint64, len(own))
-                toxic[own] = _mixed(self.table.counts[self.table.find(keys)], toxic[own])
-        return toxic
+    def shares(self, words: list[str], known: dict[str, float] | None = None) -> np.ndarray:
+        """The share of each of ``words``; ``known`` keeps those of first letters, which many words have in common."""
+        known = {} if known is None else known
+        stems = [w[: min(PREFIXES[-1], len(w) - 1)] for w in words]
+        new = {s for s in stems if len(s) >= PREFIXES[0]}.difference(known)
+        for n in PREFIXES:
+            own = list({s[:n] for s in new if len(s) >= n}.difference(known))
+            if own:
+                before = np.array([known.get(s[:-1], self.share) for s in own])
+                keys = np.fromiter(map(_key, own), np.uint64, len(own))
+                known.update(zip(own, _mixed(self.table.counts[self.table.find(keys)], before).tolist()))
+        toxic = np.array([known.get(s, self.share) for s in stems], float)
+        return _mixed(self.table.counts[self.table.find(_word_keys(words))], toxic)
 
     def histories(self, before: np.ndarray) -> np.ndarray:
         """Toxic shares after the histories ``before``: those of the words by their own counts."""
@@ -143,20 +149,29 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.index: dict[str, int] = {}
-        self.keys, self.shares, self.ends_pair = np.empty(0, np.uint64), np.empty(0), np.empty(0, bool)
+        self.memo: dict[str, int] = {}  # chunks, the words of which are self.words[starts:][:sizes]
+        self.words, self.starts, self.sizes = (np.empty(0, np.int64) for _ in range(3))
+        self.index: dict[str, int] = {"\n": -1}
+        self.prefixes: dict[str, float] = {}
+        self.keys, self.shares, self.logs, self.ends_pair = np.empty(0, np.uint64), np.empty(0), np.empty((0, 2)), np.empty(0, bool)
 
     def _learn(self, chunks: list[str]) -> None:
-        runs = [charlm.letter_runs(c) for c in chunks]
-        new = list(dict.fromkeys(w for r in runs for w in r if w not in self.index))
+        runs = charlm.letter_runs_of(chunks)
+        new = list(set(runs).difference(self.index))
         if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            keys, known = _word_keys(new), self.model.pair_words
+            self.index.update(zip(new, range(len(self.keys), len(self.keys) + len(new))))
+            keys, known, share = _word_keys(new), self.model.pair_words, self.model.words.share
             ends = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+            q = self.model.words.shares(new, self.prefixes)
             self.keys, self.ends_pair = np.concatenate([self.keys, keys]), np.concatenate([self.ends_pair, ends])
-            self.shares = np.concatenate([self.shares, self.model.words.shares(new)])
-        self.memo.update((c, tuple(map(self.index.__getitem__, r))) for c, r in zip(chunks, runs))
+            self.shares = np.concatenate([self.shares, q])
+            self.logs = np.concatenate([self.logs, np.column_stack([np.log((1 - q) / (1 - share)), np.log(q / share)])])
+        found = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
+        sizes = np.diff(np.flatnonzero(found < 0), prepend=-1) - 1
+        self.memo.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.starts = np.concatenate([self.starts, len(self.words) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.words = np.concatenate([self.words, found[found >= 0]])
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """One row a text: ordinary and toxic log-likelihood against the shared model, and words."""
@@ -169,15 +184,16 @@ class Scorer:
                 new = set().union(*split)
             if new:
                 self._learn(list(new))
-            own = [list(chain.from_iterable(map(self.memo.__getitem__, s))) for s in split]
-            sizes = np.array([len(w) for w in own])
+            many = np.array([len(s) for s in split])
+            chunk = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(many.sum()))
+            each = self.sizes[chunk]
+            sizes = np.bincount(np.repeat(np.arange(len(split)), many), each, len(split)).astype(np.int64)
             full = np.flatnonzero(sizes)
             if not len(full):
                 continue
-            words = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
+            words = self.words[np.repeat(self.starts[chunk] - np.cumsum(each) + each, each) + np.arange(sizes.sum())]
             starts = (np.cumsum(sizes) - sizes)[full]
-            q = self.shares[words]
-            logs = np.column_stack([np.log((1 - q) / (1 - share)), np.log(q / share)])
+            q, logs = self.shares[words], self.logs[words]
             inner = self.ends_pair[words]
             inner[starts] = False
             at = np.flatnonzero(inner)

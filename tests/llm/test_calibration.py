@@ -1,8 +1,9 @@
 """Calibration over all documents kept out of the counts, against numpy on the same rows."""
 
 import numpy as np
+import pyarrow as pa
 
-from geomill.llm import langid, sampling, toxicity
+from geomill.llm import charlm, langid, sampling, toxicity
 
 
 def test_all_labelled_documents_are_counted_and_calibrated(spark, monkeypatch):
@@ -54,3 +55,20 @@ def test_places_of_a_word_travel_in_one_row(spark, monkeypatch):
     assert {(r.word, r.before) for r in kept if r.before >= 0} == {p for p, n in want.items() if sum(n) >= toxicity.PLACES and p[1] >= 0}
     for w in {w for w, _ in want}:
         assert sum(r.ordinary + r.toxic for r in kept if r.word == w) == sum(sum(n) for (v, _), n in want.items() if v == w)
+
+
+def test_chunks_are_split_at_once_as_one_by_one():
+    chunks = ["a", "12", "Don't", "x²y", "İstanbul", "ΟΔΟΣ", "½", "naïve-42b", "१क"]
+    for some in (chunks, chunks[:3], ["--"], []):
+        assert charlm.letter_runs_of(some) == [w for c in some for w in (*charlm.letter_runs(c), "\n")]
+
+
+def test_shares_of_words_are_those_of_their_letters_one_after_another():
+    keys = np.array([toxicity._key(e) for e in ("abcd", "abcde", "abcdef", "abcdefg", "abcdefgh$", "abcd$", "ab$")], np.uint64)
+    words = toxicity.Words(pa.table({"h": keys.view(np.int64), "ordinary": [50, 10, 9, 1, 2, 80, 3], "toxic": [9, 90, 70, 40, 60, 2, 90]}), 0.1)
+    known = {}
+    for w in ("abcdefgh", "abcdefgx", "abcde", "abcd", "ab", "abcxy", "z"):
+        q = np.array([0.1])
+        for e in [*(w[:n] for n in toxicity.PREFIXES if len(w) > n), w + "$"]:
+            q = toxicity._mixed(words.table.counts[words.table.find(np.array([toxicity._key(e)], np.uint64))], q)
+        assert words.shares([w])[0] == q[0] == words.shares([w], known)[0]
