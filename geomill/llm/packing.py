@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ from geomill.session import bound_batches
 WINDOW = 1 << 22
 #: Distinct chunks, and words, whose ids a worker keeps, and the longest chunk that it keeps.
 MEMO, MEMO_CHARS = 400_000, 40
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]*)")
+#: A line that is a word and then punctuation, in its two parts, or another line.
+_WORD = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]*)$|^.+$", re.MULTILINE)
 
 
 class ChunkEncoder:
@@ -63,23 +65,20 @@ class ChunkEncoder:
         return [flat[i:j] for i, j in zip([0, *at], at)]
 
     def _learn(self, new: list[str]) -> None:
-        split, other, words, marks = [], [], set(), set()
-        for c in new:
-            m = _WORD.fullmatch(c)
-            if m:
-                word, mark = m[1].lower(), m[2]
-                split.append((c, word, mark))
-                words.add(word)
-                marks.add(mark)
-            else:
-                other.append(c)
+        found = _WORD.findall("\n".join(new))  # chunks hold no line feed
+        split = [c for c, (word, _) in zip(new, found) if word]
+        other = [c for c, (word, _) in zip(new, found) if not word]
+        own, mark = ([f[i] for f in found if f[0]] for i in (0, 1))
+        own = "\n".join(own).lower().split("\n") if own else own
+        words, marks = set(own), set(mark)
         if len(self.parts) > MEMO:
             self.parts = {"": b""}
         words, marks = list(words.difference(self.parts)), list(marks.difference(self.parts))
         for lo in range(0, len(words), 5000):
             self.parts.update(zip(words[lo : lo + 5000], self._side_by_side(words[lo : lo + 5000])))
         self.parts.update(zip(marks, self._one_by_one(marks)))
-        self.chunks.update((c, self.parts[w] + self.parts[m]) for c, w, m in split)
+        get = self.parts.__getitem__
+        self.chunks.update(zip(split, map(add, map(get, own), map(get, mark))))
         for lo in range(0, len(other), 5000):
             self.chunks.update(zip(other[lo : lo + 5000], self._one_by_one(other[lo : lo + 5000])))
 
