@@ -34,19 +34,50 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
+#: Edges up to which one task finds the components; more go by rounds, whatever their number.
+TASK_EDGES = 500_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted nodes on the edges, and the least node reachable from each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, component) of at most ``TASK_EDGES`` edges (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _roots(*map(np.concatenate, zip(*held)))], ["node", "component"])
+
+    return cut(edges.coalesce(1).mapInArrow(run, "node long, component long"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """(node, component) of every node on an edge; component is its smallest reachable node.
 
     ``edges`` holds two long columns; loops, repeats and rows with a null end
-    are ignored.  Each round is two small shuffles of the edges, and the number
-    of rounds grows with the logarithm of the longest path.  Every round is cut
-    into the shared checkpoint folder.  Isolated nodes have no row.
+    are ignored.  Up to ``TASK_EDGES`` edges are one task's, as rounds of many
+    small tasks would cost more than they hold.  Beyond that each round is two
+    small shuffles of the edges, and the number of rounds grows with the
+    logarithm of the longest path; every round is cut into the shared
+    checkpoint folder.  Isolated nodes have no row.
     """
     stars = cut(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(stars)
+    if seen[0] <= TASK_EDGES:
+        return _in_one_task(stars)
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
         stars = cut(_small_star(_large_star(stars)))
         now = _mark(stars)
         if now == seen:
