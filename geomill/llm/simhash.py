@@ -204,6 +204,8 @@ def _run_edges(keys: np.ndarray, fps: np.ndarray, distance: int, most: int = 0)
 
 #: Rows of one cell that are compared in one task, and texts of a block of a region.
 CELL_ROWS, BLOCK_TEXTS = 4096, 256
+#: Texts up to which their names are broadcast to the scan that reads them.
+BROADCAST_TEXTS = 100_000
 #: Candidates in a cell up to which a text is verified against each; one with more is compared with its whole region in blocks.
 MOST_CANDIDATES = 8
 
@@ -447,7 +449,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     def texts_of(pairs):
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = ends.join(nodes.select("id", "rep", F.col("text_hash").alias("hash")), "id")
+        wanted = cut(ends.join(nodes.select("id", "rep", F.col("text_hash").alias("hash")), "id"))
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted  # then only the wanted texts travel
         return text.join(wanted, text.doc_id.eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["id"]).select("id", "text")
 
     view = nodes.select("id", F.posexplode(F.array(*fps)).alias("kind", "fp")).withColumn("kind", F.col("kind").cast("long"))
