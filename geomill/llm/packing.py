@@ -11,12 +11,14 @@ cut over the room that is left, so a window pads less than one sequence.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
-from operator import add
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,12 @@ from geomill.session import bound_batches
 
 #: Tokens that a task packs together.
 WINDOW = 1 << 22
-#: Distinct chunks, and words, whose ids a worker keeps, and the longest chunk that it keeps.
+#: Words and other chunks whose ids a worker keeps, and the longest that it keeps.
 MEMO, MEMO_CHARS = 400_000, 40
-#: A line that is a word and then punctuation, in its two parts, or another line.
-_WORD = re.compile(r"^([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]{1,40})([!-&(-/:-@\[-`{-~]*)$|^.+$", re.MULTILINE)
+#: Bytes of texts, besides the first, that are encoded together.
+RUN_BYTES = 1 << 22
+#: A chunk that is a word and then punctuation, in its two parts.
+_WORD = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]{1,40})(?P<mark>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 class ChunkEncoder:
@@ -36,65 +40,88 @@ class ChunkEncoder:
 
     For tokenizers that lower-case, split letters from other characters and
     end each word with a marked token, so that no token reaches over a space
-    or line feed.  Each chunk between those is encoded once; one that is a word
+    or line feed.  Each distinct chunk between those is encoded once a run of
+    texts, and its ids are laid out over the run by Arrow; one that is a word
     of Latin letters and then punctuation takes the ids of its two parts, and
     new words are encoded side by side in one call.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
         """``special_as_text``: the strings of special tokens are ordinary text."""
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.of_words = Tokenizer(self.tokenizer.model)  # words are lower-case letters already, with spaces between
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _one_by_one(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _side_by_side(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
             return self._one_by_one(words)
         flat, at = ids.tobytes(), (4 * ends).tolist()
         return [flat[i:j] for i, j in zip([0, *at], at)]
 
-    def _learn(self, new: list[str]) -> None:
-        found = _WORD.findall("\n".join(new))  # chunks hold no line feed
-        split = [c for c, (word, _) in zip(new, found) if word]
-        other = [c for c, (word, _) in zip(new, found) if not word]
-        own, mark = ([f[i] for f in found if f[0]] for i in (0, 1))
-        own = "\n".join(own).lower().split("\n") if own else own
-        words, marks = set(own), set(mark)
-        if len(self.parts) > MEMO:
-            self.parts = {"": b""}
-        words, marks = list(words.difference(self.parts)), list(marks.difference(self.parts))
-        for lo in range(0, len(words), 5000):
-            self.parts.update(zip(words[lo : lo + 5000], self._side_by_side(words[lo : lo + 5000])))
-        self.parts.update(zip(marks, self._one_by_one(marks)))
-        get = self.parts.__getitem__
-        self.chunks.update(zip(split, map(add, map(get, own), map(get, mark))))
-        for lo in range(0, len(other), 5000):
-            self.chunks.update(zip(other[lo : lo + 5000], self._one_by_one(other[lo : lo + 5000])))
+    def _ids(self, strings: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """The ids of distinct strings, of which ``encode`` gets those that aren't known."""
+        names = strings.to_numpy(zero_copy_only=False).tolist()
+        new = [s for s in names if s not in self.known]
+        if len(self.known) + len(new) > MEMO:
+            self.known = {"": b""}
+            new = [s for s in names if s]
+        for lo in range(0, len(new), 5000):
+            self.known.update(zip(new[lo : lo + 5000], encode(new[lo : lo + 5000])))
+        out = pa.array([self.known[s] for s in names], pa.large_binary())
+        for s in new:
+            if len(s) > MEMO_CHARS:
+                del self.known[s]
+        return out
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """The ids of distinct chunks."""
+        found = pc.extract_regex(chunks, _WORD)
+        split = found.is_valid()
+        word, mark = found.drop_null().flatten()
+        word, mark = pc.utf8_lower(word).dictionary_encode(), mark.dictionary_encode()
+        parts = [self._ids(part.dictionary, encode).take(part.indices) for part, encode in ((word, self._side_by_side), (mark, self._one_by_one))]
+        both = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+        other = self._ids(chunks.filter(pc.invert(split)), self._one_by_one)
+        first = split.to_numpy(zero_copy_only=False)
+        return pa.concat_arrays([both, other]).take(pa.array(np.where(first, np.cumsum(first) - 1, len(both) + np.cumsum(~first) - 1)))
+
+    def runs(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """The ids of each text, in lists of those that are encoded together."""
+        texts = pc.fill_null(texts, "")
+        run = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // RUN_BYTES
+        at = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(at, at[1:] if len(texts) else []):
+            split = pc.split_pattern(pc.replace_substring(texts.slice(lo, hi - lo), "\n", " "), " ")
+            chunks = split.flatten().dictionary_encode()
+            ids = self._chunk_ids(chunks.dictionary).take(chunks.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][np.cumsum(np.append(0, pc.list_value_length(split).to_numpy()))]
+            flat = ids.buffers()[2] or b""
+            yield [bytes(flat[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.chunks)
-        if len(self.chunks) + len(new) > MEMO:
-            self.chunks = {"": b""}
-            new = set().union(*split) - {""}
-        self._learn(list(new))
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for c in new:
-            if len(c) > MEMO_CHARS:
-                del self.chunks[c]
-        return out
+        return [x for run in self.runs(pa.array(texts, pa.string())) for x in run]
+
+
+@lru_cache(maxsize=2)
+def _loaded(path: str, special_as_text: bool, written: float) -> ChunkEncoder:
+    return ChunkEncoder(path, special_as_text)
+
+
+def encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
+    """A worker's encoder, which its next tasks find as it was left."""
+    return _loaded(path, special_as_text, os.path.getmtime(path))
 
 
 def plan(sizes: np.ndarray, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> np.ndarray:
@@ -149,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, task, used = ChunkEncoder(tokenizer), TaskContext.get().partitionId() << 40, 0
+        encode, task, used = encoder(tokenizer), TaskContext.get().partitionId() << 40, 0
         ids: list[bytes] = []
         names: list = []
         held = 0
@@ -169,11 +196,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(keys), 100):
-                some = [x + end for x in encode(texts[lo : lo + 100])]
+            lo = 0
+            for run in encode.runs(batch.column("text")):
+                some = [x + end for x in run]
                 ids += some
-                names += keys[lo : lo + 100]
+                names += keys[lo : lo + len(some)]
+                lo += len(some)
                 held += sum(map(len, some)) // 4
                 if held >= WINDOW:
                     yield from flush()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geomill.llm.packing import ChunkEncoder
+from geomill.llm.packing import encoder
 from geomill.session import bound_batches, checkpoint_dir
 
 BLOCK_BYTES = 1 << 20
@@ -152,16 +152,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, separator: int, block_bytes: i
     mark = np.array([separator], kind).tobytes()
 
     def run(batches):
-        encode, file = ChunkEncoder(tokenizer, special_as_text=True), TaskContext.get().partitionId()
+        encode, file = encoder(tokenizer, special_as_text=True), TaskContext.get().partitionId()
         held, block, ordinal = bytearray(), 0, 0
 
         def row(data, first, ids):
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "data", "first", "ids"])
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo in range(0, len(ids), 100):
-                for data in encode(texts[lo : lo + 100]):
+            ids = batch.column("doc_id").to_pylist()
+            for run in encode.runs(batch.column("text")):
+                for data in run:
                     own = np.frombuffer(data, "<u4")
                     if len(own) and (own.max() > most or (own == separator).any()):
                         raise ValueError(f"a token id doesn't fit {width} bytes or is the separator {separator}")

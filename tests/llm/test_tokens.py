@@ -1,6 +1,7 @@
 """Packing, token files and mixing."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -193,3 +194,31 @@ def test_files_that_workers_cannot_open_are_read_by_spark(spark, tmp_path, monke
 
     monkeypatch.setattr(tokenfiles, "_opened", refuse)
     assert [(r.block, bytes(r.data)) for r in tokenfiles.read_blocks(spark, str(tmp_path), 4).orderBy("block").collect()] == want and len(want) == 3
+
+
+def test_repeated_chunks_make_no_objects():
+    encode = packing.ChunkEncoder(PATH)
+    text = "word Other, " * 300_000
+    tracemalloc.start()
+    (got,) = encode([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == np.array(ids_of("word Other,") * 300_000, "<u4").tobytes()
+    assert most < 3 * len(got)
+
+
+def test_runs_keep_texts_apart(monkeypatch):
+    draw = random.Random(5)
+    bits = ["word", "Éa", "don't", "x,", "12", "中文", "H̱", " ", "<|endoftext|>", "Ωσς", "", "\n", "\t", "(a)", "é!?"]
+    texts = [None, "", *("".join(draw.choice(bits) + draw.choice(["", " ", "  "]) for _ in range(draw.randrange(40))) for _ in range(200)), ""]
+    want = [ids_of(t) for t in texts]
+    encode = packing.ChunkEncoder(PATH)
+    for most, memo in ((1 << 22, 400_000), (100, 400_000), (1, 3)):
+        monkeypatch.setattr(packing, "RUN_BYTES", most)
+        monkeypatch.setattr(packing, "MEMO", memo)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    assert encode([]) == []
+
+
+def test_a_worker_loads_a_tokenizer_once():
+    assert packing.encoder(PATH) is packing.encoder(PATH) and packing.encoder(PATH) is not packing.encoder(PATH, True)
