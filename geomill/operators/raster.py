@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geomill.operators.graph import solved
+from geomill.operators.graph import plain, solved
 from geomill.operators.splines import flat
 from geomill.session import cut
 
@@ -88,6 +88,38 @@ def repair_spikes(rows: DataFrame, value: str, most: float, radius: int = 3, lif
     return around.join(F.broadcast(middle)).withColumn("is_spike", bad).withColumn("repaired", F.when(F.col("is_spike"), F.coalesce("around", "_median", F.lit(default))).otherwise(F.col(value))).drop("around", "_median")  # one row
 
 
+#: Distinct values among which the driver finds a median.
+MEDIAN_VALUES, MEDIAN_PIECES = 100_000, 100
+
+
+def lower_median(rows: DataFrame, value: str) -> float | None:
+    """The exact median of a double column without nulls, the lower of two; None if it has no rows.
+
+    Equal values are counted first; pieces of equally many of the distinct ones
+    narrow them down until few enough are left for the driver.
+    """
+    counts = cut(rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
+    n, many = counts.agg(F.sum("n"), F.count("*")).first()
+    if not many:
+        return None
+    rank = (n + 1) // 2
+    while many > MEDIAN_VALUES:
+        marks = counts.agg(F.percentile_approx("v", [i / MEDIAN_PIECES for i in range(1, MEDIAN_PIECES)], 10 * MEDIAN_PIECES)).first()[0]
+        marks = sorted(set(marks))
+        piece = sum(((F.col("v") > m).cast("int") for m in marks), F.lit(0))
+        for of, held, distinct in sorted(counts.groupBy(piece.alias("of")).agg(F.sum("n"), F.count("*")).collect()):
+            if rank <= held:
+                break
+            rank -= held
+        low, high = ([None, *marks][of], [*marks, None][of])
+        counts = counts.filter((F.lit(True) if low is None else F.col("v") > low) & (F.lit(True) if high is None else F.col("v") <= high))
+        many = distinct
+    for v, held in sorted(map(tuple, counts.collect())):
+        if rank <= held:
+            return v
+        rank -= held
+
+
 def repair_in_scan_order(rows: DataFrame, value: str, most: float, radius: int = 3, default: float = 0.23, near: float = 0.99, believed: float = 0.95, low: float = 0.5) -> DataFrame:
     """``rows`` (x, y, value) with ``repaired`` and ``is_spike``, pixels judged row by row on those repaired before them.
 
@@ -95,28 +127,28 @@ def repair_in_scan_order(rows: DataFrame, value: str, most: float, radius: int =
     ``near`` of it on with a mean of valid neighbours below ``low`` of it.  They
     take that mean where it is below ``believed`` of ``most``, else the median
     of good heights, else ``default``.  Only pixels that may be spikes depend on
-    the order, so those near each other are repaired in one task, each with
-    the pixels about it; a whole region of them is one task's.
+    the order, so those that hang together by steps of ``radius`` are repaired
+    in one task, each with the pixels about it; a whole region of them is one
+    task's.  ``rows`` are read four times.
     """
     v = F.col(value).cast("double")
-    sound = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    middle = rows.filter(sound & (v >= 0) & (v < believed * most)).agg(F.percentile_approx(v, 0.5, 1_000_000)).first()[0]
+    sound = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    doubtful = lambda c: ~sound(c) | (c < 0) | (c >= near * most)
+    middle = lower_median(rows.filter(sound(v) & (v >= 0) & (v < believed * most)).select(v.alias("_v")), "_v")
     fill = middle if middle is not None and middle > 0 else default
-    maybe = rows.filter(~sound | (v < 0) | (v >= near * most)).select("x", "y", v.alias("_v"))
+    maybe = rows.filter(doubtful(v)).select("x", "y", v.alias("_v"))
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i or j]))
     wanted = maybe.select(F.col("x").alias("_x"), F.col("y").alias("_y"), step.alias("d")).select("_x", "_y", (F.col("_x") + F.col("d.i")).alias("x"), (F.col("_y") + F.col("d.j")).alias("y"))
     about = wanted.join(rows.select("x", "y", v.alias("_v")), ["x", "y"]).groupBy("_x", "_y").agg(F.collect_list(F.struct("x", "y", "_v")).alias("_about")).select(F.col("_x").alias("x"), F.col("_y").alias("y"), "_about")
-    side = radius + 1
+    cell = lambda x, y: F.xxhash64(F.floor(x / (radius + 1)), F.floor(y / (radius + 1)))
     own = maybe.join(about, ["x", "y"], "left").withColumn("repaired", F.col("_v")).withColumn("is_spike", F.lit(False))
-    own = cut(own.withColumn("_cx", F.floor(F.col("x") / side)).withColumn("_cy", F.floor(F.col("y") / side)).withColumn("_cell", F.xxhash64("_cx", "_cy")))
-    cells = own.select("_cx", "_cy", "_cell").distinct()
-    beside = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    links = cells.select(F.col("_cell").alias("a"), beside.alias("d"), "_cx", "_cy").select("a", (F.col("_cx") + F.col("d.i")).alias("_cx"), (F.col("_cy") + F.col("d.j")).alias("_cy")).join(cells, ["_cx", "_cy"]).select("a", F.col("_cell").alias("b"))
+    own = cut(own.withColumn("_cell", cell(F.col("x"), F.col("y"))))
+    links = own.select(F.col("_cell").alias("a"), F.explode(F.filter("_about", lambda n: doubtful(n["_v"]))).alias("n")).select("a", cell(F.col("n.x"), F.col("n.y")).alias("b")).filter("a < b")
 
     def judge(t: pa.Table) -> pa.Table:
         at = list(zip(t.column("y").to_pylist(), t.column("x").to_pylist()))
-        now = dict(zip(at, t.column("_v").to_pylist()))
-        lists, spikes, repaired = t.column("_about").to_pylist(), [False] * t.num_rows, t.column("_v").to_pylist()
+        spikes, repaired = [False] * t.num_rows, t.column("_v").to_pylist()
+        now, lists = dict(zip(at, repaired)), plain(t.column("_about").combine_chunks())
         good = lambda h: h is not None and math.isfinite(h) and h >= 0
         for i in sorted(range(t.num_rows), key=at.__getitem__):
             h = now[at[i]]
