@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geomill.llm import mixing, packing, simhash, substring, toxicity
-from geomill.session import checkpoint_dir, table
+from geomill.session import checkpoint_dir, cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,11 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id; of rows repeated in doc_id and text one stays."""
-    own = docs.select(*COLUMNS, simhash.text_hash().alias("_hash"))
-    kept = simhash.similar_documents(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    there = own.join(kept, own.doc_id.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_semi")
-    return there.dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest doc_id; of rows repeated in doc_id and text one stays.
+
+    Rows that a filter knows to be neither dropped nor repeated stay where they are; only the others are shuffled.
+    """
+    key = ["_id", "_none", "_hash"]  # without nulls, so that the rows dealt for the join are dealt for their repeats too
+    keyed = lambda hashed: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_id"), F.col("doc_id").isNull().alias("_none"), hashed.alias("_hash")]
+    marks = simhash.similar_documents(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    touched = cut(marks.filter("NOT kept OR n > 1"))
+    own = docs.select(*COLUMNS, *keyed(simhash.text_hash()))
+    own = simhash.maybe_among(own, simhash.row_name("doc_id", "_hash"), touched.select(simhash.row_name()), touched.count(), "_touched")
+    dropped = touched.filter("NOT kept").select(*keyed(F.col("text_hash")))
+    others = own.filter("_touched").join(dropped, key, "left_anti").dropDuplicates(key)
+    return own.filter("NOT _touched").select(*COLUMNS).union(others.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
